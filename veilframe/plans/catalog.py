@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.plans import keys_queries, pii_queries  # noqa: F401
+from veilframe.plans import audit_queries, keys_queries, pii_queries  # noqa: F401
 from veilframe.plans.registry import REGISTRY
 
 
