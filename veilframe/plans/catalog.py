@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from veilframe.plans import audit_queries, cache_queries, keys_queries, pii_queries, rate_queries  # noqa: F401
+from veilframe.plans import (  # noqa: F401
+    audit_queries, cache_queries, keys_queries, pii_queries, prompt_queries, rate_queries,
+)
 from veilframe.plans.registry import REGISTRY
 
 
