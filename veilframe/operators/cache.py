@@ -46,6 +46,14 @@ def normalize(v: Column) -> Column:
     return F.transform(v, lambda x: x.cast("double") / n)
 
 
+def with_normalized(df: DataFrame, col: str, out: str) -> DataFrame:
+    """D3 as a staged projection: the norm is its own column, so the
+    per-component lambda reads a value instead of re-summing the vector for
+    every component."""
+    return (df.withColumn("_norm", F.when(F.spark_partition_id() >= 0, norm(F.col(col))))
+              .withColumn(out, F.transform(col, lambda x: x.cast("double") / F.col("_norm"))).drop("_norm"))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity in double precision."""
     return dot(a, b) / (norm(a) * norm(b))
@@ -256,8 +264,8 @@ def lsh_lookup(queries: DataFrame, entries: DataFrame, max_distance: float, buck
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 
-    qa = queries.withColumn("features", array_to_vector(normalize(F.col("q_vec"))))
-    ea = entries.withColumn("features", array_to_vector(normalize(F.col("e_vec"))))
+    qa = with_normalized(queries, "q_vec", "_unit").withColumn("features", array_to_vector("_unit")).drop("_unit")
+    ea = with_normalized(entries, "e_vec", "_unit").withColumn("features", array_to_vector("_unit")).drop("_unit")
     model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket_length,
                                         numHashTables=num_tables, seed=seed).fit(ea)
     pairs = model.approxSimilarityJoin(qa, ea, max_distance, distCol="dist")

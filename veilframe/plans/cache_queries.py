@@ -61,8 +61,9 @@ def cache_queries(spark, sf):
     e = load(spark, sf, "embeddings")
     pert = F.transform("embedding", lambda x, i: x.cast("double") + PERTURB * F.sin(i + F.col("vec_id")))
     kinds = F.explode(F.array(F.lit(0), F.lit(1))).alias("kind")
-    base = e.select("vec_id", "label", "embedding", kinds)
-    vec = F.when(F.col("kind") == 0, F.transform("embedding", lambda x: x.cast("double"))).otherwise(C.normalize(pert))
+    base = C.with_normalized(e.withColumn("_pert", pert), "_pert", "_pert_unit").select(
+        "vec_id", "label", "embedding", "_pert_unit", kinds)
+    vec = F.when(F.col("kind") == 0, F.transform("embedding", lambda x: x.cast("double"))).otherwise(F.col("_pert_unit"))
     q = base.select((F.col("vec_id") * 2 + F.col("kind")).alias("q_id"), *_block_cols(F.col("label")),
                     vec.alias("q_vec"),
                     C.prompt_hash(F.when(F.col("kind") == 0, F.col("vec_id").cast("string"))
