@@ -52,10 +52,20 @@ def build_audit(requests: DataFrame, prices: DataFrame | None = None) -> DataFra
         "error_code", "trace_id", "created_at")
 
 
-def append_audit(audit: DataFrame, path: str) -> None:
-    """A3: append, partitioned by day so time-ranged reads prune files."""
-    (audit.withColumn("created_date", F.to_date("created_at"))
-          .write.mode("append").partitionBy("created_date").parquet(path))
+def append_audit(audit: DataFrame, path: str, granularity: str = "day") -> str:
+    """A3: append, partitioned by time so range reads prune files.
+
+    Rows are clustered by the partition value before the write, so each
+    partition directory gets one file per writing task instead of one per
+    input task.  ``granularity`` is "day" (``created_date``) or "month"
+    (``created_month``); returns the partition column name."""
+    if granularity == "day":
+        col, value = "created_date", F.to_date("created_at")
+    else:
+        col, value = "created_month", F.date_format("created_at", "yyyy-MM")
+    out = audit.withColumn(col, value)
+    out.repartition(col).write.mode("append").partitionBy(col).parquet(path)
+    return col
 
 
 def usage_rollup(audit: DataFrame, dims=("org_id", "provider", "model", "day")) -> DataFrame:
