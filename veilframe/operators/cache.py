@@ -286,3 +286,22 @@ def cache_stats(lookups: DataFrame) -> DataFrame:
     neither."""
     return lookups.where(F.col("status") != "skipped").groupBy("provider", "model").agg(
         F.count_if(F.col("status") == "hit").alias("hits"), F.count_if(F.col("status") == "miss").alias("misses"))
+
+
+def featurize(df: DataFrame, text_col: str, out: str = "features_vec", dim: int = 1024,
+              min_doc_freq: int = 1) -> DataFrame:
+    """A Spark-native text embedding for tables without supplied
+    vectors: lower-cased letter/digit tokens, hashed term frequencies
+    (``HashingTF``), ``IDF`` fitted on the corpus (one distributed
+    aggregate) and L2 normalisation, returned as ``array<double>`` so the
+    same cosine operators apply.  A model embedding, when available, is
+    simply a column of the input instead."""
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.functions import vector_to_array
+
+    toks = df.withColumn("_toks", F.filter(F.split(F.lower(F.col(text_col)), "[^\\p{L}\\p{N}]+", -1),
+                                            lambda s: s != ""))
+    tf = HashingTF(inputCol="_toks", outputCol="_tf", numFeatures=dim).transform(toks)
+    idf = IDF(inputCol="_tf", outputCol="_tfidf", minDocFreq=min_doc_freq).fit(tf).transform(tf)
+    unit = Normalizer(inputCol="_tfidf", outputCol="_unit", p=2.0).transform(idf)
+    return unit.withColumn(out, vector_to_array("_unit")).drop("_toks", "_tf", "_tfidf", "_unit")

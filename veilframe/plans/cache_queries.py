@@ -237,3 +237,20 @@ def q_cache_lookup_lsh(spark, sf):
     e = cache_entries(spark, sf)
     r = C.lsh_lookup(q, e, max_distance=0.4)
     return r.where(F.col("similarity") >= 0.92).select("q_id", "entry_id", F.round("similarity", 6).alias("similarity"))
+
+
+NEAR_DUP_THRESHOLD = 0.9
+
+
+@register("featurized_pairs", operators=("D4", "D9"))
+def q_featurized_pairs(spark, sf):
+    """Near-duplicate documents within a language: hashed TF-IDF vectors,
+    then the blocked similarity join at cosine >= 0.9.  The hashing is
+    Spark's own, so the check is rows-only (exact copies must all appear;
+    see tests)."""
+    from veilframe.plans.layout import spread
+
+    d = spread(load(spark, sf, "documents").select("doc_id", "lang", "text"))
+    f = C.featurize(d, "text", "vec")
+    p = C.similar_pairs(f, "doc_id", "vec", ["lang"], NEAR_DUP_THRESHOLD)
+    return p.select(F.col("a_id").alias("doc_a"), F.col("b_id").alias("doc_b"), F.round("similarity", 6).alias("similarity"))
