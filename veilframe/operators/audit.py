@@ -37,11 +37,12 @@ def with_cost(df: DataFrame, prices: DataFrame | None = None) -> DataFrame:
               .drop("prompt_per_1k", "completion_per_1k"))
 
 
-def build_audit(requests: DataFrame, prices: DataFrame | None = None) -> DataFrame:
+def build_audit(requests: DataFrame, prices: DataFrame | None = None, keep=()) -> DataFrame:
     """One metadata row per request, defaults filled: tokens 0, cost 0,
-    cache_hit false, categories empty.  No prompt or response text."""
+    cache_hit false, categories empty.  No prompt or response text.  ``keep``
+    carries extra request columns through (no join back)."""
     df = with_cost(with_error_code(requests), prices)
-    return df.select(
+    return df.select(*keep,
         "request_id", "org_id", "api_key_id", "request_hash", "provider", "model",
         F.coalesce("prompt_tokens", F.lit(0)).alias("prompt_tokens"),
         F.coalesce("completion_tokens", F.lit(0)).alias("completion_tokens"),

@@ -184,17 +184,9 @@ def _best_fn(threshold_col: str):
     return fn
 
 
-def cache_lookup(queries: DataFrame, entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """For each query the nearest live entry of its own block that
-    reaches the query's threshold, else a miss.
-
-    ``queries(q_id, org_id, provider, model, q_vec, q_ts_ms, threshold)``,
-    ``entries(e_id, org_id, provider, model, e_vec, e_created_ms, e_expires_ms)``.
-    Returns every query with ``entry_id`` / ``similarity`` (NULL on miss).
-
-    "Nearest, then threshold" equals "nearest among those reaching the
-    threshold" whenever it is a hit, so entries below the threshold are
-    dropped inside the chunk product."""
+def nearest_entries(queries: DataFrame, entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """(query_id, entry_id, similarity) for the queries that hit; see
+    ``cache_lookup``."""
     block = list(BLOCK)
     q = _chunked(queries, block, "q_id", "q", chunk)
     e = _chunked(entries, block, "e_id", "e", chunk)
@@ -207,9 +199,23 @@ def cache_lookup(queries: DataFrame, entries: DataFrame, chunk: int = CHUNK) ->
     best = partial.groupBy("query_id").agg(F.max_by(
         F.struct("entry_id", "similarity"),
         F.struct(F.col("similarity"), F.col("entry_created_ms"), -F.col("entry_id"))).alias("b"))
+    return best.select("query_id", F.col("b.entry_id").alias("entry_id"), F.col("b.similarity").alias("similarity"))
+
+
+def cache_lookup(queries: DataFrame, entries: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """For each query the nearest live entry of its own block that
+    reaches the query's threshold, else a miss.
+
+    ``queries(q_id, org_id, provider, model, q_vec, q_ts_ms, threshold)``,
+    ``entries(e_id, org_id, provider, model, e_vec, e_created_ms, e_expires_ms)``.
+    Returns every query with ``entry_id`` / ``similarity`` (NULL on miss).
+
+    "Nearest, then threshold" equals "nearest among those reaching the
+    threshold" whenever it is a hit, so entries below the threshold are
+    dropped inside the chunk product."""
+    best = nearest_entries(queries, entries, chunk)
     return (queries.join(best, queries["q_id"] == best["query_id"], "left")
-                   .select(*queries.columns, F.col("b.entry_id").alias("entry_id"),
-                           F.col("b.similarity").alias("similarity")))
+                   .select(*queries.columns, best["entry_id"], best["similarity"]))
 
 
 def _pairs_fn(threshold: float):

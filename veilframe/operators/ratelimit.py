@@ -30,16 +30,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.functions.timeutil import epoch_millis
+
 WINDOW_MS = 3_600_000  # fixed value: one hour
 
 RESULT_FIELDS = "admitted boolean, current int, retry_after_ms long"
 
 
 def epoch_ms(ts: Column) -> Column:
-    """Integer epoch milliseconds of a timestamp (NTZ read as UTC), by exact
-    integer division (a double quotient can round ...999 up)."""
-    us = F.unix_micros(ts.cast("timestamp"))
-    return ((us - F.pmod(us, F.lit(1000))) / 1000).cast("long")
+    """Integer epoch milliseconds of a wall-clock timestamp read as UTC."""
+    return epoch_millis(ts)
 
 
 def offered_rate(df: DataFrame, key: str, t: str, window_ms: int = WINDOW_MS) -> DataFrame:

@@ -45,9 +45,7 @@ def _prices(spark):
 
 
 def audit_table(spark, sf):
-    req = D.requests(spark, sf)
-    a = A.build_audit(req, _prices(spark))
-    return a.join(req.select("request_id", "status", "is_stream"), "request_id")
+    return A.build_audit(D.requests(spark, sf), _prices(spark), keep=("status", "is_stream"))
 
 
 @register("audit_rows", operators=("G6", "G13", "A2"), oracle=_audit_sql("""

@@ -105,10 +105,9 @@ lookup AS (
 def lookups(spark, sf):
     q = cache_queries(spark, sf)
     eligible = C.cacheable(q)
-    found = C.cache_lookup(eligible.select("q_id", "org_id", "provider", "model", "q_vec", "q_ts_ms", "threshold"),
-                           cache_entries(spark, sf))
-    res = found.select("q_id", "entry_id", "similarity")
-    out = q.join(res, "q_id", "left")
+    best = C.nearest_entries(eligible.select("q_id", "org_id", "provider", "model", "q_vec", "q_ts_ms", "threshold"),
+                             cache_entries(spark, sf))
+    out = q.join(best.withColumnRenamed("query_id", "q_id"), "q_id", "left")
     status = (F.when(F.col("effective_ttl") <= 0, "skipped")
                .when(F.col("entry_id").isNotNull(), "hit").otherwise("miss"))
     return out.select("q_id", "org_id", "provider", "model", status.alias("status"), "entry_id",

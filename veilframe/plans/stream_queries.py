@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veilframe.functions.timeutil import utc_instant
 from veilframe.operators.ratelimit import WINDOW_MS, epoch_ms
 from veilframe.plans.rate_queries import LIMIT, _replay_sql
 from veilframe.plans.registry import register
@@ -21,7 +22,7 @@ BASE = "2024-01-01 00:00:00"
 def q_admission_stream(spark, sf):
     ev = read_table_stream(spark, sf, "events").select(
         F.col("event_type").alias("rl_key"), epoch_ms(F.col("ts")).alias("t"), "event_id",
-        F.col("ts").cast("timestamp").alias("event_time"))
+        utc_instant(F.col("ts")).alias("event_time"))
     out = run_available_now(SA.admit_stream(ev, LIMIT, WINDOW_MS), "admission_stream")
     return out.select("event_id", "admitted", "current")
 
@@ -31,15 +32,15 @@ WATERMARK = "10 minutes"
 
 
 @register("request_counts_stream", operators=("M6",), oracle="""
-SELECT strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n
+SELECT epoch(time_bucket(INTERVAL 1 HOUR, ts))::BIGINT AS window_start_s, event_type, count(*) AS n
 FROM events GROUP BY time_bucket(INTERVAL 1 HOUR, ts), event_type
 HAVING time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""")
 def q_request_counts_stream(spark, sf):
     """Hourly event counters on event time with a 10-minute watermark; the
     batch twin is compared on the windows the watermark has closed."""
-    ev = read_table_stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    ev = read_table_stream(spark, sf, "events").select(utc_instant(F.col("ts")).alias("ts"), "event_type")
     out = run_available_now(SA.request_counts_stream(ev, "ts", WINDOW, WATERMARK, ["event_type"]), "counts_stream")
-    return out.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "n")
+    return out.select(F.unix_seconds("window.start").alias("window_start_s"), "event_type", "n")
 
 
 @register("mapping_ttl_join", operators=("A6", "A7"), oracle=f"""
