@@ -7,19 +7,25 @@ W - (t - oldest)``), else admit and record ``t`` (``current = n + 1``).
 Rejected requests are not recorded.  Requests of a key are checked in
 ``(t, id)`` order.
 
-Admission is path dependent, so it is not a window function.  The plan:
-
-1. One shuffle by key; a window pass splits each key into *islands*
-   wherever the gap to the previous request is at least ``W`` (every earlier
-   entry is then evicted, so the state is provably empty), and computes the
-   offered load ``#requests in (t - W, t]``.
-2. An island whose offered load never exceeds ``L`` admits every request
-   (by induction), so its rows are finished in SQL with no state at all.
-3. Only overloaded islands are replayed, by a sorted streaming scan:
+Admission is path dependent, so it is not a window function.  The plan
+never sorts a whole key in one task (one key may hold a third of the rows):
+
+1. Time is cut into buckets of width ``W`` and every row is also copied into
+   the next bucket.  Partitioned by (key, bucket), a row then sees every
+   request of ``(t - W, t]`` and its predecessor whenever the gap is below
+   ``W``, which is all the offered load (E1) and the island split need.
+2. An *island* starts wherever the gap to the previous request is at least
+   ``W``: every earlier entry is evicted there, so the state is provably
+   empty.  A row's island is the latest start at or before it, found inside
+   its bucket or carried from earlier buckets over a small per-bucket summary.
+3. An island whose offered load never exceeds ``L`` admits every request (by
+   induction), so its rows are finished in SQL with no state at all.
+4. Only overloaded islands are replayed, by a sorted streaming scan:
    ``repartition(key, island)`` spreads the islands of a hot key over tasks,
    ``sortWithinPartitions`` orders them, and ``mapInPandas`` walks the Arrow
-   batches keeping at most ``L`` timestamps per island.  Nothing is ever
-   collected per group; memory is bounded by ``L``.
+   batches keeping at most ``L`` timestamps.  Nothing is collected per group;
+   memory is bounded by ``L``.  A single never-idle overloaded island is
+   sequential by definition.
 """
 
 from __future__ import annotations
@@ -42,25 +48,54 @@ def epoch_ms(ts: Column) -> Column:
     return epoch_millis(ts)
 
 
+def _bucket(t: Column, window_ms: int) -> Column:
+    return ((t - F.pmod(t, F.lit(window_ms))) / window_ms).cast("long")
+
+
+def _with_previous_bucket(df: DataFrame, t: str, window_ms: int) -> DataFrame:
+    """Each row in its own bucket (``_copy`` false) and in the next one
+    (``_copy`` true): a row-local generator, one scan of the input."""
+    shift = F.explode(F.array(F.lit(0), F.lit(1))).alias("_shift")
+    return (df.select("*", shift)
+              .withColumn("_b", _bucket(F.col(t), window_ms) + F.col("_shift"))
+              .withColumn("_copy", F.col("_shift") == 1).drop("_shift"))
+
+
 def offered_rate(df: DataFrame, key: str, t: str, window_ms: int = WINDOW_MS) -> DataFrame:
-    """Requests of the key in ``(t - W, t]``."""
-    w = Window.partitionBy(key).orderBy(t).rangeBetween(-(window_ms - 1), 0)
-    return df.withColumn("offered", F.count(F.lit(1)).over(w))
+    """Requests of the key in ``(t - W, t]`` (ties at ``t`` included),
+    computed per (key, bucket) so a hot key spreads over tasks."""
+    ext = _with_previous_bucket(df, t, window_ms)
+    w = Window.partitionBy(key, "_b").orderBy(t).rangeBetween(-(window_ms - 1), 0)
+    return ext.withColumn("offered", F.count(F.lit(1)).over(w)).where(~F.col("_copy")).drop("_b", "_copy")
 
 
 def _islands(df: DataFrame, key: str, t: str, id_col: str, window_ms: int) -> DataFrame:
-    by_key = Window.partitionBy(key).orderBy(t, id_col)
-    gap = F.col(t) - F.lag(t).over(by_key)
-    starts = F.when(gap.isNull() | (gap >= window_ms), 1).otherwise(0)
-    old = Window.partitionBy(key).orderBy(t).rangeBetween(Window.unboundedPreceding, -window_ms)
-    return (df.withColumn("_start", starts)
-              .withColumn("_island", F.sum("_start").over(by_key.rowsBetween(Window.unboundedPreceding, 0)))
-              .withColumn("_rn", F.row_number().over(by_key))
-              .withColumn("_old", F.count(F.lit(1)).over(old))
-              .withColumn("offered", F.count(F.lit(1)).over(
-                  Window.partitionBy(key).orderBy(t).rangeBetween(-(window_ms - 1), 0)))
-              .withColumn("_island_max", F.max("offered").over(Window.partitionBy(key, "_island")))
-              .drop("_start"))
+    ext = _with_previous_bucket(df, t, window_ms)
+    part = Window.partitionBy(key, "_b")
+    by_t_id = part.orderBy(t, id_col)
+    gap = F.col(t) - F.lag(t).over(by_t_id)
+    start = F.when(~F.col("_copy"), gap.isNull() | (gap >= window_ms))
+    rows = (ext.withColumn("_start", start)
+               .withColumn("_rn", F.row_number().over(by_t_id))
+               .withColumn("_old", F.count(F.lit(1)).over(part.orderBy(t).rangeBetween(Window.unboundedPreceding,
+                                                                                         -window_ms)))
+               .withColumn("offered", F.count(F.lit(1)).over(part.orderBy(t).rangeBetween(-(window_ms - 1), 0)))
+               .withColumn("_in_bucket", F.last(F.when(F.col("_start"), F.struct(F.col(t).alias("st"),
+                                                                                 F.col(id_col).alias("si"))),
+                                                ignorenulls=True).over(by_t_id.rowsBetween(Window.unboundedPreceding, 0)))
+               .where(~F.col("_copy")))
+    # one row per (key, bucket): the last island start inside the bucket,
+    # and the start carried in from earlier buckets of the key
+    summary = rows.groupBy(key, "_b").agg(F.max(F.when(F.col("_start"), F.struct(
+        F.col(t).alias("st"), F.col(id_col).alias("si")))).alias("_last"))
+    carried = summary.withColumn("_carry", F.last("_last", ignorenulls=True).over(
+        Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select(key, "_b", "_carry")
+    isl = (rows.join(carried, [key, "_b"], "inner")
+               .withColumn("_island", F.coalesce("_in_bucket", "_carry"))
+               .withColumn("_island_t", F.col("_island.st")).withColumn("_island_i", F.col("_island.si"))
+               .drop("_island", "_in_bucket", "_carry", "_start", "_copy", "_b"))
+    peak = isl.groupBy(key, "_island_t", "_island_i").agg(F.max("offered").alias("_island_max"))
+    return isl.join(peak, [key, "_island_t", "_island_i"], "inner")
 
 
 def _replay(key: str, t: str, window_ms: int, names: list[str]):
@@ -73,14 +108,15 @@ def _replay(key: str, t: str, window_ms: int, names: list[str]):
         for pdf in batches:
             n = len(pdf)
             keys = pdf[key].to_numpy()
-            isl = pdf["_island"].to_numpy()
+            isl_t = pdf["_island_t"].to_numpy()
+            isl_i = pdf["_island_i"].to_numpy()
             ts = pdf[t].to_numpy()
             lim = pdf["_limit"].to_numpy()
             adm = [False] * n
             cur = [0] * n
             retry = [0] * n
             for i in range(n):
-                g = (keys[i], isl[i])
+                g = (keys[i], isl_t[i], isl_i[i])
                 if g != cur_group:
                     cur_group = g
                     admitted_ts = deque()
@@ -119,9 +155,9 @@ def admit(df: DataFrame, key: str, t: str, id_col: str, limit: int | str,
                .withColumn("retry_after_ms", F.lit(0).cast("long")))
     slow_in = isl.where(F.col("_island_max") > F.col("_limit"))
     parts = num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    slow_sorted = (slow_in.repartition(int(parts), key, "_island")
-                          .sortWithinPartitions(key, "_island", t, id_col))
-    out_names = names + ["_island", "offered"]
+    slow_sorted = (slow_in.repartition(int(parts), key, "_island_t", "_island_i")
+                          .sortWithinPartitions(key, "_island_t", "_island_i", t, id_col))
+    out_names = names + ["_island_t", "_island_i", "offered"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slow_sorted.select(*out_names).schema.fields)
     slow = slow_sorted.select(*out_names).mapInPandas(
         _replay(key, t, window_ms, out_names), f"{schema}, {RESULT_FIELDS}")

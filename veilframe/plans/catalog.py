@@ -7,10 +7,20 @@ from veilframe.plans import (  # noqa: F401
     history_queries, leak_queries, stream_queries,
 )
 from veilframe.plans.registry import REGISTRY
+from veilframe.session import ship_package
+
+
+def _shipping(build):
+    def run(spark, sf_dir):
+        ship_package(spark)
+        return build(spark, sf_dir)
+    run.__name__ = getattr(build, "__name__", "query")
+    run.__doc__ = build.__doc__
+    return run
 
 
 def queries():
-    return {name: e.build for name, e in REGISTRY.items()}
+    return {name: _shipping(e.build) for name, e in REGISTRY.items()}
 
 
 def oracle_sql():

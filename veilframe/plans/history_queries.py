@@ -6,7 +6,6 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from veilframe.operators import audit as A
@@ -39,18 +38,29 @@ def assign_hits(reqs, ttl_ms=TTL_MS):
     """A request hits when a live entry exists for its key; only a miss
     with status < 300 writes one.  Among writable requests that is exactly
     sliding-window admission with limit 1 and window = TTL (admitted = the
-    miss that writes), so the admission operator does the replay; failed
-    requests then look up the latest write as of their time."""
+    miss that writes), so the admission operator does the replay.
+
+    Every request then finds the latest write at or before it that is still
+    live.  Such a write lies in the request's TTL-wide time bucket or the one
+    before, so writes are copied into their own and the next bucket and
+    joined on (key, bucket): no key-wide window, and the fan-out is bounded
+    (consecutive writes of a key are at least one TTL apart)."""
     writable = reqs.where(F.col("status") < 300).select(F.col("cache_key").alias("rl_key"), "t", "doc_id")
-    adm = R.admit(writable, "rl_key", "t", "doc_id", 1, ttl_ms).select("doc_id", F.col("admitted").alias("is_write"))
-    allr = reqs.join(adm, "doc_id", "left").withColumn("is_write", F.coalesce("is_write", F.lit(False)))
-    w = Window.partitionBy("cache_key").orderBy("t", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-    lw = F.last(F.when(F.col("is_write"), F.struct("t", "doc_id")), ignorenulls=True).over(w)
-    allr = allr.withColumn("lw", lw)
-    live = F.col("lw").isNotNull() & (F.col("lw.t") > F.col("t") - ttl_ms)
-    hit = ~F.col("is_write") & live
-    return allr.select("doc_id", "cache_key", "t", "status", hit.alias("hit"),
-                       F.when(hit, F.col("lw.doc_id")).otherwise(F.col("doc_id")).alias("served_from"))
+    adm = R.admit(writable, "rl_key", "t", "doc_id", 1, ttl_ms)
+    bucket = lambda c: ((c - F.pmod(c, F.lit(ttl_ms))) / ttl_ms).cast("long")
+    writes = (adm.where(F.col("admitted"))
+                 .select(F.col("rl_key").alias("cache_key"), F.col("t").alias("w_t"), F.col("doc_id").alias("w_id"))
+                 .withColumn("_b", F.explode(F.array(bucket(F.col("w_t")), bucket(F.col("w_t")) + 1))))
+    r = reqs.withColumn("_b", bucket(F.col("t")))
+    visible = ((F.col("w_t") < F.col("t")) | ((F.col("w_t") == F.col("t")) & (F.col("w_id") <= F.col("doc_id")))) \
+        & (F.col("w_t") > F.col("t") - ttl_ms)
+    cand = r.join(writes, ["cache_key", "_b"], "left").withColumn(
+        "_w", F.when(visible, F.struct("w_t", "w_id")))
+    # grouping keys extend the join keys, so the join's partitioning is reused
+    best = cand.groupBy("cache_key", "_b", "doc_id", "t", "status").agg(F.max("_w").alias("lw"))
+    hit = F.col("lw").isNotNull() & (F.col("lw.w_id") != F.col("doc_id"))
+    return best.select("doc_id", "cache_key", "t", "status", hit.alias("hit"),
+                       F.when(hit, F.col("lw.w_id")).otherwise(F.col("doc_id")).alias("served_from"))
 
 
 HISTORY_SQL = f"""r AS (
