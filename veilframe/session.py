@@ -62,21 +62,29 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+_LOCAL_CHECKPOINTS: dict[str, str] = {}
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant folder
-    and we always use it. Only when it is unset (local tests) do we create a
-    scratch folder of our own and register it.
+    and we always use it.  Only when nothing is configured (local tests) do we
+    create a scratch folder of our own and register it with the context (the
+    config key itself cannot be changed at runtime).
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-    if not d:
-        d = tempfile.mkdtemp(prefix="veilframe-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
-    return d
+    if d:
+        return d
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current
+    app = sc.applicationId
+    if app not in _LOCAL_CHECKPOINTS:
+        _LOCAL_CHECKPOINTS[app] = tempfile.mkdtemp(prefix="veilframe-ckpt-")
+        sc.setCheckpointDir(_LOCAL_CHECKPOINTS[app])
+    return _LOCAL_CHECKPOINTS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
