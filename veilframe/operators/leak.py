@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.operators.pii import fenced
+from veilframe.plans.layout import spread
 
 WS = r"\s+"
 MAX_Q = 3
@@ -37,30 +38,40 @@ def _tokens(text: Column) -> Column:
     return F.split(text, WS, -1)
 
 
-def _qgram_hash(q: Column, toks: Column, start: Column) -> Column:
-    return F.xxhash64(q, F.array_join(F.slice(toks, start, q), " "))
+def _token_hashes(toks: Column) -> Column:
+    return F.transform(toks, lambda w: F.xxhash64(w))
+
+
+def _qgram_hash(q: int, hashes: Column, start: Column) -> Column:
+    """Hash of the q token hashes starting at 1-based ``start``."""
+    return F.xxhash64(F.lit(q), *[F.element_at(hashes, start + k) for k in range(q)])
 
 
 def _anchors(needles: DataFrame, id_col: str, text_col: str) -> DataFrame:
     toks = _tokens(F.col(text_col))
     n = F.size(toks)
     q = F.least(F.lit(MAX_Q), n - 2)
+    hs = _token_hashes(toks)
+    h = F.when(q >= MAX_Q, _qgram_hash(3, hs, F.lit(2))).when(q == 2, _qgram_hash(2, hs, F.lit(2))).when(
+        q == 1, _qgram_hash(1, hs, F.lit(2)))
     return needles.select(F.col(id_col).alias("needle_id"), F.col(text_col).alias("needle_text"),
-                          q.alias("q"), _qgram_hash(q, toks, F.lit(2)).alias("h")).where(F.col("q") >= 1)
+                          q.alias("q"), h.alias("h")).where(F.col("q") >= 1)
 
 
-def _hash_at(q: int, toks: Column):
-    return lambda i: _qgram_hash(F.lit(q), toks, i)
+def _hash_at(q: int, hashes: Column):
+    return lambda i: _qgram_hash(q, hashes, i)
 
 
 def _token_path(hay: DataFrame, hay_id: str, hay_text: str, anchors: DataFrame, qs: list[int]) -> DataFrame:
     # the token array is its own (fenced) column: referenced from inside the
     # lambda as an expression it would be re-split for every position
-    staged = hay.select(F.col(hay_id).alias("hay_id"), F.col(hay_text).alias("hay_text"),
-                        fenced(_tokens(F.col(hay_text))).alias("_toks"))
-    toks = F.col("_toks")
-    per_q = [F.transform(F.sequence(F.lit(1), F.greatest(F.size(toks) - q + 1, F.lit(1))), _hash_at(q, toks))
-             for q in qs]
+    staged = spread(hay).select(F.col(hay_id).alias("hay_id"), F.col(hay_text).alias("hay_text"),
+                                fenced(_token_hashes(_tokens(F.col(hay_text)))).alias("_th"))
+    th = F.col("_th")
+    def starts(q: int) -> Column:
+        return F.when(F.size(th) >= q, F.sequence(F.lit(1), F.size(th) - q + 1)).otherwise(F.array().cast("array<int>"))
+
+    per_q = [F.transform(starts(q), _hash_at(q, th)) for q in qs]
     hashes = F.array_distinct(F.concat(*per_q)) if len(per_q) > 1 else F.array_distinct(per_q[0])
     probe = staged.select("hay_id", "hay_text", F.explode(hashes).alias("h"))
     stats = anchors.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("needle_text")).alias("b")).first()
@@ -107,7 +118,7 @@ def _scan_path(hay: DataFrame, hay_id: str, hay_text: str, short: DataFrame) ->
         return hay.sparkSession.createDataFrame([], "hay_id long, needle_id long")
     passes = (n + SCAN_MAX_NEEDLES - 1) // SCAN_MAX_NEEDLES
     ranked = short.withColumn("_pass", F.pmod(F.xxhash64("needle_id"), F.lit(passes)))
-    h = hay.select(F.col(hay_id).alias("hay_id"), F.col(hay_text).alias("hay_text"))
+    h = spread(hay).select(F.col(hay_id).alias("hay_id"), F.col(hay_text).alias("hay_text"))
     out = None
     for p in range(passes):
         words = [(int(r["needle_id"]), r["needle_text"]) for r in

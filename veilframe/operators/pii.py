@@ -71,9 +71,11 @@ def _recognizer_spans(text: Column, rec: Recognizer, threshold: float) -> Column
     else:
         def score_of(s):
             return base
-    if rec.anchor:
-        raw = F.when(F.coalesce(text.contains(rec.anchor), F.lit(False)), raw).otherwise(
-            F.array().cast("array<struct<span_start:int,span_end:int,value:string>>"))
+    # Guard: a text without the literal anchor (or, lacking one, without any
+    # match of the pattern: one early-exit scan) skips the extract+split pair.
+    guard = text.contains(rec.anchor) if rec.anchor else text.rlike(rec.regex)
+    raw = F.when(F.coalesce(guard, F.lit(False)), raw).otherwise(
+        F.array().cast("array<struct<span_start:int,span_end:int,value:string>>"))
     spans = F.transform(raw, lambda s: F.struct(
         s["span_start"].alias("span_start"), s["span_end"].alias("span_end"),
         F.lit(rec.entity).alias("entity"), score_of(s).alias("score"), s["value"].alias("value")))
