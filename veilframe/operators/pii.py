@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.memo import column_memo
 from veilframe.functions.spans import (
     SPAN_ARRAY,
     context_tokens,
@@ -82,6 +83,7 @@ def _recognizer_spans(text: Column, rec: Recognizer, threshold: float) -> Column
     return F.filter(spans, lambda s: s["score"] >= F.lit(threshold))
 
 
+@column_memo
 def candidate_spans(text: Column, recognizers=DEFAULT_RECOGNIZERS, policy: EntityPolicy | None = None,
                     threshold: float = SCORE_THRESHOLD) -> Column:
     """All recognizer matches scoring at least ``threshold`` (C1-C6),
@@ -92,6 +94,7 @@ def candidate_spans(text: Column, recognizers=DEFAULT_RECOGNIZERS, policy: Entit
     return F.concat(*[_recognizer_spans(text, r, threshold) for r in recs])
 
 
+@column_memo
 def resolve_overlaps(spans: Column) -> Column:
     """Greedy overlap resolution (C7): visit spans by (score desc, length
     desc, start asc, entity asc) and keep each one disjoint from every kept
@@ -122,6 +125,7 @@ def detect_spans(df: DataFrame, text_col: str = "text", out: str = "spans",
               .drop("_cand"))
 
 
+@column_memo
 def with_placeholders(spans: Column, mode: str = "reversible") -> Column:
     """Add ``placeholder`` to start-sorted spans.
 
@@ -143,6 +147,7 @@ def with_placeholders(spans: Column, mode: str = "reversible") -> Column:
         F.concat(F.lit("<"), x["entity"], F.lit("_"), index(x, i).cast("string"), F.lit(">")).alias("placeholder")))
 
 
+@column_memo
 def rebuild_text(text: Column, ph_spans: Column) -> Column:
     """Gaps between start-sorted, disjoint spans joined with placeholders."""
     def piece(x, i):
@@ -176,6 +181,7 @@ def scrub(df: DataFrame, text_col: str = "text", mode: str = "reversible",
     return out.withColumn(f"{prefix}mapping", mapping)
 
 
+@column_memo
 def restore(text: Column, mapping: Column) -> Column:
     """C14: single left-to-right pass replacing ``<ENTITY_n>`` placeholders
     found in ``mapping``; unknown placeholders are kept; not recursive."""
@@ -187,6 +193,7 @@ def restore(text: Column, mapping: Column) -> Column:
     return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(joined)
 
 
+@column_memo
 def mapping_string(mapping: Column) -> Column:
     """Deterministic text form of a mapping, for reports and comparisons."""
     return F.array_join(F.array_sort(F.transform(F.map_entries(mapping),
@@ -200,6 +207,7 @@ def category_counts(spans: Column) -> Column:
         c.alias("entity"), F.size(F.filter(spans, lambda s: s["entity"] == c)).alias("n")))
 
 
+@column_memo
 def pii_header(spans: Column) -> Column:
     """``CAT:n,CAT:n`` sorted by category; empty string when none."""
     return F.array_join(F.transform(category_counts(spans),

@@ -12,6 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.memo import column_memo
 from veilframe.operators import pii
 from veilframe.operators.audit import approx_tokens
 
@@ -168,6 +169,7 @@ def _field(ord_: Column, role: Column, content: Column) -> Column:
     return F.struct(ord_.cast("int").alias("field_ord"), role.alias("role"), content.alias("content"))
 
 
+@column_memo
 def prompt_fields(v: Column, provider: Column) -> Column:
     """array<struct<field_ord, role, content variant>> in walk order."""
     msgs = _arr(v, "$.messages")
@@ -191,6 +193,7 @@ def prompt_fields(v: Column, provider: Column) -> Column:
              .when(provider == "gemini", gem).otherwise(empty))
 
 
+@column_memo
 def _parts_of(content: Column) -> Column:
     """A field's content as a list of parts: a string is one part."""
     t = F.schema_of_variant(content)
@@ -200,6 +203,7 @@ def _parts_of(content: Column) -> Column:
              .otherwise(F.array(content)))
 
 
+@column_memo
 def _classify(part: Column) -> Column:
     """struct<kind, text>: text parts (string, ``type: text`` or a Gemini
     ``text`` key), Anthropic tool results with string content, else other
@@ -236,6 +240,7 @@ def explode_prompt_parts(df: DataFrame, id_col: str, v_col: str = "v", provider_
                     F.col("c.kind").isin("text", "tool_result").alias("scrubbable"))
 
 
+@column_memo
 def prompt_text(v: Column, provider: Column) -> Column:
     """The cache text: ``role: content`` lines joined by newlines; non-text
     parts as JSON; Anthropic system first; Gemini system instruction last and
@@ -261,6 +266,7 @@ def prompt_text(v: Column, provider: Column) -> Column:
     return F.when(provider.isin(*PROVIDERS), F.array_join(with_tools, "\n")).otherwise(F.to_json(v))
 
 
+@column_memo
 def response_text(v: Column, provider: Column) -> Column:
     """Assistant text of a response body, parts joined by newlines."""
     choices = _arr(v, "$.choices")
@@ -281,23 +287,14 @@ def response_text(v: Column, provider: Column) -> Column:
 # ---------------------------------------------------------------------------
 # Request-level scrub and restore
 # ---------------------------------------------------------------------------
-def scrub_requests(parts: DataFrame, id_col: str, mode: str = "reversible", **kw) -> DataFrame:
-    """Scrub every scrubbable part (row-local), then number placeholders
-    per *request* in (field, part, start) order, so a second message's
-    address gets ``<EMAIL_ADDRESS_2>`` instead of overwriting the first
-    (quirk Q1 fixed).  One shuffle: the regroup by request.
-
-    Returns one row per request: ``parts`` (field_ord, part_ord, scrubbed
-    text), ``spans`` (request-level placeholders), ``mapping``."""
-    scr = parts.where(F.col("scrubbable"))
-    d = pii.detect_spans(scr, "text", "spans", **kw)
-    per_part = d.select(id_col, F.struct("field_ord", "part_ord", "text", "spans").alias("p"))
-    g = per_part.groupBy(id_col).agg(F.array_sort(F.collect_list("p")).alias("parts"))
+@column_memo
+def _request_numbering(mode: str):
+    """Column builders of the request-level stage, over columns ``parts``
+    (array of (field_ord, part_ord, text, spans)) and ``_flat`` / ``spans``."""
     flat = F.flatten(F.transform("parts", lambda p: F.transform(p["spans"], lambda s: F.struct(
         p["field_ord"].alias("field_ord"), p["part_ord"].alias("part_ord"), s["span_start"].alias("span_start"),
         s["span_end"].alias("span_end"), s["entity"].alias("entity"), s["score"].alias("score"),
         s["value"].alias("value")))))
-    g = g.withColumn("_flat", pii.fenced(flat))
     req = F.col("_flat")
 
     def index(x, i):
@@ -311,18 +308,33 @@ def scrub_requests(parts: DataFrame, id_col: str, mode: str = "reversible", **kw
         x["span_end"].alias("span_end"), x["entity"].alias("entity"), x["score"].alias("score"),
         x["value"].alias("value"),
         F.concat(F.lit("<"), x["entity"], F.lit("_"), index(x, i).cast("string"), F.lit(">")).alias("placeholder")))
-    g = g.withColumn("spans", pii.fenced(numbered)).drop("_flat")
     sp = F.col("spans")
     rebuilt = F.transform("parts", lambda p: F.struct(
         p["field_ord"].alias("field_ord"), p["part_ord"].alias("part_ord"),
         pii.rebuild_text(p["text"], F.filter(sp, lambda s: (s["field_ord"] == p["field_ord"]) &
                                              (s["part_ord"] == p["part_ord"]))).alias("text")))
-    g = g.withColumn("parts", rebuilt)
     if mode == "reversible":
         mapping = F.map_from_arrays(F.transform(sp, lambda x: x["placeholder"]), F.transform(sp, lambda x: x["value"]))
     else:
         mapping = F.create_map().cast("map<string,string>")
-    return g.withColumn("mapping", mapping)
+    return pii.fenced(flat), pii.fenced(numbered), rebuilt, mapping
+
+
+def scrub_requests(parts: DataFrame, id_col: str, mode: str = "reversible", **kw) -> DataFrame:
+    """Scrub every scrubbable part (row-local), then number placeholders
+    per *request* in (field, part, start) order, so a second message's
+    address gets ``<EMAIL_ADDRESS_2>`` instead of overwriting the first
+    (quirk Q1 fixed).  One shuffle: the regroup by request.
+
+    Returns one row per request: ``parts`` (field_ord, part_ord, scrubbed
+    text), ``spans`` (request-level placeholders), ``mapping``."""
+    scr = parts.where(F.col("scrubbable"))
+    d = pii.detect_spans(scr, "text", "spans", **kw)
+    per_part = d.select(id_col, F.struct("field_ord", "part_ord", "text", "spans").alias("p"))
+    g = per_part.groupBy(id_col).agg(F.array_sort(F.collect_list("p")).alias("parts"))
+    flat, numbered, rebuilt, mapping = _request_numbering(mode)
+    g = g.withColumn("_flat", flat).withColumn("spans", numbered).drop("_flat")
+    return g.withColumn("parts", rebuilt).withColumn("mapping", mapping)
 
 
 def reassemble_chunks(chunks: DataFrame, id_col: str, seq_col: str = "seq", chunk_col: str = "chunk") -> DataFrame:
