@@ -245,4 +245,5 @@ def fail_policy(df: DataFrame, text_col: str = "text", on_error: str = "closed",
     if on_error == "closed":
         rejects = df.where(bad).withColumn("error_code", F.lit("PII_SCRUBBER_UNAVAILABLE"))
         return df.where(~bad), rejects
-    return df.withColumn("scrub_passthrough", bad), df.limit(0).withColumn("error_code", F.lit(None).cast("string"))
+    return df.withColumn("scrub_passthrough", bad), df.where(F.lit(False)).withColumn(
+        "error_code", F.lit(None).cast("string"))

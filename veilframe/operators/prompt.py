@@ -345,9 +345,23 @@ def reassemble_chunks(chunks: DataFrame, id_col: str, seq_col: str = "seq", chun
         lambda x: x["c"]), "").alias("text"))
 
 
-def token_counts(prompt: Column, completion: Column, is_stream: Column) -> tuple[Column, Column]:
-    """Approximate tokens; streamed responses count 0 completion."""
-    return approx_tokens(prompt), F.when(is_stream, F.lit(0)).otherwise(approx_tokens(completion))
+def count_tokens(text: Column, provider: Column, counters: dict | None = None) -> Column:
+    """Provider-dispatched token count.  ``counters`` maps a provider to a
+    function Column -> Column (for example a vectorised pandas UDF wrapping a
+    real tokenizer); providers without one use the G1 approximation."""
+    out = approx_tokens(text)
+    for name, fn in (counters or {}).items():
+        out = F.when(provider == name, fn(text)).otherwise(out)
+    return F.when(text.isNull() | (text == ""), F.lit(0)).otherwise(out)
+
+
+def token_counts(prompt: Column, completion: Column, is_stream: Column, provider: Column | None = None,
+                 counters: dict | None = None) -> tuple[Column, Column]:
+    """Prompt and completion tokens; streamed responses count 0
+    completion tokens (no body is read)."""
+    prov = provider if provider is not None else F.lit(None).cast("string")
+    return (count_tokens(prompt, prov, counters),
+            F.when(is_stream, F.lit(0)).otherwise(count_tokens(completion, prov, counters)))
 
 
 def request_hash(v: Column) -> Column:
