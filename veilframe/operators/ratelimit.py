@@ -21,8 +21,9 @@ never sorts a whole key in one task (one key may hold a third of the rows):
 3. An island whose offered load never exceeds ``L`` admits every request (by
    induction), so its rows are finished in SQL with no state at all.
 4. Only overloaded islands are replayed, by a sorted streaming scan:
-   ``repartition(key, island)`` spreads the islands of a hot key over tasks,
-   ``sortWithinPartitions`` orders them, and ``mapInPandas`` walks the Arrow
+   the island-peak window hash-partitions rows by (key, island), which
+   spreads the islands of a hot key over tasks; ``sortWithinPartitions``
+   orders them, and ``mapInPandas`` walks the Arrow
    batches keeping at most ``L`` timestamps.  Nothing is collected per group;
    memory is bounded by ``L``.  A single never-idle overloaded island is
    sequential by definition.
@@ -94,8 +95,10 @@ def _islands(df: DataFrame, key: str, t: str, id_col: str, window_ms: int) -> Da
                .withColumn("_island", F.coalesce("_in_bucket", "_carry"))
                .withColumn("_island_t", F.col("_island.st")).withColumn("_island_i", F.col("_island.si"))
                .drop("_island", "_in_bucket", "_carry", "_start", "_copy", "_b"))
-    peak = isl.groupBy(key, "_island_t", "_island_i").agg(F.max("offered").alias("_island_max"))
-    return isl.join(peak, [key, "_island_t", "_island_i"], "inner")
+    # the island's peak load; the window leaves rows hash-partitioned by
+    # island, which is exactly the layout the replay of overloaded islands
+    # needs, so no further shuffle follows
+    return isl.withColumn("_island_max", F.max("offered").over(Window.partitionBy(key, "_island_t", "_island_i")))
 
 
 def _replay(key: str, t: str, window_ms: int, names: list[str]):
@@ -140,7 +143,7 @@ def _replay(key: str, t: str, window_ms: int, names: list[str]):
 
 
 def admit(df: DataFrame, key: str, t: str, id_col: str, limit: int | str,
-          window_ms: int = WINDOW_MS, num_partitions: int | None = None) -> DataFrame:
+          window_ms: int = WINDOW_MS) -> DataFrame:
     """Add ``admitted``, ``current``, ``retry_after_ms`` (0 when
     admitted) and ``offered`` to every request.
 
@@ -154,9 +157,7 @@ def admit(df: DataFrame, key: str, t: str, id_col: str, limit: int | str,
                .withColumn("current", (F.col("_rn") - F.col("_old")).cast("int"))
                .withColumn("retry_after_ms", F.lit(0).cast("long")))
     slow_in = isl.where(F.col("_island_max") > F.col("_limit"))
-    parts = num_partitions or df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    slow_sorted = (slow_in.repartition(int(parts), key, "_island_t", "_island_i")
-                          .sortWithinPartitions(key, "_island_t", "_island_i", t, id_col))
+    slow_sorted = slow_in.sortWithinPartitions(key, "_island_t", "_island_i", t, id_col)
     out_names = names + ["_island_t", "_island_i", "offered"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slow_sorted.select(*out_names).schema.fields)
     slow = slow_sorted.select(*out_names).mapInPandas(
