@@ -1,6 +1,5 @@
 import os
 import sys
-import tempfile
 
 import pytest
 
@@ -14,7 +13,8 @@ SMALL = "/root/testdata/sf0.001"
 def spark():
     from veilframe.session import build_session
 
-    ckpt = tempfile.mkdtemp(prefix="veilframe-test-ckpt-")
-    s = build_session("local[4]", shuffle_partitions=8, extra={"spark.checkpoint.dir": ckpt})
+    # the checkpoint folder comes from the configuration when set; otherwise
+    # veilframe.session registers a scratch folder of its own
+    s = build_session("local[4]", shuffle_partitions=8)
     yield s
     s.stop()

@@ -72,3 +72,31 @@ def test_near_duplicates_include_exact_copies(spark):
                                            & (F.col("a.doc_id") < F.col("b.doc_id"))).select("a.doc_id", "b.doc_id").collect()}
     pairs = {(r["doc_a"], r["doc_b"]) for r in E.queries()["featurized_pairs"](spark, SMALL).collect()}
     assert copies <= pairs
+
+
+def _hash_exchanges(plan: str) -> list[str]:
+    return [line.strip() for line in plan.split("\n") if "Exchange hashpartitioning(" in line]
+
+
+def test_request_scrub_shuffles_once(spark):
+    p = _plan(E.queries()["scrub_requests"](spark, SMALL))
+    ex = _hash_exchanges(p)
+    assert len(ex) == 1 and "conv_id" in ex[0]
+
+
+def test_corpus_counts_shuffle_budget(spark):
+    p = _plan(E.queries()["pii_counts_by_lang"](spark, SMALL))
+    assert len(_hash_exchanges(p)) == 1  # the partial/final aggregate by lang
+    assert p.count("Exchange") - p.count("BroadcastExchange") <= 2  # plus at most the spread
+
+
+def test_admission_never_partitions_rows_by_key_alone(spark):
+    """Request rows are shuffled by (key, bucket) or (key, island); the only
+    exchange by key alone carries the per-bucket summary (one row per
+    bucket), i.e. sits directly on its aggregate."""
+    lines = _plan(E.queries()["admission"](spark, SMALL)).split("\n")
+    ex = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(" in line]
+    assert any("_b#" in lines[i] or "_island_t#" in lines[i] for i in ex)
+    for i in ex:
+        if "_b#" not in lines[i] and "_island_t#" not in lines[i]:
+            assert "Aggregate(key=[" in lines[i + 1] and "_b#" in lines[i + 1]
