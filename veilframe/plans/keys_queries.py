@@ -15,17 +15,17 @@ TS_FMT = "yyyy-MM-dd HH:mm:ss"
 TS_SQL = "%Y-%m-%d %H:%M:%S"
 
 
-@register("auth_outcomes", operators=("F1", "F2"), oracle=D.with_views("""
+@register("auth_outcomes", operators=("F1", "F2"), oracle=D.with_views(f"""
 SELECT a.attempt_id,
   CASE WHEN a.presented IS NULL OR a.presented = '' THEN 'missing'
-       WHEN NOT starts_with(a.presented, 'pil-') OR length(a.presented) < 8 THEN 'malformed'
+       WHEN NOT starts_with(a.presented, '{D.KEY_PREFIX}') OR length(a.presented) < 8 THEN 'malformed'
        WHEN k.key_id IS NULL THEN 'unknown'
        WHEN k.revoked_at IS NOT NULL AND k.revoked_at <= a.ts THEN 'revoked'
        WHEN k.grace_expires_at IS NOT NULL AND k.grace_expires_at <= a.ts THEN 'grace_expired'
        ELSE 'ok' END AS outcome,
   k.key_id AS matched_key_id
 FROM auth_attempts a LEFT JOIN api_keys k
-  ON starts_with(a.presented, 'pil-') AND length(a.presented) >= 8
+  ON starts_with(a.presented, '{D.KEY_PREFIX}') AND length(a.presented) >= 8
  AND k.key_suffix = right(a.presented, 4) AND k.key_hash = sha256('salt' || a.presented)""",
                                                                            "api_keys", "auth_attempts"))
 def q_auth_outcomes(spark, sf):
@@ -33,16 +33,16 @@ def q_auth_outcomes(spark, sf):
     return m.select("attempt_id", "outcome", "matched_key_id")
 
 
-@register("auth_failures", operators=("F7",), oracle=D.with_views("""
+@register("auth_failures", operators=("F7",), oracle=D.with_views(f"""
 SELECT outcome AS reason, count(*) AS n FROM (
 SELECT CASE WHEN a.presented IS NULL OR a.presented = '' THEN 'missing'
-       WHEN NOT starts_with(a.presented, 'pil-') OR length(a.presented) < 8 THEN 'malformed'
+       WHEN NOT starts_with(a.presented, '{D.KEY_PREFIX}') OR length(a.presented) < 8 THEN 'malformed'
        WHEN k.key_id IS NULL THEN 'unknown'
        WHEN k.revoked_at IS NOT NULL AND k.revoked_at <= a.ts THEN 'revoked'
        WHEN k.grace_expires_at IS NOT NULL AND k.grace_expires_at <= a.ts THEN 'grace_expired'
        ELSE 'ok' END AS outcome
 FROM auth_attempts a LEFT JOIN api_keys k
-  ON starts_with(a.presented, 'pil-') AND length(a.presented) >= 8
+  ON starts_with(a.presented, '{D.KEY_PREFIX}') AND length(a.presented) >= 8
  AND k.key_suffix = right(a.presented, 4) AND k.key_hash = sha256('salt' || a.presented))
 WHERE outcome <> 'ok' GROUP BY outcome""", "api_keys", "auth_attempts"))
 def q_auth_failures(spark, sf):

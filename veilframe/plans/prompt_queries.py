@@ -172,7 +172,7 @@ SELECT DISTINCT conv_id,
 FROM conversations""")
 def q_generic_routes(spark, sf):
     b = B.request_bodies(spark, sf)
-    r = P.with_generic_route(b, F.try_element_at(F.col("headers"), F.lit("X-PIL-Provider")))
+    r = P.with_generic_route(b, F.try_element_at(F.col("headers"), F.lit(P.PROVIDER_HEADER)))
     return r.select("conv_id", "generic_provider", "native_path", "generic_error")
 
 

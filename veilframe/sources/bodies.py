@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilframe.operators.prompt import KEY_HEADER, PROVIDER_HEADER
+from veilframe.sources.domain import KEY_PREFIX
 from veilframe.sources.tables import load
 
 DIALECTS = ("openai", "anthropic", "gemini")
@@ -119,11 +121,11 @@ def request_bodies(spark: SparkSession, sf: str) -> DataFrame:
     headers = F.create_map(
         F.lit("Host"), F.lit("localhost"), F.lit("User-Agent"), F.lit("curl"),
         F.lit("Authorization"), F.concat(F.lit("Bearer sk-fake-"), k.cast("string")),
-        F.lit("X-PIL-Key"), F.lit("pil-xyz"), F.lit("OpenAI-Organization"), F.concat(F.lit("org-"), (k % 3).cast("string")),
+        F.lit(KEY_HEADER), F.lit(KEY_PREFIX + "xyz"), F.lit("OpenAI-Organization"), F.concat(F.lit("org-"), (k % 3).cast("string")),
         F.lit("Anthropic-Version"), F.lit("2023-06-01"),
         F.lit("X-Request-Id"), F.when(k % 4 == 0, F.lit("")).when(k % 4 == 1, F.lit(None).cast("string"))
                                 .otherwise(F.concat(F.lit("req-"), k.cast("string"))),
-        F.lit("X-PIL-Provider"), F.when(k % 7 == 0, F.lit(None).cast("string")).when(k % 7 == 1, F.lit("cohere"))
+        F.lit(PROVIDER_HEADER), F.when(k % 7 == 0, F.lit(None).cast("string")).when(k % 7 == 1, F.lit("cohere"))
                                    .otherwise(F.element_at(F.array(*[F.lit(d) for d in DIALECTS]), (k % 3 + 1).cast("int"))))
     return g.select("conv_id", F.element_at(F.array(*[F.lit(d) for d in DIALECTS]), (F.col("d") + 1)).alias("dialect"),
                     path.alias("path"), headers.alias("headers"), body.alias("body"))
