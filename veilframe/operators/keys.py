@@ -76,9 +76,13 @@ def apply_revocations(keys: DataFrame, events: DataFrame) -> DataFrame:
     return j
 
 
-def key_lineage(spark, keys: DataFrame, view: str = "_vf_keys") -> DataFrame:
+def key_lineage(spark, keys: DataFrame, view: str | None = None) -> DataFrame:
     """chain root and depth of every key through ``rotated_from_id``,
-    as a recursive CTE (iterative joins planned by Spark)."""
+    as a recursive CTE (iterative joins planned by Spark).  The input is
+    exposed under a view name unique to the call."""
+    import uuid
+
+    view = view or f"_vf_keys_{uuid.uuid4().hex}"
     keys.select("key_id", "rotated_from_id").createOrReplaceTempView(view)
     return spark.sql(f"""
         WITH RECURSIVE chain(key_id, root_id, depth) AS (
