@@ -161,9 +161,12 @@ def q_live_mapping(spark, sf):
 
 
 # --- A3: audit append and read-back ----------------------------------------
-@register("audit_roundtrip", operators=("A3", "A2"), oracle=_audit_sql("""
+AUDIT_ROUNDTRIP_SQL = _audit_sql("""
 SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS requests, round(sum(estimated_cost_usd), 4) AS cost_usd
-FROM audit WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '1997-01-01' GROUP BY ALL"""))
+FROM audit WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '1997-01-01' GROUP BY ALL""")
+
+
+@register("audit_roundtrip", operators=("A3", "A2"), oracle=AUDIT_ROUNDTRIP_SQL)
 def q_audit_roundtrip(spark, sf):
     """Append the audit table partitioned by day into the shared folder, read
     it back with its declared schema; the date range prunes partitions."""

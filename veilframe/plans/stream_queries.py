@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.timeutil import utc_instant
 from veilframe.operators.ratelimit import WINDOW_MS, epoch_ms
 from veilframe.plans.rate_queries import LIMIT, _replay_sql
+from veilframe.plans.history_queries import AUDIT_ROUNDTRIP_SQL
 from veilframe.plans.registry import register
 from veilframe.streaming import admission as SA
 from veilframe.streaming.runner import read_table_stream, run_available_now
@@ -60,3 +61,28 @@ def q_mapping_ttl_join(spark, sf):
     out = run_available_now(j.select(F.col("m.request_id").alias("request_id"), F.col("r.turn").alias("turn")),
                             "mapping_ttl_join")
     return out
+
+
+@register("audit_stream_roundtrip", operators=("A3", "G6"), oracle=AUDIT_ROUNDTRIP_SQL)
+def q_audit_stream_roundtrip(spark, sf):
+    """Orders arrive as a stream; a stream-static join with customer turns
+    them into requests, audit rows are built per micro-batch and appended
+    idempotently (one directory per batch id, partitioned by month); the
+    table read back answers the same monthly question as the batch append."""
+    import uuid
+
+    from veilframe.operators import audit as A
+    from veilframe.plans.audit_queries import _prices
+    from veilframe.session import scratch_path
+    from veilframe.sources import domain as D
+    from veilframe.streaming.runner import append_idempotent
+
+    orders = read_table_stream(spark, sf, "orders", max_files=1)
+    audit = A.build_audit(D.requests(spark, sf, orders), _prices(spark)).withColumn(
+        "created_month", F.date_format("created_at", "yyyy-MM"))
+    path = scratch_path(spark, f"audit-stream-{uuid.uuid4().hex}/table")
+    append_idempotent(audit, path, "audit_stream", ("created_month",))
+    back = spark.read.parquet(path)
+    r = back.where((F.col("created_month") >= F.lit("1996-01")) & (F.col("created_month") < F.lit("1997-01")))
+    return r.groupBy(F.col("created_month").alias("month")).agg(
+        F.count(F.lit(1)).alias("requests"), F.round(F.sum("estimated_cost_usd"), 4).alias("cost_usd"))

@@ -109,8 +109,10 @@ FROM (SELECT *, '{KEY_PREFIX}' || substr(sha256('k' || CAST(c_custkey AS VARCHAR
 # ---------------------------------------------------------------------------
 # requests <- orders joined with customer
 # ---------------------------------------------------------------------------
-def requests(spark: SparkSession, sf: str) -> DataFrame:
-    o = load(spark, sf, "orders")
+def requests(spark: SparkSession, sf: str, orders: DataFrame | None = None) -> DataFrame:
+    """Request rows; ``orders`` may be a stream of order rows (a stream-static
+    join with customer then yields a request stream)."""
+    o = orders if orders is not None else load(spark, sf, "orders")
     c = load(spark, sf, "customer").select("c_custkey", "c_nationkey")
     k = F.col("o_orderkey")
     model_idx = k % len(PREWARMED)
