@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+def spread(df: DataFrame, min_partitions: int | None = None, keys: tuple[str, ...] = ()) -> DataFrame:
     """Round-robin a DataFrame over the cluster only when its scan yields
     fewer partitions than there are cores.
 
@@ -18,4 +18,7 @@ def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     target = min_partitions or spark.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= target:
         return df
-    return df.repartition(target)
+    # hash-partitioning on a row key is deterministic on retry without the
+    # local sort that a round-robin repartition performs first
+    key = [k for k in keys if k in df.columns]
+    return df.repartition(target, *key) if key else df.repartition(target)
