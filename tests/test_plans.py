@@ -102,3 +102,15 @@ def test_admission_never_partitions_rows_by_key_alone(spark):
     for i in ex:
         if "_b#" not in lines[i] and "_island_t#" not in lines[i]:
             assert "Aggregate(key=[" in lines[i + 1] and "_b#" in lines[i + 1]
+
+
+def test_leak_join_paths_agree(spark):
+    """The size-checked broadcast path and the shuffle path (texts joined
+    back per candidate) give the same pairs."""
+    from veilframe.operators import leak as L
+
+    d = load(spark, SMALL, "documents").select("doc_id", "text")
+    b = load(spark, SMALL, "benchmark").select("item_id", "text")
+    fast = {tuple(r) for r in L.leak_pairs(d, "doc_id", "text", b, "item_id", "text").collect()}
+    slow = {tuple(r) for r in L.leak_pairs(d, "doc_id", "text", b, "item_id", "text", broadcast_max_rows=0).collect()}
+    assert fast == slow and fast

@@ -62,7 +62,8 @@ def _hash_at(q: int, hashes: Column):
     return lambda i: _qgram_hash(q, hashes, i)
 
 
-def _token_path(hay: DataFrame, hay_id: str, hay_text: str, anchors: DataFrame, qs: list[int]) -> DataFrame:
+def _token_path(hay: DataFrame, hay_id: str, hay_text: str, anchors: DataFrame, qs: list[int],
+                broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     # the token array is its own (fenced) column: referenced from inside the
     # lambda as an expression it would be re-split for every position
     staged = spread(hay).select(F.col(hay_id).alias("hay_id"), F.col(hay_text).alias("hay_text"),
@@ -73,11 +74,21 @@ def _token_path(hay: DataFrame, hay_id: str, hay_text: str, anchors: DataFrame,
 
     per_q = [F.transform(starts(q), _hash_at(q, th)) for q in qs]
     hashes = F.array_distinct(F.concat(*per_q)) if len(per_q) > 1 else F.array_distinct(per_q[0])
-    probe = staged.select("hay_id", "hay_text", F.explode(hashes).alias("h"))
     stats = anchors.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("needle_text")).alias("b")).first()
-    small = stats["n"] <= BROADCAST_MAX_ROWS and (stats["b"] or 0) <= BROADCAST_MAX_BYTES
-    side = F.broadcast(anchors) if small else anchors
-    j = probe.join(side, "h", "inner").where(F.instr(F.col("hay_text"), F.col("needle_text")) > 0)
+    small = stats["n"] <= broadcast_max_rows and (stats["b"] or 0) <= BROADCAST_MAX_BYTES
+    if small:
+        # generator -> broadcast hash join -> verify, pipelined in one stage:
+        # the text is only materialised for candidate rows
+        probe = staged.select("hay_id", "hay_text", F.explode(hashes).alias("h"))
+        j = probe.join(F.broadcast(anchors), "h", "inner").where(F.instr(F.col("hay_text"), F.col("needle_text")) > 0)
+        return j.select("hay_id", "needle_id")
+    # shuffle path: only (id, hash) rows cross the network; texts are joined
+    # back once per distinct candidate pair for the verification
+    probe = staged.select("hay_id", F.explode(hashes).alias("h"))
+    cand = probe.join(anchors.select("h", "needle_id"), "h", "inner").select("hay_id", "needle_id").distinct()
+    texts = hay.select(F.col(hay_id).alias("hay_id"), F.col(hay_text).alias("hay_text"))
+    j = (cand.join(texts, "hay_id", "inner").join(anchors.select("needle_id", "needle_text"), "needle_id", "inner")
+             .where(F.instr(F.col("hay_text"), F.col("needle_text")) > 0))
     return j.select("hay_id", "needle_id")
 
 
@@ -129,7 +140,7 @@ def _scan_path(hay: DataFrame, hay_id: str, hay_text: str, short: DataFrame) ->
 
 
 def leak_pairs(haystack: DataFrame, hay_id: str, hay_text: str, needles: DataFrame, needle_id: str,
-               needle_text: str) -> DataFrame:
+               needle_text: str, broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """(hay_id, needle_id) for every haystack row that contains a tripwire."""
     n = needles.select(F.col(needle_id).alias("needle_id"), F.col(needle_text).alias("needle_text")).where(
         F.col("needle_text").isNotNull() & (F.col("needle_text") != ""))
@@ -137,7 +148,7 @@ def leak_pairs(haystack: DataFrame, hay_id: str, hay_text: str, needles: DataFra
     qs = sorted(r["q"] for r in anchors.select("q").distinct().collect())
     parts = []
     if qs:
-        parts.append(_token_path(haystack, hay_id, hay_text, anchors, qs))
+        parts.append(_token_path(haystack, hay_id, hay_text, anchors, qs, broadcast_max_rows))
     short = n.join(anchors.select("needle_id"), "needle_id", "left_anti")
     parts.append(_scan_path(haystack, hay_id, hay_text, short))
     out = parts[0]
