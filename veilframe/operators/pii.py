@@ -52,6 +52,7 @@ def _value_matches(regex: str):
     return lambda s: s["value"].rlike(regex)
 
 
+@column_memo
 def _recognizer_spans(text: Column, rec: Recognizer, threshold: float) -> Column:
     raw = regex_spans(text, rec.regex)
     for req in rec.requires:
