@@ -114,3 +114,21 @@ def test_leak_join_paths_agree(spark):
     fast = {tuple(r) for r in L.leak_pairs(d, "doc_id", "text", b, "item_id", "text").collect()}
     slow = {tuple(r) for r in L.leak_pairs(d, "doc_id", "text", b, "item_id", "text", broadcast_max_rows=0).collect()}
     assert fast == slow and fast
+
+
+def test_chunked_similarity_matches_single_chunk(spark):
+    """Many small chunks per block (query-chunk x entry-chunk replication,
+    per-chunk winners, global max_by) give the same answers as one chunk."""
+    from veilframe.operators import cache as C
+    from veilframe.plans import cache_queries as CQ
+
+    q = C.cacheable(CQ.cache_queries(spark, SMALL)).select(
+        "q_id", "org_id", "provider", "model", "q_vec", "q_ts_ms", "threshold")
+    e = CQ.cache_entries(spark, SMALL)
+    one = {tuple(r) for r in C.nearest_entries(q, e, chunk=100000).collect()}
+    many = {tuple(r) for r in C.nearest_entries(q, e, chunk=7).collect()}
+    assert one and {(a, b, round(c, 9)) for a, b, c in one} == {(a, b, round(c, 9)) for a, b, c in many}
+    emb = load(spark, SMALL, "embeddings")
+    p1 = {(r[0], r[1]) for r in C.similar_pairs(emb, "vec_id", "embedding", ["label"], 0.3, chunk=100000).collect()}
+    p2 = {(r[0], r[1]) for r in C.similar_pairs(emb, "vec_id", "embedding", ["label"], 0.3, chunk=5).collect()}
+    assert p1 and p1 == p2
