@@ -132,3 +132,16 @@ def test_chunked_similarity_matches_single_chunk(spark):
     p1 = {(r[0], r[1]) for r in C.similar_pairs(emb, "vec_id", "embedding", ["label"], 0.3, chunk=100000).collect()}
     p2 = {(r[0], r[1]) for r in C.similar_pairs(emb, "vec_id", "embedding", ["label"], 0.3, chunk=5).collect()}
     assert p1 and p1 == p2
+
+
+def test_short_tripwire_scan_in_several_passes(spark, monkeypatch):
+    from veilframe.operators import leak as L
+    from veilframe.plans.leak_queries import _tripwire_df
+    from veilframe.plans.pii_queries import secret_texts
+
+    hay = secret_texts(spark, SMALL).select("doc_id", "text")
+    trips = _tripwire_df(spark, SMALL)
+    one = {tuple(r) for r in L.leak_pairs(hay, "doc_id", "text", trips, "needle_id", "value").collect()}
+    monkeypatch.setattr(L, "SCAN_MAX_NEEDLES", 2)
+    several = {tuple(r) for r in L.leak_pairs(hay, "doc_id", "text", trips, "needle_id", "value").collect()}
+    assert one and one == several

@@ -96,6 +96,10 @@ def _scan_fn(needles: list[tuple[int, str]], text_col: str, id_col: str):
     def run(batches):
         import ahocorasick
 
+        if not needles:
+            for _ in batches:
+                yield pd.DataFrame({"hay_id": pd.Series([], dtype="int64"), "needle_id": pd.Series([], dtype="int64")})
+            return
         auto = ahocorasick.Automaton()
         for nid, s in needles:
             if s in auto:
@@ -134,9 +138,11 @@ def _scan_path(hay: DataFrame, hay_id: str, hay_text: str, short: DataFrame) ->
     for p in range(passes):
         words = [(int(r["needle_id"]), r["needle_text"]) for r in
                  ranked.where(F.col("_pass") == p).select("needle_id", "needle_text").toLocalIterator()]
+        if not words:  # passes are assigned by hash and may come out empty
+            continue
         part = h.mapInPandas(_scan_fn(words, "hay_text", "hay_id"), "hay_id long, needle_id long")
         out = part if out is None else out.unionByName(part)
-    return out
+    return out if out is not None else hay.sparkSession.createDataFrame([], "hay_id long, needle_id long")
 
 
 def leak_pairs(haystack: DataFrame, hay_id: str, hay_text: str, needles: DataFrame, needle_id: str,
