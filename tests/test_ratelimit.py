@@ -44,3 +44,20 @@ def test_matches_brute_force_with_hot_key_and_ties(spark):
             rows.append((key, rnd.randrange(spread) // 10 * 10, i))  # many equal timestamps
     got = _admit(spark, rows, 3, 1000)
     assert got == _brute(rows, 3, 1000)
+
+
+def test_per_key_limit_column(spark):
+    rnd = random.Random(11)
+    limits = {"a": 1, "b": 2, "c": 5}
+    rows, i = [], 0
+    for key in limits:
+        for _ in range(150):
+            i += 1
+            rows.append((key, rnd.randrange(30_000), i))
+    df = spark.createDataFrame([(k, t, j, limits[k]) for k, t, j in rows], "k string, t long, id long, lim int")
+    out = {r["id"]: (r["admitted"], r["current"], r["retry_after_ms"])
+           for r in R.admit(df, "k", "t", "id", "lim", 1000).collect()}
+    expected = {}
+    for key, lim in limits.items():
+        expected.update(_brute([r for r in rows if r[0] == key], lim, 1000))
+    assert out == expected
