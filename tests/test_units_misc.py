@@ -96,3 +96,25 @@ def test_one_way_request_scope_reuses_values(spark):
     r = P.scrub_requests(_request(spark, body), "rid", mode="one_way").collect()[0]
     assert [p["text"] for p in r["parts"]] == ["<EMAIL_ADDRESS_1>", "<EMAIL_ADDRESS_2> <EMAIL_ADDRESS_1>"]
     assert r["mapping"] == {}
+
+
+def test_fail_policy_open_and_closed(spark):
+    from veilframe.operators import pii
+
+    df = spark.createDataFrame([(1, None), (2, "x" * 50), (3, "ok")], "id long, text string")
+    keep, rej = pii.fail_policy(df, "text", "closed", max_chars=10)
+    assert sorted(r["id"] for r in keep.collect()) == [3]
+    assert sorted((r["id"], r["error_code"]) for r in rej.collect()) == [(1, "PII_SCRUBBER_UNAVAILABLE"),
+                                                                         (2, "PII_SCRUBBER_UNAVAILABLE")]
+    passed, none = pii.fail_policy(df, "text", "open", max_chars=10)
+    assert none.count() == 0
+    assert {r["id"]: r["scrub_passthrough"] for r in passed.collect()} == {1: True, 2: True, 3: False}
+
+
+def test_level_filter_unknown_is_info(spark):
+    from veilframe.operators import metrics as M
+
+    logs = spark.createDataFrame([(1, "debug"), (2, "verbose"), (3, "ERROR"), (4, "info")], "id long, level string")
+    assert sorted(r["id"] for r in M.filter_level(logs, "INFO").collect()) == [2, 3, 4]
+    assert sorted(r["id"] for r in M.filter_level(logs, "nonsense").collect()) == [2, 3, 4]
+    assert sorted(r["id"] for r in M.filter_level(logs, "warning").collect()) == [3]
