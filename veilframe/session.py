@@ -69,7 +69,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     On a cluster ``spark.checkpoint.dir`` names a shared, fault-tolerant folder
-    and we always use it.  Only when nothing is configured (local tests) do we
+    and we always use it.  Only when nothing is configured on a local master (tests) do we
     create a scratch folder of our own and register it with the context (the
     config key itself cannot be changed at runtime).
     """
@@ -80,6 +80,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     app = sc.applicationId
     if app not in _LOCAL_CHECKPOINTS:
         _LOCAL_CHECKPOINTS[app] = tempfile.mkdtemp(prefix="veilframe-ckpt-")
