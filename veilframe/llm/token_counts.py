@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import documents
-from veilframe.llm.tokens import SEGMENT, ChunkCoder
+from veilframe.llm.tokens import ChunkCoder, segments
 
 SPACE = "▁"       # the piece alphabet's sign for a space
 UNK_PENALTY = 10.0     # fixed value of unigram tokenizers: below the lowest score
@@ -71,17 +71,38 @@ class UnigramCounter:
 
 
 _RUNS = re.compile(" *[^ ]+| +")
-_COUNTERS: dict[str, ChunkCoder] = {}
+_FIRST_SPACE = re.compile("(?<! ) ")
 
 
-def _coder(path: str) -> ChunkCoder:
+class RunCoder(ChunkCoder):
+    """Chunks are words with all the spaces before them; the tokenizer puts one
+    space before the text, so the first word is like any other."""
+
+    HEAD = ""
+
+    def split(self, text: str) -> list[str]:
+        if "  " in text or text[:1] == " " or text[-1:] == " ":
+            return [r[1:] for r in _RUNS.findall(" " + text)]
+        return text.split(" ")
+
+    def irregular(self, chunk: str) -> bool:
+        return False
+
+    def written(self, chunk: str) -> str:
+        return SPACE + chunk.replace(" ", SPACE)
+
+
+_COUNTERS: dict[str, RunCoder] = {}
+
+
+def _coder(path: str) -> RunCoder:
     if path not in _COUNTERS:
         counter = UnigramCounter(unigram_vocabulary(path))
-        _COUNTERS[path] = ChunkCoder(lambda chunks: [counter.count(c.replace(" ", SPACE)) for c in chunks])
+        _COUNTERS[path] = RunCoder(lambda chunks: list(map(counter.count, chunks)))
     return _COUNTERS[path]
 
 
-def text_count(text: str, coder: ChunkCoder) -> int:
+def text_count(text: str, coder: RunCoder) -> int:
     """Pieces of a whole text. No piece runs from another character into a space,
     so the best segmentation of the text is that of its words, each with the
     spaces before it (scores are whole numbers: sums are exact)."""
@@ -89,30 +110,7 @@ def text_count(text: str, coder: ChunkCoder) -> int:
         return 0
     if SPACE in text:
         text = text.replace(SPACE, " ")
-    total, at = 0, 0
-    while at < len(text):
-        cut = text.find(" ", at + SEGMENT)
-        while cut > 0 and text[cut - 1] == " ":
-            cut -= 1
-        if cut <= at:
-            cut = len(text)
-        words = text[at:cut].split(" ")
-        if at:
-            words = words[1:] if words[0] == "" else words
-        if "" in words:  # runs of spaces
-            # the leading space: the tokenizer's own before the text, or the one cut off above
-            total += sum(coder.code([_r for _r in _RUNS.findall((" " if not at else "") + text[at:cut])]))
-        else:
-            cache = coder.cache
-            missing = list(set(words).difference(cache))
-            if missing:
-                if len(cache) > coder.limit:
-                    coder.cache = cache = {}
-                    missing = list(set(words))
-                cache.update(zip(missing, coder.code([" " + w for w in missing]), strict=True))
-            total += sum(map(cache.__getitem__, words))
-        at = cut
-    return total
+    return sum(sum(coder.coded([s[1:] if k else s])[0]) for k, s in enumerate(segments(text, cut=_FIRST_SPACE)))
 
 
 def token_counts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

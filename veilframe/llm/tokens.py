@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-SEGMENT = 1 << 20   # characters handled at a time
+SEGMENT = 1 << 19   # characters handled at a time
 CACHE = 400_000     # chunks kept; a full cache starts anew, which costs time, never results
 
 # A cut before a space that precedes a visible character never divides a pre-token of
@@ -16,11 +16,11 @@ CACHE = 400_000     # chunks kept; a full cache starts anew, which costs time, n
 _BEFORE_WORD = re.compile(r" (?=\S)")
 
 
-def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
-    """The text in parts of about ``size`` characters, each cut before a word's space."""
-    at = 0
+def segments(text: str, size: int | None = None, cut: re.Pattern = _BEFORE_WORD) -> Iterator[str]:
+    """The text in parts of about ``size`` characters, each cut where ``cut`` matches (before a word's space)."""
+    at, size = 0, size or SEGMENT
     while len(text) - at > size:
-        m = _BEFORE_WORD.search(text, at + size)
+        m = cut.search(text, at + size)
         if not m:
             break
         yield text[at:m.start()]
@@ -29,42 +29,131 @@ def segments(text: str, size: int = SEGMENT) -> Iterator[str]:
 
 
 class ChunkCoder:
-    """Encodes texts chunk by chunk; ``code`` maps a list of chunks to their codes
-    (bytes or counts), and each distinct chunk is coded once while it is cached.
+    """Encodes texts chunk by chunk: every distinct chunk is coded once while it is cached.
 
-    A chunk is a word with the space before it (the first has none). A chunk
-    that is empty or starts with white space shows that the text must be cut by the
-    careful rule instead.
+    ``code`` maps a list of strings to their codes (packed ids or counts). A chunk is a
+    word without the space before it, which ``code`` gets back; the text's first
+    chunk, which has none, is marked by ``HEAD``. The cache has two generations:
+    a full young one becomes the old one, from which chunks still in use move
+    back, so frequent chunks stay and memory is bounded.
     """
 
+    HEAD = "\0"
+
     def __init__(self, code: Callable[[list[str]], Iterable], limit: int = CACHE):
-        self.code, self.limit, self.cache = code, limit, {}
-
-    def parts(self, texts: list[str]) -> list[list[str]]:
-        split = [t.split(" ") for t in texts]
-        if len(self.cache) > self.limit:
-            self.cache = {}
-        cache, missing = self.cache, set()
-        for p in split:
-            missing.update(set(p).difference(cache))
-        odd = {p for p in missing if not p or p[0].isspace()}
+        self.code, self.limit, self.young, self.old = code, limit, {}, {}
+
+    def split(self, text: str) -> list[str]:
+        """The chunks of a text by the simple cut."""
+        if self.HEAD in text:
+            return [self.HEAD + text]
+        parts = text.split(" ")
+        parts[0] = self.HEAD + parts[0]
+        return parts
+
+    def irregular(self, chunk: str) -> bool:
+        """A chunk by which the simple split may differ from the tokenizer's."""
+        return not chunk or chunk[0].isspace()
+
+    def careful(self, text: str) -> list[str]:
+        parts = _BEFORE_WORD.split(text)
+        parts[0] = self.HEAD + parts[0]
+        return parts
+
+    def written(self, chunk: str) -> str:
+        """The string that a chunk stands for."""
+        return chunk[1:] if chunk[0] == self.HEAD else " " + chunk
+
+    def learn(self, chunks: list[str]) -> None:
+        self.young.update(zip(chunks, self.code([self.written(c) for c in chunks]), strict=True))
+
+    def coded(self, texts: list[str]) -> list[list]:
+        """The codes of each text's chunks, in order."""
+        if len(self.young) > self.limit:
+            self.old, self.young = self.young, {}
+        get, out, todo, missing = self.young.get, [], [], set()
+        for i, text in enumerate(texts):
+            parts = self.split(text)
+            codes = list(map(get, parts))
+            out.append(codes)
+            if None in codes:
+                holes = [j for j, c in enumerate(codes) if c is None]
+                todo.append((i, parts, holes))
+                missing.update([parts[j] for j in holes])
+        odd = {c for c in missing if c[:1] != self.HEAD and self.irregular(c)}
         if odd:
-            for i, p in enumerate(split):
-                if not odd.isdisjoint(p):
-                    split[i] = _BEFORE_WORD.split(texts[i])
-                    missing.update(set(split[i][1:]).difference(cache))
-        missing = [p for p in missing if p and not p[0].isspace()]
-        for i in range(0, len(missing), 50_000):
-            some = missing[i:i + 50_000]
-            cache.update(zip(some, self.code([" " + p for p in some]), strict=True))
-        return split
-
-    def coded(self, texts: list[str]) -> list[tuple]:
-        """For each text the code of its first chunk and an iterator over those of the others."""
-        split = self.parts(texts)
-        heads = self.code([p[0] for p in split])
-        get = self.cache.__getitem__
-        return [(h, map(get, p[1:])) for h, p in zip(heads, split, strict=True)]
+            for k, (i, parts, _) in enumerate(todo):
+                if not odd.isdisjoint(parts):
+                    parts = self.careful(texts[i])
+                    todo[k], out[i] = (i, parts, range(len(parts))), [None] * len(parts)
+                    missing.update(parts)
+            missing -= odd
+        young = self.young
+        moved = {c: self.old[c] for c in missing if c in self.old}
+        young.update(moved)
+        new = [c for c in missing if c not in young]
+        if new:
+            self.learn(new)
+        for i, parts, holes in todo:
+            codes, table = out[i], self.young
+            for j in holes:
+                codes[j] = table[parts[j]]
+        return out
+
+
+MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
+
+
+class WordCoder(ChunkCoder):
+    """For patterns in which a run of letters and a run of marks are separate
+    pre-tokens: learns a word and the marks after it apart, and cuts before a line
+    break that stands between visible characters."""
+
+    def split(self, text: str) -> list[str]:
+        if self.HEAD in text:
+            return [self.HEAD + text]
+        parts = text.replace("\n", " \n").split(" ")
+        parts[0] = self.HEAD + parts[0]
+        return parts
+
+    def irregular(self, chunk: str) -> bool:
+        if chunk[:1] == "\n":
+            return len(chunk) == 1 or chunk[1].isspace()
+        return super().irregular(chunk)
+
+    def written(self, chunk: str) -> str:
+        return chunk if chunk[0] == "\n" else super().written(chunk)
+
+    def learn(self, chunks: list[str]) -> None:
+        divided, plain = {}, set()
+        for c in chunks:
+            stem = c.rstrip(MARKS)
+            if len(stem) < len(c) and stem and stem[-1].isalpha():
+                divided[c] = stem, self.HEAD + c[len(stem):]
+            else:
+                plain.add(c)
+        for pair in divided.values():
+            plain.update(x for x in pair if x not in self.young)
+        super().learn(list(plain))
+        table = self.young
+        for c, (stem, marks) in divided.items():
+            table[c] = table[stem] + table[marks]
+
+
+class SpacelessCoder(WordCoder):
+    """For tokenizers that drop white space and letter case: chunks are lower-cased words."""
+
+    HEAD = ""
+
+    def split(self, text: str) -> list[str]:
+        text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+        return text.replace("\n", " ").split(" ")
+
+    def irregular(self, chunk: str) -> bool:
+        return False
+
+    def written(self, chunk: str) -> str:
+        return chunk
 
 
 def load_tokenizer(path: str):
@@ -81,6 +170,48 @@ def id_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
+def _spaced(t) -> np.ndarray | None:
+    """By id, whether a byte-level token starts with a space; None for other tokenizers."""
+    starts = np.zeros(t.get_vocab_size(with_added_tokens=True), bool)
+    for token, i in t.get_vocab().items():
+        starts[i] = token.startswith("\u0120")
+    return starts if starts.any() else None
+
+
+def _batch_code(t, kind: str) -> Callable[[list[str]], list[bytes]]:
+    """Codes of many strings. Strings of the form " word" (one space, at the start) are
+    encoded joined: the ids of each begin at a token that starts with a space."""
+    spaced = _spaced(t)
+
+    def each(strings: list[str]) -> list[bytes]:
+        return [np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast(strings, add_special_tokens=False)]
+
+    def code(strings: list[str]) -> list[bytes]:
+        if spaced is None:
+            return each(strings)
+        out: list = [None] * len(strings)
+        single, joined = [], []
+        for i, s in enumerate(strings):
+            (joined if s[:1] == " " and len(s) < 200 and s[1:].isalpha() else single).append(i)
+        for i, c in zip(single, each([strings[i] for i in single]), strict=True):
+            out[i] = c
+        groups = [joined[i:i + 500] for i in range(0, len(joined), 500)]
+        for group, e in zip(groups, t.encode_batch_fast(["".join([strings[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, kind)
+            cuts = np.flatnonzero(spaced[ids])
+            if len(cuts) != len(group):
+                for i, c in zip(group, each([strings[i] for i in group]), strict=True):
+                    out[i] = c
+                continue
+            width, raw = ids.itemsize, ids.tobytes()
+            at = [*(cuts * width).tolist(), len(raw)]
+            for k, i in enumerate(group):
+                out[i] = raw[at[k]:at[k + 1]]
+        return out
+
+    return code
+
+
 _CODERS: dict[str, tuple[ChunkCoder, str]] = {}
 
 
@@ -89,11 +220,9 @@ def id_coder(path: str) -> tuple[ChunkCoder, str]:
     if path not in _CODERS:
         t = load_tokenizer(path)
         kind = id_type(t.get_vocab_size(with_added_tokens=True))
-
-        def code(chunks: list[str]) -> list[bytes]:
-            return [np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast(chunks, add_special_tokens=False)]
-
-        _CODERS[path] = ChunkCoder(code), kind
+        # a white-space run leaves no id where the tokenizer drops white space
+        drops = not t.encode(" \n", add_special_tokens=False).ids and t.encode("A a").ids[0] == t.encode("a").ids[0]
+        _CODERS[path] = (SpacelessCoder if drops else WordCoder)(_batch_code(t, kind)), kind
     return _CODERS[path]
 
 
@@ -104,25 +233,16 @@ def encode_texts(texts: Iterable[str | None], path: str, end_id: int) -> Iterato
     end = np.array([end_id], kind).tobytes()
     group: list[str] = []
     size = 0
-    def flush():
-        for head, rest in coder.coded(group):
-            yield b"".join([head, *rest, end])
     for text in texts:
         text = "" if text is None else text
-        if len(text) > SEGMENT:
-            yield from flush()
+        if size + len(text) > SEGMENT:
+            for codes in coder.coded(group):
+                yield b"".join(codes) + end
             group, size = [], 0
-            out = bytearray()
-            for s in segments(text):
-                head, rest = coder.coded([s])[0]
-                out += head
-                for piece in rest:
-                    out += piece
-            yield bytes(out) + end
+        if len(text) > SEGMENT:
+            yield b"".join(b"".join(coder.coded([s])[0]) for s in segments(text)) + end
             continue
         group.append(text)
         size += len(text)
-        if size > SEGMENT:
-            yield from flush()
-            group, size = [], 0
-    yield from flush()
+    for codes in coder.coded(group):
+        yield b"".join(codes) + end
