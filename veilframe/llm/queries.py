@@ -8,7 +8,9 @@ from importlib import import_module
 ENTRIES = {
     "op1_exact_dedup": ("exact_dedup", "OP1_SQL"),
     "op2_simhash": ("simhash", None),
+    "op3_line_dedup": ("line_dedup", None),
     "op4_token_files": ("token_files", None),
+    "op8_nearest": ("ann", "OP8_SQL"),
     "op9_token_counts": ("token_counts", None),
     "op10_packing": ("packing", None),
 }
