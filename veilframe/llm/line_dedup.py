@@ -18,19 +18,28 @@ BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def variant_hashes(line: str) -> np.ndarray:
-    """Hashes of the line itself and of all its single-character deletions, distinct.
+OWN, CUT, SWAP = 0, 1, 2  # what a key stands for: the line itself, a deletion, a deletion at a known place
 
-    With S the running sum of code * BASE^place (modulo 2^64), the line without
-    place i has the sum S[i] + (S[n] - S[i+1]) / BASE, so all cost one pass.
+
+def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed keys of a line and its single-character deletions, and what each stands for.
+
+    Two lines are one insertion apart if the longer one's deletion is the other
+    line itself (CUT meets OWN), and one substitution apart if they are equal without
+    the same place (SWAP meets SWAP). With S the running sum of code * BASE^place
+    (modulo 2^64), the line without place i has the sum S[i] + (S[n] - S[i+1]) / BASE,
+    so all keys cost one pass.
     """
     codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     n = len(codes)
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate(([1], np.full(n, BASE, np.uint64))).astype(np.uint64), dtype=np.uint64)[:n]
+        powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, BASE, np.uint64))), dtype=np.uint64)[:n]
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers, dtype=np.uint64)))
         shorter = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(INVERSE)
-    return np.concatenate((mix(sums[-1:], n), mix(np.unique(shorter), n - 1)))
+        cut = mix(np.unique(shorter), n - 1)
+        swap = mix(mix(shorter, -n) + np.arange(n, dtype=np.uint64), 3)
+    return (np.concatenate((mix(sums[-1:], n), cut, swap)),
+            np.repeat(np.array([OWN, CUT, SWAP], np.int8), [1, len(cut), n]))
 
 
 def half_keys(norm: Column) -> Column:
@@ -45,44 +54,64 @@ def half_keys(norm: Column) -> Column:
     return F.array_distinct(F.array(key("p", half), key("p", lower), key("s", n - half), key("s", n - 1 - lower)))
 
 
+def _normal(line: str) -> str:
+    """What ``_lines`` compares, for one line in Python."""
+    return line.strip(" ").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """Eligible lines (doc_id, row, line_no, norm, h1, h2)."""
+    """Eligible lines: place (doc_id, row, line_no), 128-bit hash, half keys."""
     lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     norm = lines.select("doc_id", "row", "line_no", ascii_lower(F.trim("line")).alias("norm"))
-    return norm.where(F.size(F.split("norm", "\\s+")) >= MIN_WORDS).withColumn("h1", F.xxhash64("norm")).withColumn(
-        "h2", F.xxhash64(F.lit("second"), "norm"))
+    return norm.where(F.size(F.split("norm", "\\s+")) >= MIN_WORDS).select(
+        "doc_id", "row", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2"),
+        half_keys(F.col("norm")).alias("keys"))
 
 
-def near_lines(lines: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Pairs (h1, h2) - (g1, g2) of different lines within MAX_EDITS, both ways.
+def late_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(h1, h2) of the distinct lines with an earlier line within MAX_EDITS.
 
     Only lines that share a half key with another line emit their deletion
-    variants; equal variants are joined and the edit distance is verified.
+    variants. They are numbered in order of their first place, so for each key the
+    smallest numbers, combined before the shuffle, tell each of its lines the earliest line
+    it meets there; no pairs of a group are formed. The pair of a line
+    and its earliest one is then verified by edit distance.
     """
-    keys = stored(lines.select("h1", "h2", "norm").select("h1", "h2", F.explode(half_keys(F.col("norm"))).alias("key")).distinct(), "line-halves")
+    keys = distinct.select("h1", "h2", F.explode("keys").alias("key"))
     shared = keys.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b"), F.min("h2").alias("c"), F.max("h2").alias("d")).where(
         "a <> b or c <> d").select("key")
-    some = stored(keys.join(shared, "key").select("h1", "h2").distinct(), "line-some")
-    texts = stored(lines.select("h1", "h2", "norm").join(some, ["h1", "h2"]).groupBy("h1", "h2").agg(F.first("norm").alias("norm"))
-                   .withColumn("sid", F.monotonically_increasing_id()), "line-texts")
+    some = keys.join(shared.hint("merge"), "key").select("h1", "h2").distinct()
+    numbered = stored(distinct.select("h1", "h2", "first").join(some.hint("merge"), ["h1", "h2"]).orderBy("first")
+                      .withColumn("sid", F.monotonically_increasing_id()), "line-some")
+    need = numbered.groupBy(F.col("first.doc_id").alias("n_id"), F.col("first.row").alias("n_row")).agg(
+        F.collect_list(F.struct("first.line_no", "sid")).alias("need"))
+
+    def pick(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for text, wanted in zip(b["text"], b["need"], strict=True):
+                lines = text.split("\n")
+                rows += [(w["sid"], _normal(lines[w["line_no"]])) for w in wanted]
+            yield pd.DataFrame(rows, columns=["sid", "norm"])
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for sid, norm in zip(b["sid"], b["norm"], strict=True):
-                v = variant_hashes(norm).view(np.int64)
-                yield pd.DataFrame({"v": v, "sid": np.full(len(v), sid, np.int64)})
-
-    variants = texts.select("sid", "norm").mapInPandas(emit, "v long, sid long")
-    # a variant of one line only joins nothing: minima and maxima are combined before the shuffle
-    variants = stored(variants, "line-variants")
-    shared = variants.groupBy("v").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("v")
-    a = variants.join(shared, "v")
-    pairs = stored(a.select("v", F.col("sid").alias("a")).join(a.select("v", F.col("sid").alias("b")), "v").where("a < b")
-                   .select("a", "b").distinct(), "line-pairs")
-    left = texts.select(F.col("sid").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"), F.col("norm").alias("na"))
-    right = texts.select(F.col("sid").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"), F.col("norm").alias("nb"))
-    near = stored(pairs.join(left, "a").join(right, "b").where(F.levenshtein("na", "nb", MAX_EDITS) >= 0).select("a1", "a2", "b1", "b2"), "line-near")
-    return near.unionAll(near.select("b1", "b2", "a1", "a2")).toDF("h1", "h2", "g1", "g2")
+                v, kind = variant_keys(norm)
+                yield pd.DataFrame({"v": v.view(np.int64), "kind": kind, "sid": np.full(len(v), sid, np.int64)})
+
+    texts = stored(docs.join(need.hint("merge"), F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("row") == F.col("n_row")))
+                   .select("text", "need").mapInPandas(pick, "sid long, norm string").dropDuplicates(["sid"]), "line-texts")
+    variants = stored(texts.mapInPandas(emit, "v long, kind byte, sid long"), "line-variants")
+    least = variants.groupBy("v").agg(
+        F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min(F.when(F.col("kind") == OWN, F.col("sid"))).alias("own"),
+        F.min(F.when(F.col("kind") == CUT, F.col("sid"))).alias("cut")).where("lo < hi")
+    other = F.when(F.col("kind") == OWN, F.col("cut")).when(F.col("kind") == CUT, F.col("own")).otherwise(F.col("lo"))
+    pairs = variants.join(least.hint("merge"), "v").select("sid", other.alias("other")).where("other < sid").groupBy("sid").agg(
+        F.min("other").alias("other"))
+    verified = (pairs.join(texts, "sid").join(texts.select(F.col("sid").alias("other"), F.col("norm").alias("earlier")), "other")
+                .where(F.levenshtein("norm", "earlier", MAX_EDITS) >= 0).select("sid"))
+    return stored(numbered.join(verified, "sid").select("h1", "h2"), "line-late")
 
 
 def _drop_lines(name: str):
@@ -112,21 +141,20 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(text_col).cast("string")
     row = F.xxhash64(text)
     base = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.coalesce(text, F.lit("")).alias("text"))
-    lines = _lines(base)
+    lines = stored(_lines(base), "line-places")
     place = F.struct("doc_id", "row", "line_no")
-    distinct = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")), "line-distinct")
-    near = near_lines(lines, distinct)
-    other = distinct.select(F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("first").alias("other"))
-    late = near.join(other, ["g1", "g2"]).groupBy("h1", "h2").agg(F.min("other").alias("earliest_near"))
-    marked = stored(distinct.join(late, ["h1", "h2"], "left").where("n > 1 or earliest_near < first")
-                    .select("h1", "h2", "first", F.coalesce(F.expr("earliest_near < first"), F.lit(False)).alias("late")), "line-marked")
-    gone = (lines.select("doc_id", "row", "line_no", "h1", "h2").join(marked, ["h1", "h2"])
+    distinct = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")),
+                      "line-distinct")
+    late = late_lines(base, distinct).withColumn("late", F.lit(True))
+    marked = (distinct.select("h1", "h2", "first", "n").join(late.hint("merge"), ["h1", "h2"], "left").where("n > 1 or late")
+              .select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late")))
+    gone = (lines.select("doc_id", "row", "line_no", "h1", "h2").join(stored(marked, "line-marked"), ["h1", "h2"])
             .where(F.col("late") | ~place.eqNullSafe(F.col("first")))
             .groupBy(F.col("doc_id").alias("_g_id"), F.col("row").alias("_g_row")).agg(F.collect_set("line_no").alias("_gone")))
     gone = stored(gone, "line-gone")
     kept = [c for c in docs.columns if not c.startswith("_g_") and c not in ("_gone", "_dropped", "_lines")]
     joined = docs.select(*kept, row.alias("_row")).join(
-        gone, F.col(id_col).eqNullSafe(F.col("_g_id")) & (F.col("_row") == F.col("_g_row")), "left")
+        gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_g_id")) & (F.col("_row") == F.col("_g_row")), "left")
     out = [(_drop_lines("kept_lines")(text, F.col("_gone")).alias(c) if c == text_col else F.col(c)) for c in kept]
     return joined.select(*out, F.coalesce(F.size("_gone"), F.lit(0)).alias("_dropped"),
                          F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).alias("_lines"))
