@@ -10,6 +10,8 @@ ENTRIES = {
     "op2_simhash": ("simhash", None),
     "op3_line_dedup": ("line_dedup", None),
     "op4_token_files": ("token_files", None),
+    "op5_toxicity": ("toxicity", None),
+    "op6_bpe": ("bpe", None),
     "op8_nearest": ("ann", "OP8_SQL"),
     "op9_token_counts": ("token_counts", None),
     "op10_packing": ("packing", None),
