@@ -12,6 +12,7 @@ ENTRIES = {
     "op4_token_files": ("token_files", None),
     "op5_toxicity": ("toxicity", None),
     "op6_bpe": ("bpe", None),
+    "op7_pii": ("pii", None),
     "op8_nearest": ("ann", "OP8_SQL"),
     "op9_token_counts": ("token_counts", None),
     "op10_packing": ("packing", None),

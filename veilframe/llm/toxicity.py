@@ -19,7 +19,7 @@ ORDER, DECAY = 3, 0.7      # length of the common subsequences, weight of each p
 FLOOR = 0.3                # similarities below this count as none
 TRAIN_DOCS = 8_000         # bound of the labelled sample that the classifier is fitted on
 LANDMARKS = 24             # most landmarks
-LIFT, SURE = 3.0, 6.0      # a landmark's toxic share over the sample's, and its distance from it in standard errors
+SHARE, SURE = 0.5, 6.0     # a landmark's least toxic share, and its distance from the sample's in standard errors
 LETTERS_SHARED = 0.6       # share of a landmark's letters without which a word is not compared
 WIDTH = 32                 # longest piece of a word compared at once; longer words go in windows
 WORDS_CACHED = 400_000
@@ -179,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
     by the smallest hash of their ids.
 
     Landmarks are the words whose share of toxic documents lies furthest above the
-    sample's, and is at least LIFT times it; near copies count once there. The sentences of clean documents are negatives; a toxic document gives
+    sample's, and is at least SHARE; near copies count once there. The sentences of clean documents are negatives; a toxic document gives
     its most suspicious sentence as positive. Without labels of both classes the model
     gives every text 0.
     """
@@ -191,7 +191,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
         for b in batches:
             for text, y in zip(b["text"], b["toxic"], strict=True):
                 w = sorted({x.strip(MARKS) for x in text.lower().split()} - {""})
-                sketch = min((zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in w), default=0)  # near copies share it
+                low = sorted(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in w)[:4]  # near copies share these
+                sketch = zlib.crc32(repr(low).encode())
                 yield pd.DataFrame({"word": w, "sketch": np.full(len(w), sketch, np.int64), "toxic": np.full(len(w), y, np.int64)})
 
     n, pos = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
@@ -199,10 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
         return ToxicityModel([], np.zeros(0), 0.0, 0.0, -30.0)
     share = pos / n
     top = (sample.select("text", "toxic").mapInPandas(words, "word string, sketch long, toxic long")
-        .groupBy("word", "sketch").agg(F.max("toxic").alias("toxic")).groupBy("word").agg(
+        .groupBy("word", "sketch").agg(F.avg("toxic").alias("toxic")).groupBy("word").agg(
         F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).where((F.length("word") >= ORDER) & (F.col("k") >= 3))
         .withColumn("z", (F.col("k") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share)))
-        .where((F.col("z") >= SURE) & (F.col("k") > F.col("n") * (LIFT * share if LIFT * share < 1 else share))).orderBy(F.desc("z"), "word").limit(LANDMARKS).collect())
+        .where((F.col("z") >= SURE) & (F.col("k") >= F.col("n") * SHARE)).orderBy(F.desc("z"), "word").limit(LANDMARKS).collect())
     landmarks = [r["word"][:WIDTH] for r in top]
     if not landmarks:
         return ToxicityModel([], np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
