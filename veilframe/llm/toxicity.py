@@ -20,7 +20,7 @@ FLOOR = 0.3                # similarities below this count as none
 TRAIN_DOCS = 8_000         # bound of the labelled sample that the classifier is fitted on
 LANDMARKS = 24             # most landmarks
 SHARE, SURE = 0.5, 6.0     # a landmark's least toxic share, and its distance from the sample's in standard errors
-LETTERS_SHARED = 0.6       # share of a landmark's letters without which a word is not compared
+LETTERS_SHARED = 0.7       # share of a landmark's letters without which a word is not compared
 WIDTH = 32                 # longest piece of a word compared at once; longer words go in windows
 WORDS_CACHED = 400_000
 
@@ -52,12 +52,16 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def similarity(words: list[str], marks: list[str]) -> np.ndarray:
-    """Normalised kernel of word i and landmark i."""
-    a, b = _codes(words, max(map(len, words))), _codes(marks, max(map(len, marks)))
+    """Normalised kernel of word i and landmark i; each string's own kernel is worked out once."""
     out = np.zeros(len(words))
     for i in range(0, len(words), 2000):
-        x, y = a[i:i + 2000], b[i:i + 2000]
-        own = kernel(x, x) * kernel(y, y)
+        sides = []
+        for strings in (words[i:i + 2000], marks[i:i + 2000]):
+            single, at = np.unique(np.array(strings, object), return_inverse=True)
+            codes = _codes(list(single), max(map(len, strings)))
+            sides.append((codes[at], kernel(codes, codes)[at]))
+        (x, own_x), (y, own_y) = sides
+        own = own_x * own_y
         out[i:i + 2000] = np.divide(kernel(x, y), np.sqrt(own), out=np.zeros(len(x)), where=own > 0)
     return out
 
@@ -216,7 +220,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
                 top = sorted(found, key=lambda v: -v.sum())[:20]  # of a training document, its 20 most suspicious sentences
                 yield pd.DataFrame({"doc_id": doc, "toxic": y, "x": [v.tolist() for v in top]})
 
-    rows = sample.select("doc_id", "text", "toxic").mapInPandas(features, "doc_id long, toxic int, x array<double>").orderBy("doc_id", "x").collect()
+    rows = sample.select("doc_id", "text", "toxic").mapInPandas(features, "doc_id long, toxic int, x array<double>").collect()
+    rows.sort(key=lambda r: (r["doc_id"], r["x"]))
     x, y, ids = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows]), np.array([r["doc_id"] for r in rows])
     pairs = [(a, b) for a in landmarks for b in landmarks]
     gram = similarity([a for a, _ in pairs], [b for _, b in pairs]).reshape(len(landmarks), -1)
