@@ -20,6 +20,7 @@ FLOOR = 0.3                # similarities below this count as none
 TRAIN_DOCS = 8_000         # bound of the labelled sample that the classifier is fitted on
 LANDMARKS = 24             # most landmarks
 SHARE, SURE = 0.5, 6.0     # a landmark's least toxic share, and its distance from the sample's in standard errors
+SUPPORT = 0.03             # share of the sample's toxic documents that a landmark occurs in at least
 LETTERS_SHARED = 0.7       # share of a landmark's letters without which a word is not compared
 WIDTH = 32                 # longest piece of a word compared at once; longer words go in windows
 WORDS_CACHED = 400_000
@@ -183,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
     by the smallest hash of their ids.
 
     Landmarks are the words whose share of toxic documents lies furthest above the
-    sample's, and is at least SHARE; near copies count once there. The sentences of clean documents are negatives; a toxic document gives
+    sample's, and is at least SHARE, with SUPPORT of them; near copies count once there. The sentences of clean documents are negatives; a toxic document gives
     its most suspicious sentence as positive. Without labels of both classes the model
     gives every text 0.
     """
@@ -205,7 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
     share = pos / n
     top = (sample.select("text", "toxic").mapInPandas(words, "word string, sketch long, toxic long")
         .groupBy("word", "sketch").agg(F.avg("toxic").alias("toxic")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).where((F.length("word") >= ORDER) & (F.col("k") >= 3))
+        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).where((F.length("word") >= ORDER) & (F.col("k") >= max(2.5, SUPPORT * pos)))
         .withColumn("z", (F.col("k") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share)))
         .where((F.col("z") >= SURE) & (F.col("k") >= F.col("n") * SHARE)).orderBy(F.desc("z"), "word").limit(LANDMARKS).collect())
     landmarks = [r["word"][:WIDTH] for r in top]
