@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 
 SEGMENT = 1 << 18   # characters handled at a time
-CACHE = 220_000     # chunks kept; a full cache starts anew, which costs time, never results
+CACHE = 330_000     # chunks kept; a full cache starts anew, which costs time, never results
 
 # A cut before a space that precedes a visible character never divides a pre-token of
 # a pattern whose words start with an optional space.
