@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.session import scratch_path
 from veilframe.sources.domain import KEY_PREFIX, SUFFIX_LEN, key_hash_of
 
 DEFAULT_RATE_LIMIT = 1000  # fixed value: default requests per hour
@@ -23,7 +24,9 @@ def match_keys(attempts: DataFrame, keys: DataFrame, token_col: str = "presented
     k = keys.select(F.col("key_id").alias("matched_key_id"), F.col("key_suffix").alias("_k_suffix"),
                     F.col("key_hash").alias("_k_hash"), F.col("org_id").alias("matched_org_id"),
                     F.col("revoked_at").alias("_revoked_at"), F.col("grace_expires_at").alias("_grace"))
-    return a.join(k, (a["_suffix"] == k["_k_suffix"]) & (a["_hash"] == k["_k_hash"]), "left").drop("_k_suffix", "_k_hash")
+    # missing and malformed tokens match no key: they stay out of the join, where all would meet in one task
+    found = a.where(~malformed).join(k, (F.col("_suffix") == F.col("_k_suffix")) & (F.col("_hash") == F.col("_k_hash")), "left")
+    return found.drop("_k_suffix", "_k_hash").unionByName(a.where(malformed), allowMissingColumns=True)
 
 
 def auth_outcome(matched: DataFrame, token_col: str = "presented", ts_col: str = "ts") -> DataFrame:
@@ -50,14 +53,22 @@ def key_status(keys: DataFrame, as_of: Column) -> DataFrame:
 
 def apply_rotations(keys: DataFrame, events: DataFrame, successor_offset: int) -> DataFrame:
     """``events(key_id, org_id, ts)``.  404 when the key is unknown or in
-    another org, 409 when it already has a grace expiry, else 201 with a
-    successor ``"<name> (rotated)"`` and the predecessor's grace set to
-    ts + 24 h.  One output row per event."""
+    another org, 409 when it already has a grace expiry or an earlier event has
+    rotated it, else 201 with a successor ``"<name> (rotated)"`` and the
+    predecessor's grace set to ts + 24 h.  One output row per event; of several
+    valid events of a key at its earliest time one succeeds.
+
+    The one that does is found by a minimum per key (partial aggregation, so a
+    hot key is no hot task)."""
     k = keys.select("key_id", F.col("org_id").alias("_k_org"), "name", "grace_expires_at", "rate_limit_per_hour")
     j = events.join(k, "key_id", "left")
-    status = (F.when(F.col("_k_org").isNull() | (F.col("_k_org") != F.col("org_id")), 404)
-               .when(F.col("grace_expires_at").isNotNull(), 409).otherwise(201))
-    ok = status == 201
+    j = j.withColumn("_event", F.struct("ts", F.monotonically_increasing_id().alias("n")))
+    valid = F.col("_k_org").isNotNull() & (F.col("_k_org") == F.col("org_id"))
+    j = _written(j)  # the row numbers must not change between the two reads
+    first = j.where(valid).groupBy("key_id").agg(F.min("_event").alias("_first"))
+    j = j.join(first, "key_id", "left")
+    ok = valid & F.col("grace_expires_at").isNull() & (F.col("_event") == F.col("_first"))
+    status = F.when(~F.coalesce(valid, F.lit(False)), 404).when(ok, 201).otherwise(409)
     return j.select(
         "key_id", status.alias("status"),
         F.when(ok, F.col("key_id") + successor_offset).alias("new_key_id"),
@@ -76,22 +87,39 @@ def apply_revocations(keys: DataFrame, events: DataFrame) -> DataFrame:
     return j
 
 
-def key_lineage(spark, keys: DataFrame, view: str | None = None) -> DataFrame:
-    """chain root and depth of every key through ``rotated_from_id``,
-    as a recursive CTE (iterative joins planned by Spark).  The input is
-    exposed under a view name unique to the call."""
+def key_lineage(spark, keys: DataFrame) -> DataFrame:
+    """chain root and depth of every key through ``rotated_from_id``, by
+    pointer doubling: each round joins every key to its ancestor's ancestor,
+    so a chain of n links takes log2(n) joins. A missing predecessor ends the
+    chain. Keys on a cycle, or behind one, have no root: null root and depth.
+
+    Each round is written to the shared folder, which cuts lineage."""
+    import math
+
+    k = keys.select("key_id", F.col("rotated_from_id").alias("up"))
+    known = k.select(F.col("key_id").alias("up")).distinct()
+    parent = k.where("up IS NOT NULL").join(known, "up", "left_semi").select("key_id", F.col("up").alias("p"))
+    state = _written(k.join(parent, "key_id", "left").select(
+        "key_id", F.coalesce("p", "key_id").alias("up"), F.col("p").isNotNull().cast("long").alias("depth"),
+        F.col("p").isNull().alias("done")))
+    n, unfinished = state.agg(F.count(F.lit(1)), F.count_if(~F.col("done"))).first()
+    for _ in range(math.ceil(math.log2(n + 1)) + 1):
+        if not unfinished:
+            break
+        above = state.select(F.col("key_id").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("done").alias("done2"))
+        todo = state.where(~F.col("done")).join(above, "up").select(
+            "key_id", F.col("up2").alias("up"), (F.col("depth") + F.col("depth2")).alias("depth"), F.col("done2").alias("done"))
+        state = _written(state.where("done").unionByName(todo))
+        unfinished = state.where(~F.col("done")).count()
+    return state.select("key_id", F.when(F.col("done"), F.col("up")).alias("root_id"), F.when(F.col("done"), F.col("depth")).alias("depth"))
+
+
+def _written(df: DataFrame) -> DataFrame:
     import uuid
 
-    view = view or f"_vf_keys_{uuid.uuid4().hex}"
-    keys.select("key_id", "rotated_from_id").createOrReplaceTempView(view)
-    return spark.sql(f"""
-        WITH RECURSIVE chain(key_id, root_id, depth) AS (
-          SELECT key_id, key_id, 0 FROM {view} k
-          WHERE rotated_from_id IS NULL OR NOT EXISTS (SELECT 1 FROM {view} p WHERE p.key_id = k.rotated_from_id)
-          UNION ALL
-          SELECT k.key_id, c.root_id, c.depth + 1 FROM {view} k JOIN chain c ON k.rotated_from_id = c.key_id
-        )
-        SELECT key_id, root_id, depth FROM chain""")
+    path = scratch_path(df.sparkSession, f"lineage-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def with_limit(keys: DataFrame, requested: Column | None = None) -> DataFrame:
@@ -121,7 +149,6 @@ def cascade_delete(org_ids: DataFrame, tables: dict[str, DataFrame]) -> dict[str
     """drop every row of an org being deleted, down the FK chain.
 
     ``tables`` maps table name -> DataFrame with an ``org_id`` column (keys,
-    requests, payloads via their request's org, cache entries).  The deleted
-    set is tiny and bounded by the org table, so left-anti joins broadcast it."""
-    doomed = F.broadcast(org_ids.select("org_id").distinct())
+    requests, payloads via their request's org, cache entries)."""
+    doomed = org_ids.select("org_id").distinct()
     return {name: df.join(doomed, "org_id", "left_anti") for name, df in tables.items()}
