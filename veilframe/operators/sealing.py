@@ -9,8 +9,7 @@ one nonce across rows.  Because the IV is random, sealed output must be
 written once (a table in the shared checkpoint folder), not recomputed.
 
 Per-org data keys (DEKs) are wrapped under a master key with their own AAD.
-The org table is bounded by the nation table (25 rows), so joins against it
-broadcast.
+Joins against the org table are left to the optimizer's size-checked choice.
 """
 
 from __future__ import annotations
@@ -86,7 +85,7 @@ def sealed_payloads(payloads: DataFrame, orgs: DataFrame, master: Column,
     audit row elsewhere and simply gets no payload here."""
     keys = unwrap_keys(orgs.where(F.col("raw_logging_opt_in") & F.col("encryption_key_wrapped").isNotNull()), master)
     keys = keys.where(F.col("dek").isNotNull()).select("org_id", "dek")
-    j = payloads.join(F.broadcast(keys), "org_id", "inner")
+    j = payloads.join(keys, "org_id", "inner")
     for out, (src, aad) in text_cols.items():
         j = j.withColumn(out, seal(F.col(src), F.col("dek"), aad, random_iv(F.col(src))))
     return j
@@ -104,16 +103,10 @@ def nonce_collisions(sealed: DataFrame, key_cols: list[str], col: str) -> DataFr
                   .agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
 
 
-def evolve_payloads(df: DataFrame, to_version: int, nonce_col: str = "nonce",
-                    cols=("prompt_ciphertext", "response_ciphertext")) -> DataFrame:
-    """Version 2 drops the shared ``nonce`` column (each ciphertext
-    carries its own prefix); going back to version 1 adds a 12-byte zero
-    nonce column."""
+def evolve_payloads(df: DataFrame, to_version: int, nonce_col: str = "nonce") -> DataFrame:
+    """Version 2 drops the shared ``nonce`` column and nothing else (each
+    ciphertext carries its own nonce as prefix); going back to version 1 adds a
+    12-byte zero nonce column. So 2 -> 1 -> 2 keeps every ciphertext."""
     if to_version >= 2:
-        if nonce_col in df.columns:
-            for c in cols:
-                df = df.withColumn(c, F.when(F.col(nonce_col).isNotNull(), F.concat(F.col(nonce_col), F.col(c)))
-                                   .otherwise(F.col(c)))
-            df = df.drop(nonce_col)
-        return df
+        return df.drop(nonce_col)
     return df.withColumn(nonce_col, F.unhex(F.lit("00" * NONCE_BYTES)))

@@ -37,10 +37,15 @@ def _sealed_table(spark, sf):
     sealed = S.sealed_payloads(c, wrapped_orgs(spark, sf), master_key(),
                                {"prompt_ciphertext": ("text", S.AAD_PROMPT)})
     path = scratch_path(spark, f"sealed-{uuid.uuid4().hex}")
-    sealed.select("conv_id", "turn", "org_id", "text", "prompt_ciphertext").write.mode("overwrite").parquet(path)
+    sealed.select("conv_id", "turn", "org_id", "prompt_ciphertext").write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
+def _with_text(spark, sf, sealed):
+    """The plaintext beside its ciphertext, for comparison only: it is joined back and never written."""
+    return sealed.join(load(spark, sf, "conversations").select("conv_id", "turn", "text"), ["conv_id", "turn"])
+
+
 def _with_dek(df, salt="dek"):
     return df.withColumn("dek", S.derive_dek(F.col("org_id"), salt))
 
@@ -48,7 +53,7 @@ def _with_dek(df, salt="dek"):
 @register("sealed_roundtrip", operators=("H1", "H2", "A8"), oracle=f"""
 SELECT conv_id, turn, TRUE AS ok, octet_length(encode(text)) + 28 AS ct_len FROM conversations WHERE {ELIGIBLE_SQL}""")
 def q_sealed_roundtrip(spark, sf):
-    t = _with_dek(_sealed_table(spark, sf))
+    t = _with_dek(_with_text(spark, sf, _sealed_table(spark, sf)))
     opened = S.unseal(F.col("prompt_ciphertext"), F.col("dek"), S.AAD_PROMPT)
     return t.select("conv_id", "turn", F.coalesce(opened == F.col("text").cast("binary"), F.lit(False)).alias("ok"),
                     F.length("prompt_ciphertext").cast("long").alias("ct_len"))
@@ -92,8 +97,8 @@ def q_reseal_roundtrip(spark, sf):
     t = _with_dek(_sealed_table(spark, sf)).withColumn("dek_new", S.derive_dek(F.col("org_id"), "dek2"))
     r = S.reseal(t, "prompt_ciphertext", F.col("dek"), F.col("dek_new"), S.AAD_PROMPT)
     path = scratch_path(spark, f"resealed-{uuid.uuid4().hex}")
-    r.write.mode("overwrite").parquet(path)
-    r = spark.read.parquet(path)
+    r.drop("dek", "dek_new").write.mode("overwrite").parquet(path)
+    r = _with_text(spark, sf, _with_dek(spark.read.parquet(path))).withColumn("dek_new", S.derive_dek(F.col("org_id"), "dek2"))
     new_open = S.unseal(F.col("prompt_ciphertext"), F.col("dek_new"), S.AAD_PROMPT)
     old_open = S.unseal(F.col("prompt_ciphertext"), F.col("dek"), S.AAD_PROMPT)
     return r.select("conv_id", "turn", F.coalesce(new_open == F.col("text").cast("binary"), F.lit(False)).alias("ok_new"),
@@ -104,14 +109,10 @@ def q_reseal_roundtrip(spark, sf):
 SELECT conv_id, turn, octet_length(encode(text)) + 28 AS v2_len, TRUE AS ok, 12 AS v1_nonce_len
 FROM conversations WHERE {ELIGIBLE_SQL}""")
 def q_evolved_payloads(spark, sf):
-    """Old layout: a separate ``nonce`` column and nonce-less ciphertext.
-    Upgrading re-prefixes the nonce; the result opens again.  Downgrading
-    adds a zero nonce column."""
-    t = _with_dek(_sealed_table(spark, sf))
-    v1 = t.select("conv_id", "turn", "text", "dek", F.substring("prompt_ciphertext", 1, 12).alias("nonce"),
-                  F.expr("substring(prompt_ciphertext, 13)").alias("prompt_ciphertext"))
-    v2 = S.evolve_payloads(v1, 2, cols=("prompt_ciphertext",))
-    back = S.evolve_payloads(v2, 1, cols=("prompt_ciphertext",))
+    """Down to version 1 (a zero nonce column), up again and down: every
+    ciphertext still opens."""
+    t = _with_dek(_with_text(spark, sf, _sealed_table(spark, sf)))
+    back = S.evolve_payloads(S.evolve_payloads(S.evolve_payloads(t, 1), 2), 1)
     opened = S.unseal(F.col("prompt_ciphertext"), F.col("dek"), S.AAD_PROMPT)
     return back.select("conv_id", "turn", F.length("prompt_ciphertext").cast("long").alias("v2_len"),
                        F.coalesce(opened == F.col("text").cast("binary"), F.lit(False)).alias("ok"),
