@@ -65,10 +65,11 @@ def mod97_ok(value: Column) -> Column:
     return rem == 1
 
 
-def context_tokens(text: Column, start: Column, window_chars: int, n_tokens: int) -> Column:
-    """The last ``n_tokens`` lower-cased ``[A-Za-z0-9_]+`` tokens among the
-    ``window_chars`` characters before ``start``."""
-    lo = F.greatest(start - window_chars, F.lit(0))
-    window = text.substr(lo + 1, start - lo)
-    toks = F.transform(F.regexp_extract_all(window, F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lower)
-    return F.slice(toks, F.greatest(F.size(toks) - (n_tokens - 1), F.lit(1)), n_tokens)
+def context_tokens(text: Column, start: Column, n_tokens: int) -> Column:
+    """The last ``n_tokens`` lower-cased ``[A-Za-z0-9_]+`` tokens before ``start``.
+
+    The text before ``start`` is read backwards, so that the pattern stops at the
+    ``n_tokens``-th token and its cost does not grow with the place in the text."""
+    tail = F.reverse(F.regexp_extract(F.reverse(F.substring(text, F.lit(1), start)),
+                                      "^(?:[^A-Za-z0-9_]*[A-Za-z0-9_]+){0,%d}" % n_tokens, 0))
+    return F.transform(F.regexp_extract_all(tail, F.lit("[A-Za-z0-9_]+"), F.lit(0)), F.lower)

@@ -21,7 +21,6 @@ from veilframe.functions.spans import (
 )
 from veilframe.operators.recognizers import (
     CONTEXT_BOOST,
-    CONTEXT_CHARS,
     CONTEXT_FLOOR,
     CONTEXT_TOKENS,
     DEFAULT_RECOGNIZERS,
@@ -66,7 +65,7 @@ def _recognizer_spans(text: Column, rec: Recognizer, threshold: float) -> Column
         words = F.array(*[F.lit(w) for w in rec.context])
 
         def score_of(s):
-            toks = context_tokens(text, s["span_start"], CONTEXT_CHARS, CONTEXT_TOKENS)
+            toks = context_tokens(text, s["span_start"], CONTEXT_TOKENS)
             near = F.exists(toks, lambda t: F.exists(words, lambda w: F.instr(t, w) > 0))
             boosted = F.least(F.lit(1.0), F.greatest(base + F.lit(CONTEXT_BOOST), F.lit(CONTEXT_FLOOR)))
             return F.when(near, boosted).otherwise(base)
@@ -235,14 +234,13 @@ def roundtrip_violations(scrubbed: DataFrame, text_col: str = "text", key_cols=(
                     .select(*key_cols))
 
 
-def fail_policy(df: DataFrame, text_col: str = "text", on_error: str = "closed",
-                max_chars: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
-    """C17: texts that cannot be scrubbed (NULL or above ``max_chars``) go to
-    a rejects side output with ``PII_SCRUBBER_UNAVAILABLE`` when failing
+def fail_policy(df: DataFrame, text_col: str = "text", on_error: str = "closed") -> tuple[DataFrame, DataFrame]:
+    """C17: texts that cannot be scrubbed (NULL; a text of any length can be)
+    go to a rejects side output with ``PII_SCRUBBER_UNAVAILABLE`` when failing
     closed; failing open passes them on with zero detections.
 
     Returns (to_scrub, rejects)."""
-    bad = F.col(text_col).isNull() | (F.length(text_col) > max_chars)
+    bad = F.col(text_col).isNull()
     if on_error == "closed":
         rejects = df.where(bad).withColumn("error_code", F.lit("PII_SCRUBBER_UNAVAILABLE"))
         return df.where(~bad), rejects

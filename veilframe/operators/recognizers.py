@@ -118,12 +118,11 @@ WIDGET_RECOGNIZER = Recognizer("WIDGET_ID", r"\bWDG-\d{6}\b", 0.95, ("widget", "
 # Scoring defaults.  The threshold is a fixed value; the context-boost factor,
 # floor and window are parameters (our choice, see README).  A span is boosted
 # when one of its recognizer's context words occurs inside one of the last
-# CONTEXT_TOKENS tokens found in the CONTEXT_CHARS characters before it.
+# CONTEXT_TOKENS tokens before it, however long they are.
 SCORE_THRESHOLD = 0.5
 CONTEXT_BOOST = 0.35
 CONTEXT_FLOOR = 0.4
 CONTEXT_TOKENS = 5
-CONTEXT_CHARS = 100
 
 # Placeholder syntax recognised by restore.
 PLACEHOLDER_REGEX = r"<[A-Z][A-Z0-9_]+_[0-9]+>"

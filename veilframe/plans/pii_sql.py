@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from veilframe.operators.recognizers import (
     CONTEXT_BOOST,
-    CONTEXT_CHARS,
     CONTEXT_FLOOR,
     CONTEXT_TOKENS,
     DEFAULT_RECOGNIZERS,
@@ -46,8 +45,7 @@ def _raw_cte(i: int, rec: Recognizer) -> str:
         conds.append(_mod97_sql("v"))
     where = " AND ".join(conds) if conds else "TRUE"
     if rec.context:
-        lo = f"greatest(s - {CONTEXT_CHARS}, 0)"
-        toks = f"regexp_extract_all(substr(text, {lo} + 1, s - {lo}), '[A-Za-z0-9_]+')"
+        toks = "regexp_extract_all(substr(text, 1, s), '[A-Za-z0-9_]+')"
         last = f"list_transform({toks}[greatest(len({toks}) - {CONTEXT_TOKENS - 1}, 1):], lambda t: lower(t))"
         near = " OR ".join(f"contains(t, {sql_str(w)})" for w in rec.context)
         score = (f"CASE WHEN len(list_filter({last}, lambda t: {near})) > 0 THEN "
