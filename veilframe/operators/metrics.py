@@ -39,17 +39,18 @@ def latency_histogram(df: DataFrame, value_col: str, group_cols=(), buckets=LATE
 
 
 def stage_latency(df: DataFrame, stage_cols: dict[str, str]) -> DataFrame:
-    """M3: unpivot per-stage durations and aggregate per stage."""
-    long = df.unpivot([], list(stage_cols.values()), "stage_col", "seconds")
+    """M3: unpivot per-stage durations and aggregate per stage (a NULL is no observation)."""
+    long = df.unpivot([], list(stage_cols.values()), "stage_col", "seconds").where(F.col("seconds").isNotNull())
     names = F.create_map(*[x for k, c in stage_cols.items() for x in (F.lit(c), F.lit(k))])
     return (long.withColumn("stage", names[F.col("stage_col")])
                 .groupBy("stage").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("seconds"), 6).alias("seconds_sum")))
 
 
 def latency_quantiles(df: DataFrame, value_col: str, group_cols, qs=(0.5, 0.9, 0.99)) -> DataFrame:
-    """M4: exact interpolated percentiles (``percentile``)."""
-    return df.groupBy(*group_cols).agg(*[
-        F.round(F.percentile(F.col(value_col), F.lit(q)), 4).alias(f"p{int(q * 100)}") for q in qs])
+    """M4: exact interpolated percentiles (``percentile``), over one weighted row per distinct value."""
+    values = df.groupBy(*group_cols, F.col(value_col).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    return values.groupBy(*group_cols).agg(*[
+        F.round(F.percentile(F.col("_v"), F.lit(q), F.col("_n")), 4).alias(f"p{int(q * 100)}") for q in qs])
 
 
 def label_cardinality(df: DataFrame, labels) -> DataFrame:

@@ -140,11 +140,13 @@ def drop_probe_traffic(df: DataFrame, url_col: str = "path") -> DataFrame:
 # Maps and lists
 # ---------------------------------------------------------------------------
 def filter_attributes(m: Column, keep=FORWARDED_HEADERS, force: dict | None = None) -> Column:
-    """Lower-case keys, keep an allow-list, then force fixed entries."""
+    """Lower-case keys, keep an allow-list, then force fixed entries. Of several
+    spellings of one key the last one wins."""
     force = {"content-type": "application/json"} if force is None else force
-    lowered = F.transform_keys(m, lambda k, v: F.lower(k))
-    kept = F.map_filter(lowered, lambda k, v: k.isin(*keep) & v.isNotNull())
-    return F.map_concat(F.map_filter(kept, lambda k, v: ~k.isin(*force.keys())), _lit_map(force))
+    entries = F.transform(F.map_entries(m), lambda e: F.struct(F.lower(e["key"]).alias("key"), e["value"].alias("value")))
+    kept = F.filter(entries, lambda e: e["key"].isin(*keep) & ~e["key"].isin(*force.keys()) & e["value"].isNotNull())
+    last = F.filter(kept, lambda e, i: ~F.exists(F.slice(kept, i + 2, F.size(kept)), lambda later: later["key"] == e["key"]))
+    return F.map_concat(F.map_from_entries(last), _lit_map(force))
 
 
 def strip_attributes(m: Column, keys=STRIPPED_ATTRIBUTES) -> Column:
@@ -273,7 +275,11 @@ def prompt_text(v: Column, provider: Column) -> Column:
 def response_text(v: Column, provider: Column) -> Column:
     """Assistant text of a response body, parts joined by newlines."""
     choices = _arr(v, "$.choices")
-    openai = F.filter(F.transform(choices, lambda c: F.try_variant_get(c, "$.message.content", "string")),
+    def joined(content):  # a list of parts counts as its text parts, joined
+        texts = F.filter(F.transform(_parts_of(content), lambda p: _classify(p)), lambda p: p["kind"] == "text")
+        return F.when(content.isNotNull() & (F.schema_of_variant(content) != "VOID"), F.array_join(F.transform(texts, lambda p: p["text"]), "\n"))
+
+    openai = F.filter(F.transform(choices, lambda c: joined(F.try_variant_get(c, "$.message.content", "variant"))),
                       lambda s: s.isNotNull())
     blocks = _arr(v, "$.content")
     anth = F.transform(F.filter(blocks, lambda b: F.coalesce(F.try_variant_get(b, "$.type", "string") == "text", F.lit(False))),
