@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -24,6 +24,7 @@ SUPPORT = 0.03             # share of the sample's toxic documents that a landma
 LETTERS_SHARED = 0.7       # share of a landmark's letters without which a word is not compared
 WIDTH = 32                 # longest piece of a word compared at once; longer words go in windows
 WORDS_CACHED = 400_000
+GROUP = 1 << 20            # characters of texts whose new words are compared together
 
 _SENTENCE = re.compile(r"[.!?\n]+")
 _SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\W_]{1,3}){3,}[^\W\d_](?![^\W\d_])")
@@ -81,56 +82,91 @@ class LandmarkSimilarities:
         self.landmarks, self.cache = landmarks, {}
         self.masks = np.array([_letter_mask(x) for x in landmarks], np.uint64)
         self.least = np.ceil(LETTERS_SHARED * np.bitwise_count(self.masks))
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.cache) + len(words) > WORDS_CACHED:
-            self.cache.clear()
-        found = dict.fromkeys(words)
-        pieces, owner = [], []
+        self.sizes = np.array([len(x) for x in landmarks], np.int64)
+        self.codes = _codes(landmarks, max(self.sizes, default=0))
+        self.own = kernel(self.codes, self.codes) if landmarks else np.zeros(0)
+        # own kernel of a string by its length, at least: each place matches itself
+        self.own_least = np.array([sum((n - span + 1) * (span - 2) * DECAY ** (2 * span) for span in range(ORDER, n + 1))
+                                   for n in range(WIDTH + 1)])
+
+    def learn(self, words: Iterable[str]) -> None:
+        owners: dict[str, list[str]] = {}
         for w in words:
+            self.cache[w] = False
             s = w.strip(MARKS)
             if len(s) >= ORDER:
-                for at in range(0, max(1, len(s) - WIDTH // 2), WIDTH // 2):
-                    pieces.append(s[at:at + WIDTH])
-                    owner.append(w)
-        if pieces:
-            codes = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) % np.uint64(61)
-            starts = np.cumsum([0, *map(len, pieces)])[:-1]
-            masks = np.bitwise_or.reduceat(np.uint64(1) << codes, starts)
-            for i in range(0, len(pieces), 20_000):
-                p, m = np.nonzero(np.bitwise_count(masks[i:i + 20_000, None] & self.masks) >= self.least)
-                if len(p):
-                    order = np.argsort([len(pieces[i + k]) for k in p], kind="stable")  # alike lengths together
-                    p, m = p[order], m[order]
-                    for c in range(0, len(p), 2000):
-                        pp, mm = p[c:c + 2000], m[c:c + 2000]
-                        values = similarity([pieces[i + k] for k in pp], [self.landmarks[k] for k in mm])
-                        for k, j, v in zip(pp, mm, values, strict=True):
-                            if v >= FLOOR:
-                                w = owner[i + k]
-                                if found[w] is None:
-                                    found[w] = np.zeros(len(self.landmarks))
-                                found[w][j] = max(found[w][j], v)
-        self.cache.update({w: (False if v is None else tuple(v.tolist())) for w, v in found.items()})
-
-    def sentences(self, text: str) -> list[np.ndarray]:
+                owners.setdefault(s, []).append(w)
+        pieces, core = [], []
+        for s in owners:
+            for at in range(0, max(1, len(s) - WIDTH // 2), WIDTH // 2):
+                pieces.append(s[at:at + WIDTH])
+                core.append(s)
+        found: dict[str, np.ndarray] = {}
+        for at in range(0, len(pieces), 20_000):
+            for k, m, v in zip(*self._compare(pieces[at:at + 20_000]), strict=True):
+                best = found.setdefault(core[at + k], np.zeros(len(self.landmarks)))
+                best[m] = max(best[m], v)
+        for s, best in found.items():
+            alike = tuple(best.tolist())
+            for w in owners[s]:
+                self.cache[w] = alike
+
+    def _compare(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(piece, landmark, similarity) of all pairs that share enough letters and are at least FLOOR alike."""
+        flat = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4")
+        sizes = np.array([len(x) for x in pieces])
+        starts = np.cumsum(sizes) - sizes
+        masks = np.bitwise_or.reduceat(np.uint64(1) << (flat.astype(np.uint64) % np.uint64(61)), starts)
+        p, m = np.nonzero(np.bitwise_count(masks[:, None] & self.masks) >= self.least)
+        order = np.lexsort((self.sizes[m], sizes[p]))  # alike lengths together
+        p, m = p[order], m[order]
+
+        def codes(which: np.ndarray) -> np.ndarray:
+            place = np.arange(sizes[which].max())
+            inside = place < sizes[which][:, None]
+            return np.where(inside, flat[np.where(inside, starts[which][:, None] + place, 0)], 0)
+
+        out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for c in range(0, len(p), 1000):
+            pp, mm = p[c:c + 1000], m[c:c + 1000]
+            x = codes(pp)
+            both = kernel(x, self.codes[mm, :self.sizes[mm].max()])
+            # too far apart whatever the piece's own kernel is
+            near = np.flatnonzero(both >= 0.999 * FLOOR * np.sqrt(self.own_least[sizes[pp]] * self.own[mm]))
+            if len(near):
+                v = both[near] / np.sqrt(kernel(x[near], x[near]) * self.own[mm[near]])
+                keep = v >= FLOOR
+                out.append((pp[near][keep], mm[near][keep], v[keep]))
+        return tuple(np.concatenate(column) for column in zip(*out, strict=True))
+
+    def of_texts(self, texts: Iterable[str]) -> Iterator[list[np.ndarray]]:
+        """For each text, ``sentences``. New words are learned together for about GROUP characters of texts."""
+        group, size = [], 0
+        for text in texts:
+            group.append(text)
+            size += len(text)
+            if size >= GROUP:
+                yield from self._group(group)
+                group, size = [], 0
+        yield from self._group(group)
+
+    def _group(self, texts: list[str]) -> list[list[np.ndarray]]:
+        if len(self.cache) > WORDS_CACHED:
+            self.cache.clear()
+        parts = []
+        for text in texts:
+            text = text.lower()
+            spelled = [re.sub(r"[\W_]+", "", x) for x in _SPELLED.findall(text)]
+            parts.append((text, spelled, [*text.split(), *spelled]))
+        self.learn({w for _, _, words in parts for w in words if w not in self.cache})
+        return [self.sentences(*x) for x in parts]
+
+    def sentences(self, text: str, spelled: list[str], words: list[str]) -> list[np.ndarray]:
         """For each sentence with a word like a landmark: by landmark, the largest similarity."""
-        text = text.lower()
-        spelled = [re.sub(r"[\W_]+", "", x) for x in _SPELLED.findall(text)]
-        words = [*text.split(), *spelled]
-        get = self.cache.get
-        got = list(map(get, words))
-        if None in got:
-            missing = list({w for w, v in zip(words, got, strict=True) if v is None})
-            self.learn(missing)
-            got = list(map(self.cache.get, words))
-            if None in got:  # the cache was emptied to make room
-                self.learn(list(set(words)))
-                got = list(map(self.cache.get, words))
-        if not any(v is not False for v in got):
+        alike = {w: v for w, v in zip(words, map(self.cache.__getitem__, words), strict=True) if v is not False}
+        if not alike:
             return []
         out = []
-        alike = {w: v for w, v in zip(words, got, strict=True) if v is not False}
         for s in _SENTENCE.split(text):
             hit = [alike[w] for w in s.split() if w in alike]
             out += [np.max(hit, axis=0)] if hit else []
@@ -216,8 +252,8 @@ def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> Tox
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sims = LandmarkSimilarities(landmarks)
         for b in batches:
-            for doc, text, y in zip(b["doc_id"], b["text"], b["toxic"], strict=True):
-                found = sims.sentences(text) or [np.zeros(len(landmarks))]
+            for doc, found, y in zip(b["doc_id"], sims.of_texts(b["text"]), b["toxic"], strict=True):
+                found = found or [np.zeros(len(landmarks))]
                 top = sorted(found, key=lambda v: -v.sum())[:20]  # of a training document, its 20 most suspicious sentences
                 yield pd.DataFrame({"doc_id": doc, "toxic": y, "x": [v.tolist() for v in top]})
 
@@ -252,7 +288,8 @@ def score_column(model: ToxicityModel, text: Column) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sims = LandmarkSimilarities(model.landmarks)
         for b in batches:
-            yield pd.Series(model.score([model.margin(sims.sentences(t or "") if model.landmarks else []) for t in b]), dtype="float64")
+            found = sims.of_texts(t or "" for t in b) if model.landmarks else ([] for _ in b)
+            yield pd.Series(model.score([model.margin(x) for x in found]), dtype="float64")
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
     return F.pandas_udf(score, "double")(F.coalesce(text.cast("string"), F.lit("")))
