@@ -30,9 +30,9 @@ FORWARDED_HEADERS = ("authorization", "x-api-key", "x-goog-api-key", "anthropic-
                      "anthropic-beta", "openai-organization", "openai-project")
 STRIPPED_ATTRIBUTES = ("gen_ai.prompt", "gen_ai.completion", "http.request.body", "http.response.body")
 PROBE_URL_PATTERN = "health/.*|metrics"
-# Inbound header names of the credential and of the generic route.
-KEY_HEADER = "X-PIL-Key"
-PROVIDER_HEADER = "X-PIL-Provider"
+# Inbound header names of the credential and of the generic route.
+KEY_HEADER = "X-Gateway-Key"
+PROVIDER_HEADER = "X-Gateway-Provider"
 
 FIELDS_TYPE = "array<struct<field_ord:int,role:string,content:variant>>"
 

@@ -21,10 +21,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Associated data labels and envelope geometry.
-AAD_PROMPT = "pil:prompt:v1"
-AAD_RESPONSE = "pil:response:v1"
-AAD_DEK_WRAP = "pil:dek-wrap:v1"
+# Associated data labels, and envelope geometry.
+AAD_PROMPT = "payload/prompt/1"
+AAD_RESPONSE = "payload/response/1"
+AAD_DEK_WRAP = "org/data-key/1"
 NONCE_BYTES = 12
 TAG_BYTES = 16
 DEK_BYTES = 32

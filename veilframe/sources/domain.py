@@ -26,8 +26,8 @@ PREWARMED = (
     ("anthropic", "claude-3-opus-20240229"),
     ("gemini", "gemini-1.5-pro"), ("gemini", "gemini-1.5-flash"),
 )
-# Credential prefix and suffix length used for key matching.
-KEY_PREFIX = "pil-"
+# Credential prefix and suffix length used for key matching.
+KEY_PREFIX = "key-"
 SUFFIX_LEN = 4
 
 
