@@ -168,6 +168,21 @@ def test_bpe_equals_the_library(docs, empty):
     assert bpe_roundtrip(empty, path, P.PATTERN).count() == 0
 
 
+def test_bpe_of_long_and_short_words():
+    import tiktoken
+
+    from veilframe.llm.bpe import SHORT, DuckBPE
+
+    path, rnd = P.path("byte_bpe_50k.tiktoken"), random.Random(8)
+    bpe = DuckBPE(path, P.PATTERN)
+    lib = tiktoken.Encoding("t", pat_str=P.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    texts = ["a" * n for n in (1, 2, 3, SHORT - 1, SHORT, SHORT + 1, 5000)] + ["=" * 70 + "ab" * 90 + "\n" * 300, "日本" * 200]
+    texts += ["".join(rnd.choice(letters) for _ in range(rnd.randint(2, 150))) for letters in ("ab", "etaoin", "é日x ") for _ in range(60)]
+    ids = bpe.encode(texts)
+    assert [np.frombuffer(x, "<u2").tolist() for x in ids] == [lib.encode_ordinary(t) for t in texts]
+    assert bpe.decode(ids) == [t.encode() for t in texts]
+
+
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 

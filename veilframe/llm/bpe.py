@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import tempfile
+from bisect import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,27 @@ from veilframe.llm.tokens import SEGMENT, WordCoder, segments
 WORDS_PER_QUERY = 20_000
 DECODE_TOKENS = 400_000   # tokens decoded by one query; longer documents go in blocks
 
-# One step contracts, in each word that has a mergeable pair, the leftmost pair of
-# the smallest rank. If no pair that holds the product ranks below it (``closed``), the
-# other pairs of that rank would be next, from the left, and go in the same step.
+SHORT = 64                # bytes of a word up to which a step contracts one pair
+
+# One step contracts each word's leftmost pair of the smallest rank. Rows hold the next
+# token too: the pair's second row becomes the product, its first row goes, and the row
+# before learns the product; later places move up by one. Words without a pair that merges drop out.
 ENCODE = """
+WITH RECURSIVE step(i, w, p, t, u) AS (
+  SELECT 0, w, p, t, u FROM start
+  UNION ALL
+  SELECT i + 1, w, CASE WHEN p > k THEN p - 1 ELSE p END, CASE WHEN p = k + 1 THEN id ELSE t END, CASE WHEN p = k - 1 THEN id ELSE u END
+  FROM step JOIN (SELECT w, best >> 16 AS id, best & 65535 AS k
+                  FROM (SELECT w, min((id << 16) + p) AS best FROM step JOIN merges ON pair = (t << 16) + u GROUP BY w)) USING (w)
+  WHERE p <> k
+)
+SELECT w, t FROM step JOIN (SELECT w, max(i) AS i FROM step GROUP BY w) USING (w, i) ORDER BY w, p
+"""
+
+# For longer words, which may hold long runs, a step contracts all pairs of a word's
+# smallest rank that would be next, from the left: this is so if no pair that
+# holds the product ranks below it (``closed``), else only the leftmost goes.
+ENCODE_LONG = """
 WITH RECURSIVE step(i, w, p, t) AS (
   SELECT 0, w, p, t FROM start
   UNION ALL
@@ -38,8 +56,7 @@ WITH RECURSIVE step(i, w, p, t) AS (
                           WHERE best IS NOT NULL))))
   WHERE NOT eaten
 )
-SELECT w, list(t ORDER BY p) AS ids FROM step
-WHERE (w, i) IN (SELECT w, max(i) FROM step GROUP BY w) GROUP BY w
+SELECT w, t FROM step JOIN (SELECT w, max(i) AS i FROM step GROUP BY w) USING (w, i) ORDER BY w, p
 """
 DECODE = "SELECT d, string_agg(piece, '' ORDER BY p) AS s FROM tokens JOIN ranks USING (id) GROUP BY d"
 
@@ -57,7 +74,7 @@ class DuckBPE:
         import regex
 
         self.ranks, self.pattern = read_ranks(path), regex.compile(pattern)
-        if max(self.ranks.values()) >= 65536:
+        if max(self.ranks.values()) >= 65535:
             raise ValueError("ids of two bytes expected")
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "500MB", "temp_directory": tempfile.mkdtemp()})
         pairs = [(self.ranks[a], self.ranks[b], i) for token, i in self.ranks.items() for k in range(1, len(token))
@@ -85,19 +102,30 @@ class DuckBPE:
                 out[i] = np.array([r], "<u2").tobytes()
             else:
                 hard.append(i)
-        for at in range(0, len(hard), WORDS_PER_QUERY):
-            some = hard[at:at + WORDS_PER_QUERY]
-            sizes = np.array([len(words[i]) for i in some])
-            w = np.repeat(np.arange(len(some)), sizes)
-            ends = np.cumsum(sizes)
-            start = pd.DataFrame({"w": w, "p": np.arange(len(w)) - np.repeat(ends - sizes, sizes) + 1,
-                                  "t": self.byte[np.frombuffer(b"".join([words[i] for i in some]), np.uint8)]})
-            self.db.register("start", start)
-            for k, ids in self.db.execute(ENCODE).fetchall():
-                out[some[k]] = np.array(ids, "<u2").tobytes()
-            self.db.unregister("start")
+        hard.sort(key=lambda i: len(words[i]))  # words of a query need about as many steps
+        short = bisect(hard, SHORT, key=lambda i: len(words[i]))
+        for query, group in ((ENCODE, hard[:short]), (ENCODE_LONG, hard[short:])):
+            for at in range(0, len(group), WORDS_PER_QUERY):
+                some = group[at:at + WORDS_PER_QUERY]
+                for i, ids in zip(some, self.contract(query, [words[i] for i in some]), strict=True):
+                    out[i] = ids
         return out
 
+    def contract(self, query: str, words: list[bytes]) -> list[bytes]:
+        sizes = np.array([len(w) for w in words])
+        w = np.repeat(np.arange(len(words)), sizes)
+        ends = np.cumsum(sizes)
+        t = self.byte[np.frombuffer(b"".join(words), np.uint8)]
+        u = np.append(t[1:], -1)
+        u[ends - 1] = -1  # no pair
+        start = pd.DataFrame({"w": w, "p": np.arange(len(w)) - np.repeat(ends - sizes, sizes) + 1, "t": t, "u": u})
+        self.db.register("start", start)
+        got = self.db.execute(query).fetchnumpy()
+        self.db.unregister("start")
+        raw = np.asarray(got["t"]).astype("<u2").tobytes()
+        stops = 2 * np.cumsum(np.bincount(got["w"], minlength=len(words)))
+        return [raw[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+
     def code_chunks(self, chunks: list[str]) -> list[bytes]:
         """Packed ids of chunks: each match of the pattern is a word of its own."""
         cut = [self.pattern.findall(c) for c in chunks]
