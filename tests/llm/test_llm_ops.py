@@ -155,6 +155,30 @@ def test_toxicity_held_out(spark, empty):
     assert toxicity(empty, spark.createDataFrame([], "doc_id long, toxic int")).count() == 0
 
 
+def test_toxicity_learns_stems_and_repeated_use(spark):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("aelmnrsu") for _ in range(6)) for _ in range(300)]
+
+    def ending():
+        return "".join(rnd.choice("bcdfgiopt") for _ in range(4))
+    rows, labels = [], []
+    for i in range(900):
+        w = [rnd.choice(words) for _ in range(40)]
+        if i % 9 == 0:  # a stem whose full words do not recur
+            w[3] = "achlik" + ending()
+        for k in range(4 if i % 9 == 1 else i % 3 == 2):  # clean documents hold this one once
+            w[7 * k + 5] = "bomzat" + ending()
+        rows.append((i, " ".join(w) + "."))
+        labels.append((i, int(i % 9 < 2)))
+    got = toxicity(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [r for r in got if r.held_out]
+    for kind in (0, 1):
+        mine = [r.predicted for r in held if r.doc_id % 9 == kind]
+        assert len(mine) > 10 and sum(mine) >= 0.9 * len(mine)
+    clean = [r.predicted for r in held if r.doc_id % 9 > 1]
+    assert sum(clean) <= 0.05 * len(clean)
+
+
 def test_bpe_equals_the_library(docs, empty):
     import tiktoken
 

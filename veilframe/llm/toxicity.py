@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterable, Iterator
@@ -18,15 +19,14 @@ from veilframe.sources.tables import load
 ORDER, DECAY = 3, 0.7      # length of the common subsequences, weight of each place they span
 FLOOR = 0.3                # similarities below this count as none
 TRAIN_DOCS = 8_000         # bound of the labelled sample that the classifier is fitted on
-LANDMARKS = 24             # most landmarks
-SHARE, SURE = 0.5, 6.0     # a landmark's least toxic share, and its distance from the sample's in standard errors
-SUPPORT = 0.03             # share of the sample's toxic documents that a landmark occurs in at least
+GRAMS = range(3, 13)       # characters of the parts of words that can become landmarks
+SHARE = 0.5                # a landmark's least share of toxic documents
+SURE, LIKELY = 18.0, 13.0  # least evidence of a landmark, and of one that is looked at again among uncovered documents
 LETTERS_SHARED = 0.7       # share of a landmark's letters without which a word is not compared
 WIDTH = 32                 # longest piece of a word compared at once; longer words go in windows
 WORDS_CACHED = 400_000
 GROUP = 1 << 20            # characters of texts whose new words are compared together
 
-_SENTENCE = re.compile(r"[.!?\n]+")
 _SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\W_]{1,3}){3,}[^\W\d_](?![^\W\d_])")
 
 
@@ -83,6 +83,7 @@ class LandmarkSimilarities:
         self.masks = np.array([_letter_mask(x) for x in landmarks], np.uint64)
         self.least = np.ceil(LETTERS_SHARED * np.bitwise_count(self.masks))
         self.sizes = np.array([len(x) for x in landmarks], np.int64)
+        self.none = np.zeros(2 * len(landmarks))
         self.codes = _codes(landmarks, max(self.sizes, default=0))
         self.own = kernel(self.codes, self.codes) if landmarks else np.zeros(0)
         # own kernel of a string by its length, at least: each place matches itself
@@ -92,7 +93,7 @@ class LandmarkSimilarities:
     def learn(self, words: Iterable[str]) -> None:
         owners: dict[str, list[str]] = {}
         for w in words:
-            self.cache[w] = False
+            self.cache[w] = None
             s = w.strip(MARKS)
             if len(s) >= ORDER:
                 owners.setdefault(s, []).append(w)
@@ -103,16 +104,17 @@ class LandmarkSimilarities:
                 core.append(s)
         found: dict[str, np.ndarray] = {}
         for at in range(0, len(pieces), 20_000):
-            for k, m, v in zip(*self._compare(pieces[at:at + 20_000]), strict=True):
-                best = found.setdefault(core[at + k], np.zeros(len(self.landmarks)))
+            for k, m, v, whole in zip(*self._compare(pieces[at:at + 20_000]), strict=True):
+                best = found.setdefault(core[at + k], np.zeros(2 * len(self.landmarks), np.float32))
                 best[m] = max(best[m], v)
+                best[len(self.landmarks) + m] = max(best[len(self.landmarks) + m], whole)
         for s, best in found.items():
-            alike = tuple(best.tolist())
             for w in owners[s]:
-                self.cache[w] = alike
+                self.cache[w] = best
 
-    def _compare(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(piece, landmark, similarity) of all pairs that share enough letters and are at least FLOOR alike."""
+    def _compare(self, pieces: list[str]) -> tuple[np.ndarray, ...]:
+        """(piece, landmark, similarity, whole) of all pairs that share enough letters and are at least FLOOR
+        alike or whole: the piece holds as much of the landmark as the landmark itself."""
         flat = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4")
         sizes = np.array([len(x) for x in pieces])
         starts = np.cumsum(sizes) - sizes
@@ -126,21 +128,22 @@ class LandmarkSimilarities:
             inside = place < sizes[which][:, None]
             return np.where(inside, flat[np.where(inside, starts[which][:, None] + place, 0)], 0)
 
-        out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        out = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, bool))]
         for c in range(0, len(p), 1000):
             pp, mm = p[c:c + 1000], m[c:c + 1000]
             x = codes(pp)
             both = kernel(x, self.codes[mm, :self.sizes[mm].max()])
-            # too far apart whatever the piece's own kernel is
-            near = np.flatnonzero(both >= 0.999 * FLOOR * np.sqrt(self.own_least[sizes[pp]] * self.own[mm]))
+            whole = both >= 0.999 * self.own[mm]
+            # the others are too far apart whatever the piece's own kernel is
+            near = np.flatnonzero(whole | (both >= 0.999 * FLOOR * np.sqrt(self.own_least[sizes[pp]] * self.own[mm])))
             if len(near):
                 v = both[near] / np.sqrt(kernel(x[near], x[near]) * self.own[mm[near]])
-                keep = v >= FLOOR
-                out.append((pp[near][keep], mm[near][keep], v[keep]))
+                keep = (v >= FLOOR) | whole[near]
+                out.append((pp[near][keep], mm[near][keep], v[keep], whole[near][keep]))
         return tuple(np.concatenate(column) for column in zip(*out, strict=True))
 
-    def of_texts(self, texts: Iterable[str]) -> Iterator[list[np.ndarray]]:
-        """For each text, ``sentences``. New words are learned together for about GROUP characters of texts."""
+    def of_texts(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """For each text, ``features``. New words are learned together for about GROUP characters of texts."""
         group, size = [], 0
         for text in texts:
             group.append(text)
@@ -150,46 +153,40 @@ class LandmarkSimilarities:
                 group, size = [], 0
         yield from self._group(group)
 
-    def _group(self, texts: list[str]) -> list[list[np.ndarray]]:
+    def _group(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.cache) > WORDS_CACHED:
             self.cache.clear()
         parts = []
         for text in texts:
             text = text.lower()
-            spelled = [re.sub(r"[\W_]+", "", x) for x in _SPELLED.findall(text)]
-            parts.append((text, spelled, [*text.split(), *spelled]))
-        self.learn({w for _, _, words in parts for w in words if w not in self.cache})
-        return [self.sentences(*x) for x in parts]
-
-    def sentences(self, text: str, spelled: list[str], words: list[str]) -> list[np.ndarray]:
-        """For each sentence with a word like a landmark: by landmark, the largest similarity."""
-        alike = {w: v for w, v in zip(words, map(self.cache.__getitem__, words), strict=True) if v is not False}
+            parts.append([*text.split(), *[re.sub(r"[\W_]+", "", x) for x in _SPELLED.findall(text)]])
+        self.learn({w for words in parts for w in words if w not in self.cache})
+        return [self.features(x) for x in parts]
+
+    def features(self, words: list[str]) -> np.ndarray:
+        """By landmark, the largest similarity of a word; then by landmark, how often words hold it whole, for
+        every hundred words and on a log scale, which tells repeated use from one use."""
+        alike = [v for v in map(self.cache.__getitem__, words) if v is not None]
         if not alike:
-            return []
-        out = []
-        for s in _SENTENCE.split(text):
-            hit = [alike[w] for w in s.split() if w in alike]
-            out += [np.max(hit, axis=0)] if hit else []
-        rest = [alike[w] for w in spelled if w in alike]
-        # words that hold a sentence mark themselves are their own sentences
-        inner = [v for w, v in alike.items() if _SENTENCE.search(w)]
-        return [np.asarray(v) for v in out + rest + inner]
+            return self.none
+        alike, n = np.stack(alike), len(self.landmarks)
+        return np.concatenate((alike[:, :n].max(axis=0), np.log1p(alike[:, n:].sum(axis=0) * (100 / max(20, len(words))))))
 
 
 class ToxicityModel:
-    """Landmarks, weights on similarities (Nystroem map and SVM folded together), calibration."""
+    """Landmarks, weights on a text's features (Nystroem map and SVM folded together), calibration."""
 
     def __init__(self, landmarks: list[str], weights: np.ndarray, bias: float, slope: float, shift: float):
         self.landmarks, self.weights, self.bias, self.slope, self.shift = landmarks, weights, bias, slope, shift
 
-    def margin(self, sentences: list[np.ndarray]) -> float:
-        return max([float(s @ self.weights) for s in sentences], default=0.0) + self.bias
+    def margin(self, features: np.ndarray) -> float:
+        return float(features @ self.weights) + self.bias
 
     def score(self, margin):
         return 1 / (1 + np.exp(-np.clip(self.slope * np.asarray(margin) + self.shift, -30, 30)))
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, steps: int = 500) -> tuple[np.ndarray, float]:
+def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, ridge: float = 1e-3, steps: int = 1500) -> tuple[np.ndarray, float]:
     """Linear SVM with squared hinge loss by gradient descent; y is +1 or -1."""
     w, b = np.zeros(x.shape[1]), 0.0
     total = cost.sum()
@@ -215,71 +212,153 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
+def grams(text: str) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Parts of a text's words, GRAMS characters long: the text's characters, and of each distinct part
+    a hash, the place where it starts, its length and how often it occurs."""
+    chars = "\0".join(x.strip(MARKS) for x in text.lower().split()) + "\0"
+    codes = np.frombuffer(chars.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    at, h, out = np.arange(len(codes)), np.zeros(len(codes), np.uint64), []
+    for k in range(1, GRAMS.stop):
+        inside = codes[at + k - 1] != 0  # the last code is 0, so a part that goes on has a next place
+        at = at[inside]
+        h = h[inside] * np.uint64(0x9E3779B97F4A7C15) + codes[at + k - 1] + np.uint64(1)
+        if k in GRAMS:
+            out.append((h, at, np.full(len(at), k)))
+    h, at, size = (np.concatenate(x) for x in zip(*out, strict=True))
+    h, first, n = np.unique(h, return_index=True, return_counts=True)
+    return chars, h.view(np.int64), at[first], size[first], n
+
+
+def _sketch(text: str) -> int:
+    words = {x.strip(MARKS) for x in text.lower().split()} - {""}
+    low = sorted(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in words)[:4]  # near copies share these
+    return zlib.crc32(repr(low).encode())
+
+
+def evidence(n: float, k: float, share: float) -> float:
+    """Chernoff exponent: k or more toxic documents among n have a chance of at most exp(-evidence) at this share."""
+    r = k / n if n else 0.0
+    if r <= share:
+        return 0.0
+    return n * (r * math.log(r / share) + ((1 - r) * math.log((1 - r) / (1 - share)) if r < 1 else 0.0))
+
+
+def find_landmarks(sample: DataFrame) -> list[str]:
+    """Parts of words by which the sample's toxic documents stand out; near copies count once.
+
+    A part's evidence is the better one of occurring in a document and of occurring there
+    twice or more, so a stem counts over all its endings. The surest
+    come first, longer ones among equals; one that the kernel finds alike to a chosen landmark, or that is a part of it, is left out. Then, until
+    none has enough evidence left among the documents without a chosen part, the surest there are added, alike or not.
+    """
+    @F.pandas_udf("long")
+    def sketch(text: pd.Series) -> pd.Series:
+        return text.map(_sketch).astype("int64")
+
+    single = stored(sample.groupBy(sketch("text").alias("sketch")).agg(F.min_by("text", "doc_id").alias("text"), F.avg("toxic").alias("toxic")), "toxic-single")
+    total, pos = single.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    share = pos / total
+    if not 0 < share < 1:
+        return []
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def summed(parts: list) -> pd.DataFrame:
+            h, n, y = (np.concatenate(x) for x in zip(*parts, strict=True))
+            gram, at = np.unique(h, return_inverse=True)
+            twice = n > 1
+            return pd.DataFrame({"gram": gram, "n1": np.bincount(at, minlength=len(gram)), "k1": np.bincount(at, y, len(gram)),
+                                 "n2": np.bincount(at, twice, len(gram)).astype(np.int64), "k2": np.bincount(at, twice * y, len(gram))})
+
+        parts, size = [], 0
+        for b in batches:
+            for text, y in zip(b["text"], b["toxic"], strict=True):
+                _, h, _, _, n = grams(text)
+                parts.append((h, n, np.full(len(h), y, float)))
+                size += len(h)
+                if size >= GROUP:
+                    yield summed(parts)
+                    parts, size = [], 0
+        if parts:
+            yield summed(parts)
+
+    def sure(n: str, k: str) -> Column:
+        r = F.col(k) / F.col(n)
+        rest = F.when(r < 1, (1 - r) * F.log((1 - r) / (1 - share))).otherwise(0.0)
+        return (r >= SHARE) & (r > share) & (F.col(n) * (r * F.log(r / share) + rest) >= LIKELY)
+
+    counts = single.mapInPandas(count, "gram long, n1 long, k1 double, n2 long, k2 double").groupBy("gram").agg(
+        *[F.sum(c).alias(c) for c in ("n1", "k1", "n2", "k2")])
+    likely = np.sort(np.array([r["gram"] for r in counts.where(sure("n1", "k1") | ((F.col("n2") > 0) & sure("n2", "k2"))).select("gram").collect()], np.int64))
+
+    def places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for key, text, y in zip(b["sketch"], b["text"], b["toxic"], strict=True):
+                chars, h, at, size, n = grams(text)
+                own = np.flatnonzero(np.isin(h, likely))
+                yield pd.DataFrame({"part": pd.Series([chars[at[i]:at[i] + size[i]] for i in own], dtype=object), "sketch": key, "toxic": y, "n": n[own]})
+
+    held: dict[tuple[str, int], dict[int, float]] = {}
+    for r in single.mapInPandas(places, "part string, sketch long, toxic double, n long").collect() if len(likely) else []:
+        for least in range(1, min(2, r["n"]) + 1):
+            held.setdefault((r["part"], least), {})[r["sketch"]] = r["toxic"]
+    held = {event: docs for event, docs in held.items()
+            if sum(docs.values()) >= SHARE * len(docs) and evidence(len(docs), sum(docs.values()), share) >= LIKELY}
+
+    def rank(event: tuple[str, int], left: dict[int, float], rate: float) -> tuple:
+        return -evidence(len(left), sum(left.values()), rate), -len(event[0]), event
+
+    chosen: list[str] = []
+    covered: dict[int, float] = {}
+    for worth, _, event in sorted(rank(event, docs, share) for event, docs in held.items()):
+        if -worth >= SURE and not any(event[0] in c for c in chosen) and (
+                not chosen or similarity([event[0]] * len(chosen), chosen).max() < FLOOR):
+            chosen.append(event[0])
+            covered |= held[event]
+    while len(covered) < total and (rate := (pos - sum(covered.values())) / (total - len(covered))) > 1e-9:
+        worth, _, event = min((rank(event, {d: y for d, y in docs.items() if d not in covered}, rate) for event, docs in held.items()), default=(0.0, 0, None))
+        if -worth < SURE:
+            break
+        chosen += [event[0]] * (event[0] not in chosen)
+        covered |= held[event]
+    return chosen
+
+
 def fit(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS) -> ToxicityModel:
     """Fit on at most ``train_docs`` labelled documents outside the held-out fifth, taken
     by the smallest hash of their ids.
 
-    Landmarks are the words whose share of toxic documents lies furthest above the
-    sample's, and is at least SHARE, with SUPPORT of them; near copies count once there. The sentences of clean documents are negatives; a toxic document gives
-    its most suspicious sentence as positive. Without labels of both classes the model
-    gives every text 0.
+    The features of a document are its words' similarities to ``find_landmarks``, and how often
+    words hold a landmark. Without labels of both classes the model gives every text 0.
     """
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     some = known.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_docs)
     sample = stored(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(some, "doc_id"), "toxic-sample")
-
-    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for text, y in zip(b["text"], b["toxic"], strict=True):
-                w = sorted({x.strip(MARKS) for x in text.lower().split()} - {""})
-                low = sorted(zlib.crc32(x.encode("utf-8", "surrogatepass")) for x in w)[:4]  # near copies share these
-                sketch = zlib.crc32(repr(low).encode())
-                yield pd.DataFrame({"word": w, "sketch": np.full(len(w), sketch, np.int64), "toxic": np.full(len(w), y, np.int64)})
-
     n, pos = sample.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     if not n or not pos or pos == n:
         return ToxicityModel([], np.zeros(0), 0.0, 0.0, -30.0)
-    share = pos / n
-    top = (sample.select("text", "toxic").mapInPandas(words, "word string, sketch long, toxic long")
-        .groupBy("word", "sketch").agg(F.avg("toxic").alias("toxic")).groupBy("word").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("toxic").alias("k")).where((F.length("word") >= ORDER) & (F.col("k") >= max(2.5, SUPPORT * pos)))
-        .withColumn("z", (F.col("k") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share)))
-        .where((F.col("z") >= SURE) & (F.col("k") >= F.col("n") * SHARE)).orderBy(F.desc("z"), "word").limit(LANDMARKS).collect())
-    landmarks = [r["word"][:WIDTH] for r in top]
+    landmarks = find_landmarks(sample)
     if not landmarks:
-        return ToxicityModel([], np.zeros(0), 0.0, 0.0, float(np.log(share / (1 - share))))
+        return ToxicityModel([], np.zeros(0), 0.0, 0.0, float(np.log(pos / (n - pos))))
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sims = LandmarkSimilarities(landmarks)
         for b in batches:
-            for doc, found, y in zip(b["doc_id"], sims.of_texts(b["text"]), b["toxic"], strict=True):
-                found = found or [np.zeros(len(landmarks))]
-                top = sorted(found, key=lambda v: -v.sum())[:20]  # of a training document, its 20 most suspicious sentences
-                yield pd.DataFrame({"doc_id": doc, "toxic": y, "x": [v.tolist() for v in top]})
+            yield pd.DataFrame({"doc_id": b["doc_id"], "toxic": b["toxic"], "x": [x.tolist() for x in sims.of_texts(b["text"])]})
 
     rows = sample.select("doc_id", "text", "toxic").mapInPandas(features, "doc_id long, toxic int, x array<double>").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["x"]))
-    x, y, ids = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows]), np.array([r["doc_id"] for r in rows])
+    x, y = np.array([r["x"] for r in rows]), np.array([r["toxic"] for r in rows])
     pairs = [(a, b) for a in landmarks for b in landmarks]
     gram = similarity([a for a, _ in pairs], [b for _, b in pairs]).reshape(len(landmarks), -1)
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T  # Nystroem map: similarities times the Gram matrix's inverse root
-    witness = np.zeros(len(x), bool)
-    for i in np.unique(ids[y == 1]):
-        own = np.flatnonzero(ids == i)
-        witness[own[np.argmax(x[own].sum(axis=1))]] = True
-    use = witness | (y == 0)
-    sign = np.where(y[use] == 1, 1.0, -1.0)
+    root = np.eye(2 * len(landmarks))
+    # Nystroem map: similarities times the Gram matrix's inverse root
+    root[:len(landmarks), :len(landmarks)] = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-2))) @ vectors.T
+    sign = np.where(y == 1, 1.0, -1.0)
     cost = np.where(sign > 0, 0.5 / max(1, (sign > 0).sum()), 0.5 / max(1, (sign < 0).sum()))
-    w, b = _svm(x[use] @ root, sign, cost)
+    w, b = _svm(x @ root, sign, cost)
     model = ToxicityModel(landmarks, root @ w, b, 1.0, 0.0)
-    margin = x @ model.weights + b
-    docs_ids, at = np.unique(ids, return_inverse=True)
-    best = np.full(len(docs_ids), -np.inf)
-    np.maximum.at(best, at, margin)
-    truth = np.zeros(len(docs_ids))
-    truth[at] = y
-    model.slope, model.shift = _calibrate(best, truth)
+    model.slope, model.shift = _calibrate(x @ model.weights + b, y.astype(float))
     return model
 
 
@@ -288,7 +367,7 @@ def score_column(model: ToxicityModel, text: Column) -> Column:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         sims = LandmarkSimilarities(model.landmarks)
         for b in batches:
-            found = sims.of_texts(t or "" for t in b) if model.landmarks else ([] for _ in b)
+            found = sims.of_texts(t or "" for t in b) if model.landmarks else (np.zeros(0) for _ in b)
             yield pd.Series(model.score([model.margin(x) for x in found]), dtype="float64")
 
     score.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
