@@ -109,6 +109,27 @@ def test_line_dedup_keeps_the_earliest(spark, docs, empty):
     assert LD.line_dedup(docs).count() == len(TEXTS) and LD.line_dedup(empty).count() == 0
 
 
+def test_line_dedup_of_short_and_unspaced_lines(spark):
+    long = "本日は晴天なり" * 6
+    rows = [(1, "All rights reserved.\nok\n\nPage 1\n" + long), (2, "all rights reserved. \nOK\n\n\nPage 2\n" + long + "x"),
+            (3, "new\n" + long[1:] + "\nnew\n \n"), (4, None), (5, "ok")]
+    got = LD.line_dedup(spark.createDataFrame(rows, "doc_id long, text string"), short_lines=True).collect()
+    assert {r.doc_id: r.text for r in got} == {1: rows[0][1], 2: "\n\nPage 2", 3: "new\n \n", 4: None, 5: ""}
+
+
+def test_query_and_pipeline_leave_no_repeated_line(spark):
+    import corpus_pipeline as C
+
+    texts = [(1, "All rights reserved.\none"), (2, "all rights reserved.\ntwo")]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in C.lines(spark, docs, "").collect()} == {1: texts[0][1], 2: "two"}
+    path = "/root/testdata/sf0.001"
+    kept = {r.doc_id: r.n_lines - r.n_dropped for r in LD.op3_line_dedup(spark, path).collect()}
+    lines = [norm(x.strip(" ")) for r in LD.documents(spark, path).collect() for x in (r.text or "").split("\n")]
+    blank = sum(not x.strip() for x in lines)
+    assert sum(kept.values()) <= len({x for x in lines if x.strip()}) + blank
+
+
 def test_perfect_hash_is_minimal():
     keys = np.random.default_rng(1).integers(0, 2**63, 5000).astype(np.uint64)
     mph = PerfectHash.load(*PerfectHash.build(keys).dump())

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import ascii_lower, documents, stored
 from veilframe.llm.token_files import mix
 
-MIN_WORDS = 5   # shorter lines are left alone: they recur by chance
+MIN_WORDS = 5   # lines of fewer words, unless as long as LONG, are not compared for near ones: they are near by chance
+LONG = 32       # characters from which a line is compared for near ones whatever its words (text without spaces)
 MAX_EDITS = 1   # character edits between near lines
 BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -59,13 +60,14 @@ def _normal(line: str) -> str:
     return line.strip(" ").encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """Eligible lines: place (doc_id, row, line_no), 128-bit hash, half keys."""
+def _lines(docs: DataFrame, short_lines: bool) -> DataFrame:
+    """Eligible lines: place (doc_id, row, line_no), 128-bit hash, half keys (null for lines that only go if equal)."""
     lines = docs.select("doc_id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     norm = lines.select("doc_id", "row", "line_no", ascii_lower(F.trim("line")).alias("norm"))
-    return norm.where(F.size(F.split("norm", "\\s+")) >= MIN_WORDS).select(
+    near = (F.size(F.split("norm", "\\s+")) >= MIN_WORDS) | (F.length("norm") >= LONG)
+    return norm.where(F.col("norm").rlike(r"(?U)\S") if short_lines else near).select(
         "doc_id", "row", "line_no", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit("second"), "norm").alias("h2"),
-        half_keys(F.col("norm")).alias("keys"))
+        F.when(near, half_keys(F.col("norm"))).alias("keys"))
 
 
 def late_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
@@ -126,12 +128,13 @@ def _drop_lines(name: str):
     return F.pandas_udf(rest, "string")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
     """Drop repeated lines, keeping the earliest.
 
-    Lines of MIN_WORDS or more words are compared without outer spaces and with A-Z lower-cased. A
-    line goes if an earlier line (smaller doc_id, then place) of the table is equal
-    or within MAX_EDITS character edits. Returns the input's columns with the text
+    Lines of at least MIN_WORDS words or LONG characters are compared without outer spaces and with A-Z
+    lower-cased. A line goes if an earlier line (smaller doc_id, then place) of the table is equal
+    or within MAX_EDITS character edits. With ``short_lines``, every other line with a visible character
+    goes too if an earlier one is equal. Returns the input's columns with the text
     replaced, and ``_dropped`` (number of lines gone) and ``_lines``.
 
     A null text stays null; a document whose lines all go has an empty text. A null id
@@ -141,7 +144,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(text_col).cast("string")
     row = F.xxhash64(text)
     base = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.coalesce(text, F.lit("")).alias("text"))
-    lines = stored(_lines(base), "line-places")
+    lines = stored(_lines(base, short_lines), "line-places")
     place = F.struct("doc_id", "row", "line_no")
     distinct = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")),
                       "line-distinct")
@@ -161,6 +164,6 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op3_line_dedup(spark, sf_dir) -> DataFrame:
-    kept = line_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = line_dedup(documents(spark, sf_dir).select("doc_id", "text"), short_lines=True)
     return kept.select("doc_id", F.col("_lines").cast("long").alias("n_lines"), F.col("_dropped").cast("long").alias("n_dropped"),
                        F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
