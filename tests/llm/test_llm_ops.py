@@ -156,6 +156,23 @@ def test_similarity_tolerates_gaps():
     assert s[0] == pytest.approx(1) and min(s[1:3]) > 0.5 > 0.2 > s[3]
 
 
+def test_no_word_like_a_landmark_is_skipped():
+    from veilframe.llm.toxicity import FLOOR, LandmarkSimilarities
+
+    marks = ["worthless", "stupid", "réeuxment", "boment", "achlichachli"]
+    rnd = random.Random(6)
+    words = {"thless", "stup", "worth", "eux", "ré"} | {"".join(rnd.choice(x) for _ in range(rnd.randint(3, 12))) for x in marks for _ in range(300)}
+    words |= {x[i:j] + y for x in marks for i in range(len(x)) for j in range(i + 2, len(x) + 1) for y in ("", "zk")}
+    words = sorted(w for w in words if len(w) >= 3)
+    sims = LandmarkSimilarities(marks)
+    sims.learn(words)
+    for m, mark in enumerate(marks):
+        want = similarity(words, [mark] * len(words))
+        got = np.array([0.0 if sims.cache[w] is None else sims.cache[w][m] for w in words])
+        sure = np.abs(want - FLOOR) > 1e-4
+        assert np.allclose(np.where(want >= FLOOR, want, 0)[sure], got[sure], atol=1e-4)
+
+
 def test_toxicity_held_out(spark, empty):
     rnd = random.Random(2)
     words = ["".join(rnd.choice("aelmnrsu") for _ in range(6)) for _ in range(300)]

@@ -22,7 +22,6 @@ TRAIN_DOCS = 8_000         # bound of the labelled sample that the classifier is
 GRAMS = range(3, 13)       # characters of the parts of words that can become landmarks
 SHARE = 0.5                # a landmark's least share of toxic documents
 SURE, LIKELY = 18.0, 13.0  # least evidence of a landmark, and of one that is looked at again among uncovered documents
-LETTERS_SHARED = 0.7       # share of a landmark's letters without which a word is not compared
 WIDTH = 32                 # longest piece of a word compared at once; longer words go in windows
 WORDS_CACHED = 400_000
 GROUP = 1 << 20            # characters of texts whose new words are compared together
@@ -81,7 +80,7 @@ class LandmarkSimilarities:
     def __init__(self, landmarks: list[str]):
         self.landmarks, self.cache = landmarks, {}
         self.masks = np.array([_letter_mask(x) for x in landmarks], np.uint64)
-        self.least = np.ceil(LETTERS_SHARED * np.bitwise_count(self.masks))
+        self.within: list[dict[int, bool]] = [{} for _ in landmarks]
         self.sizes = np.array([len(x) for x in landmarks], np.int64)
         self.none = np.zeros(2 * len(landmarks))
         self.codes = _codes(landmarks, max(self.sizes, default=0))
@@ -90,6 +89,22 @@ class LandmarkSimilarities:
         self.own_least = np.array([sum((n - span + 1) * (span - 2) * DECAY ** (2 * span) for span in range(ORDER, n + 1))
                                    for n in range(WIDTH + 1)])
 
+    def _reachable(self, m: int, shared: np.ndarray) -> np.ndarray:
+        """Whether pieces that share these letters with landmark m can be FLOOR alike. Common subsequences have
+        shared letters only, so by Cauchy-Schwarz the similarity is at most the root of the share of
+        the landmark's own kernel that its places with these letters give."""
+        kinds, at = np.unique(shared, return_inverse=True)
+        known = self.within[m]
+        new = np.array([x for x in kinds.tolist() if x not in known], np.uint64)
+        if len(new):
+            row = self.codes[m, :self.sizes[m]]
+            places = (np.uint64(1) << (row.astype(np.uint64) % np.uint64(61))) & new[:, None]
+            part = np.where(places != 0, row, 0)
+            for c in range(0, len(new), 1000):
+                enough = kernel(part[c:c + 1000], part[c:c + 1000]) >= 0.999 * FLOOR**2 * self.own[m]
+                known.update(zip(new[c:c + 1000].tolist(), enough.tolist(), strict=True))
+        return np.array([known[x] for x in kinds.tolist()], bool)[at]
+
     def learn(self, words: Iterable[str]) -> None:
         owners: dict[str, list[str]] = {}
         for w in words:
@@ -113,13 +128,12 @@ class LandmarkSimilarities:
                 self.cache[w] = best
 
     def _compare(self, pieces: list[str]) -> tuple[np.ndarray, ...]:
-        """(piece, landmark, similarity, whole) of all pairs that share enough letters and are at least FLOOR
-        alike or whole: the piece holds as much of the landmark as the landmark itself."""
+        """(piece, landmark, similarity, whole) of all pairs that are at least FLOOR alike or whole: the piece holds as much of the landmark as the landmark itself."""
         flat = np.frombuffer("".join(pieces).encode("utf-32-le", "surrogatepass"), "<u4")
         sizes = np.array([len(x) for x in pieces])
         starts = np.cumsum(sizes) - sizes
         masks = np.bitwise_or.reduceat(np.uint64(1) << (flat.astype(np.uint64) % np.uint64(61)), starts)
-        p, m = np.nonzero(np.bitwise_count(masks[:, None] & self.masks) >= self.least)
+        p, m = np.nonzero(np.stack([self._reachable(m, masks & mask) for m, mask in enumerate(self.masks)], axis=1))
         order = np.lexsort((self.sizes[m], sizes[p]))  # alike lengths together
         p, m = p[order], m[order]
 
