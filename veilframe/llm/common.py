@@ -57,8 +57,8 @@ def running_starts(df: DataFrame, order: str, amount: str, out: str,
     base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(
         Window.partitionBy(*within).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     keys = ["_block", *within]
-    cond = [blocks[k].eqNullSafe(base[k]) for k in keys]
-    joined = blocks.join(base, cond).select(*[blocks[c] for c in blocks.columns], base["_base"])
+    base = base.select(*[F.col(k).alias(f"_of{k}") for k in keys], "_base")
+    joined = blocks.join(base, [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in keys]).select(*blocks.columns, "_base")
     return (joined.withColumn(out, F.col("_base") + F.coalesce(F.sum(amount).over(
         inner.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .drop("_base", "_block"))

@@ -16,6 +16,9 @@ ENTRIES = {
     "op8_nearest": ("ann", "OP8_SQL"),
     "op9_token_counts": ("token_counts", None),
     "op10_packing": ("packing", None),
+    "op11_quality": ("quality", None),
+    "op12_ranked_search": ("ranked_search", "OP12_SQL"),
+    "op13_filter_audit": ("filter_audit", "OP13_SQL"),
 }
 
 
