@@ -66,8 +66,8 @@ def _token_path(hay: DataFrame, hay_id: str, hay_text: str, anchors: DataFrame,
                 broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     # the token array is its own (fenced) column: referenced from inside the
     # lambda as an expression it would be re-split for every position
-    staged = spread(hay).select(F.col(hay_id).alias("hay_id"), F.col(hay_text).alias("hay_text"),
-                                fenced(_token_hashes(_tokens(F.col(hay_text)))).alias("_th"))
+    staged = fenced(spread(hay).select(F.col(hay_id).alias("hay_id"), F.col(hay_text).alias("hay_text")),
+                    "_th", _token_hashes(_tokens(F.col("hay_text"))))
     th = F.col("_th")
     def starts(q: int) -> Column:
         return F.when(F.size(th) >= q, F.sequence(F.lit(1), F.size(th) - q + 1)).otherwise(F.array().cast("array<int>"))

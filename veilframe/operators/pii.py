@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from veilframe.functions.memo import column_memo
 from veilframe.functions.spans import (
+    PAIR_ARRAY,
     SPAN_ARRAY,
-    context_tokens,
+    let,
     luhn_ok,
     mod97_ok,
-    regex_spans,
+    pair_spans,
+    regex_pairs,
+    running,
+    tokens_before,
 )
 from veilframe.operators.recognizers import (
     CONTEXT_BOOST,
@@ -34,71 +38,80 @@ from veilframe.operators.recognizers import (
 SCRUB_MODES = ("reversible", "one_way")
 
 
-def fenced(expr: Column) -> Column:
-    """Pin an expensive expression to the projection that defines it.
+def fenced(df: DataFrame, name: str, expr: Column) -> DataFrame:
+    """``df`` with the column ``name``, an expensive expression that is evaluated exactly once.
 
-    Wrapping it in a guard on ``spark_partition_id()`` (always true, but not
-    deterministic) stops the optimizer from pushing filters on the result
-    below this projection and from inlining the expression into several
-    consumers: without it, a filter such as ``size(spans) > 0`` (inferred for
-    every ``explode``) re-runs the whole regex scan inside the scan task,
-    before ``spread`` has distributed the rows.
+    The expression becomes the only element of an exploded array.  The optimizer never
+    copies a generator's output into its consumers nor pushes a filter on it below the
+    generator (as it would for a projection, re-running the regex scan), while filters
+    on other columns and column pruning still pass through to the scan.  The
+    expression is evaluated for every row that is left, also if nothing reads it.
     """
-    return F.when(F.spark_partition_id() >= 0, expr)
+    return df.select(*[c for c in df.columns if c != name], F.explode(F.array(expr)).alias(name))
 
 
-def _value_matches(regex: str):
-    return lambda s: s["value"].rlike(regex)
-
-
-@column_memo
-def _recognizer_spans(text: Column, rec: Recognizer, threshold: float) -> Column:
-    raw = regex_spans(text, rec.regex)
+def _passes(rec: Recognizer, value: Column) -> Column:
+    """The checks of a recognizer beside its pattern."""
+    ok = F.lit(True)
     for req in rec.requires:
-        raw = F.filter(raw, _value_matches(req))
+        ok = ok & value.rlike(req)
     if rec.checksum == "luhn":
-        raw = F.filter(raw, lambda s: luhn_ok(s["value"]))
+        ok = ok & luhn_ok(value)
     elif rec.checksum == "mod97":
-        raw = F.filter(raw, lambda s: mod97_ok(s["value"]))
-    base = F.lit(float(rec.score))
-    if rec.context:
-        words = F.array(*[F.lit(w) for w in rec.context])
-
-        def score_of(s):
-            toks = context_tokens(text, s["span_start"], CONTEXT_TOKENS)
-            near = F.exists(toks, lambda t: F.exists(words, lambda w: F.instr(t, w) > 0))
-            boosted = F.least(F.lit(1.0), F.greatest(base + F.lit(CONTEXT_BOOST), F.lit(CONTEXT_FLOOR)))
-            return F.when(near, boosted).otherwise(base)
-    else:
-        def score_of(s):
-            return base
-    # Guard: a text without the literal anchor (or, lacking one, without any
-    # match of the pattern: one early-exit scan) skips the extract+split pair.
+        ok = ok & mod97_ok(value)
+    return ok
+
+
+def _matches(text: Column, rec: Recognizer) -> Column:
+    """Gap and match pairs of one recognizer.  A text without the literal anchor (or, lacking one,
+    without any match of the pattern: one early-exit scan) skips the extract+split pair."""
     guard = text.contains(rec.anchor) if rec.anchor else text.rlike(rec.regex)
-    raw = F.when(F.coalesce(guard, F.lit(False)), raw).otherwise(
-        F.array().cast("array<struct<span_start:int,span_end:int,value:string>>"))
-    spans = F.transform(raw, lambda s: F.struct(
-        s["span_start"].alias("span_start"), s["span_end"].alias("span_end"),
-        F.lit(rec.entity).alias("entity"), score_of(s).alias("score"), s["value"].alias("value")))
-    return F.filter(spans, lambda s: s["score"] >= F.lit(threshold))
+    return F.when(F.coalesce(guard, F.lit(False)), regex_pairs(text, rec.regex)).otherwise(F.array().cast(PAIR_ARRAY))
 
 
 @column_memo
 def candidate_spans(text: Column, recognizers=DEFAULT_RECOGNIZERS, policy: EntityPolicy | None = None,
                     threshold: float = SCORE_THRESHOLD) -> Column:
-    """All recognizer matches scoring at least ``threshold`` (C1-C6),
-    unresolved; array<struct<span_start, span_end, entity, score, value>>."""
+    """All recognizer matches scoring at least ``threshold`` (C1-C6), unresolved;
+    array<struct<span_start, span_end, entity, score, value, byte_start>>.
+
+    Only the patterns are spelled out for each recognizer; places, checks and scores are one
+    expression over all of them, so the plan stays small however long the catalogue is."""
     recs = select_recognizers(tuple(recognizers), policy or EntityPolicy())
     if not recs:
         return F.array().cast(SPAN_ARRAY)
-    return F.concat(*[_recognizer_spans(text, r, threshold) for r in recs])
-
-
-@column_memo
-def resolve_overlaps(spans: Column) -> Column:
-    """Greedy overlap resolution (C7): visit spans by (score desc, length
-    desc, start asc, entity asc) and keep each one disjoint from every kept
-    span (touching is fine).  Returned sorted by start."""
+    entities = F.array(*[F.lit(r.entity) for r in recs])
+    scores = F.array(*[F.lit(float(r.score)) for r in recs])
+    words = F.array(*[F.array(*[F.lit(w) for w in r.context]).cast("array<string>") for r in recs])
+    checked = [i for i, r in enumerate(recs) if r.requires or r.checksum]
+
+    def passes(r, value):
+        ok = F.lit(True)
+        for i in checked:
+            ok = F.when(r == i, _passes(recs[i], value)).otherwise(ok)
+        return ok
+
+    def scored(data, r, s):
+        base, near = F.get(scores, r), F.get(words, r)
+        boosted = F.least(F.lit(1.0), F.greatest(base + F.lit(CONTEXT_BOOST), F.lit(CONTEXT_FLOOR)))
+        hit = F.exists(tokens_before(data, s["byte_start"], CONTEXT_TOKENS), lambda t: F.exists(near, lambda w: F.instr(t, w) > 0))
+        return F.when((F.size(near) > 0) & hit, boosted).otherwise(base)
+
+    def spans(data, pairs, r):
+        kept = F.filter(pair_spans(pairs), lambda s: passes(r, s["value"]))
+        return F.transform(kept, lambda s: F.struct(
+            s["span_start"].alias("span_start"), s["span_end"].alias("span_end"), F.get(entities, r).alias("entity"),
+            scored(data, r, s).alias("score"), s["value"].alias("value"), s["byte_start"].alias("byte_start")))
+
+    each = F.array(*[_matches(text, r) for r in recs])
+    found = let(text.cast("binary"), lambda data: F.flatten(F.transform(each, lambda pairs, r: F.when(
+        F.size(pairs) > 0, spans(data, pairs, r)).otherwise(F.array().cast(SPAN_ARRAY)))))
+    return F.filter(found, lambda s: s["score"] >= F.lit(threshold))
+
+
+def _greedy(spans: Column) -> Column:
+    """Spans of one island, visited by (score desc, length desc, start asc, entity asc):
+    each one disjoint from every kept span stays."""
     keyed = F.transform(spans, lambda s: F.struct(
         (-s["score"]).alias("k1"), (s["span_start"] - s["span_end"]).alias("k2"),
         s["span_start"].alias("k3"), s["entity"].alias("k4"), s.alias("s")))
@@ -108,8 +121,30 @@ def resolve_overlaps(spans: Column) -> Column:
         clash = F.exists(acc, lambda c: ~((x["span_end"] <= c["span_start"]) | (x["span_start"] >= c["span_end"])))
         return F.when(clash, acc).otherwise(F.concat(acc, F.array(x)))
 
-    kept = F.aggregate(ordered, F.array().cast(SPAN_ARRAY), step)
-    return F.array_sort(kept)
+    return F.array_sort(F.aggregate(ordered, F.array().cast(SPAN_ARRAY), step))
+
+
+@column_memo
+def resolve_overlaps(spans: Column) -> Column:
+    """Greedy overlap resolution (C7): visit spans by (score desc, length
+    desc, start asc, entity asc) and keep each one disjoint from every kept
+    span (touching is fine).  Returned sorted by start.
+
+    A sweep over the spans in start order cuts them into islands wherever a span starts
+    at or behind the furthest end so far; spans of different islands cannot clash, so
+    the visit happens inside each island, and most islands are a single span."""
+    def sweep(ordered):
+        heads = running(ordered, F.lit(-1), lambda s: s["span_end"], F.greatest, lambda s, reach: s["span_start"] >= reach)
+        return F.filter(F.transform(heads, lambda new, i: F.when(new, i)), lambda i: i.isNotNull())
+
+    def islands(ordered):
+        def island(head, k, heads):
+            size = F.coalesce(F.get(heads, k + 1), F.size(ordered)) - head
+            return F.when(size == 1, F.array(F.get(ordered, head))).otherwise(_greedy(F.slice(ordered, head + 1, size)))
+
+        return let(sweep(ordered), lambda heads: F.flatten(F.transform(heads, lambda head, k: island(head, k, heads))))
+
+    return let(F.array_sort(spans.cast(SPAN_ARRAY)), lambda ordered: F.when(F.size(ordered) > 1, islands(ordered)).otherwise(ordered))
 
 
 def detect_spans(df: DataFrame, text_col: str = "text", out: str = "spans",
@@ -117,12 +152,47 @@ def detect_spans(df: DataFrame, text_col: str = "text", out: str = "spans",
                  threshold: float = SCORE_THRESHOLD) -> DataFrame:
     """C4: resolved spans per row.
 
-    Stages are separate projections referenced by name, so the optimizer
-    keeps each expensive array in one place instead of inlining it into
-    every lambda that reads it."""
-    return (df.withColumn("_cand", fenced(candidate_spans(F.col(text_col), recognizers, policy, threshold)))
-              .withColumn(out, fenced(resolve_overlaps(F.col("_cand"))))
-              .drop("_cand"))
+    Stages are separate generators referenced by name, so each expensive array
+    is computed once and filters on other columns still reach the scan."""
+    found = fenced(df, "_cand", candidate_spans(F.col(text_col), recognizers, policy, threshold))
+    return fenced(found, out, resolve_overlaps(F.col("_cand"))).drop("_cand")
+
+
+@column_memo
+def placeholder_indexes(spans: Column, mode: str = "reversible") -> Column:
+    """The number of each of the start-sorted ``spans`` (entity, value), in their order.
+
+    reversible: its occurrence number within the entity; one_way: the rank of its value among
+    the entity's distinct values by first appearance.  Spans are taken apart by entity
+    (a catalogue holds few), then sorted, so many spans cost n log n."""
+    if mode not in SCRUB_MODES:
+        raise ValueError(f"mode must be one of {SCRUB_MODES}")
+
+    def occurrences(mine):
+        return F.transform(mine, lambda y, r: F.struct(y["i"].alias("i"), (r + 1).alias("n")))
+
+    def values(mine):
+        def ranked(by_value):
+            heads = F.filter(F.transform(by_value, lambda y, j: F.when((j == 0) | (F.get(by_value, j - 1)["value"] != y["value"]), F.struct(
+                y["i"].alias("i"), j.alias("at")))), lambda h: h.isNotNull())
+            return let(heads, lambda hs: let(rank_of(hs), lambda ranks: F.flatten(F.transform(hs, lambda h, g: F.transform(
+                F.slice(by_value, h["at"] + 1, F.coalesce(F.get(hs, g + 1)["at"], F.size(by_value)) - h["at"]),
+                lambda y: F.struct(y["i"].alias("i"), F.get(ranks, g)["n"].alias("n")))))))
+
+        def rank_of(heads):  # in value order: the place of each value by its first appearance
+            first = F.array_sort(F.transform(heads, lambda h, g: F.struct(h["i"].alias("i"), g.alias("g"))))
+            return F.array_sort(F.transform(first, lambda h, r: F.struct(h["g"].alias("g"), (r + 1).alias("n"))))
+
+        return let(F.array_sort(F.transform(mine, lambda y: F.struct(y["value"].alias("value"), y["i"].alias("i")))), ranked)
+
+    def number(sp):
+        placed = F.transform(sp, lambda x, i: F.struct(x["entity"].alias("entity"), x["value"].alias("value"), i.alias("i")))
+        kinds = F.array_distinct(F.transform(sp, lambda x: x["entity"]))
+        one = occurrences if mode == "reversible" else values
+        each = let(placed, lambda p: F.flatten(F.transform(kinds, lambda k: one(F.filter(p, lambda y: y["entity"] == k)))))
+        return F.transform(F.array_sort(each), lambda x: x["n"])
+
+    return let(spans, lambda sp: F.when(F.size(sp) > 0, number(sp)).otherwise(F.array().cast("array<int>")))
 
 
 @column_memo
@@ -132,33 +202,35 @@ def with_placeholders(spans: Column, mode: str = "reversible") -> Column:
     reversible: ``<ENTITY_n>``, n = occurrence number of the entity;
     one_way: n = rank of the value among the entity's distinct values by
     first appearance, so equal values share a placeholder."""
-    if mode not in SCRUB_MODES:
-        raise ValueError(f"mode must be one of {SCRUB_MODES}")
-
-    def index(x, i):
-        if mode == "reversible":
-            return F.size(F.filter(F.slice(spans, 1, i + 1), lambda y: y["entity"] == x["entity"]))
-        values = F.transform(F.filter(spans, lambda y: y["entity"] == x["entity"]), lambda y: y["value"])
-        return F.array_position(F.array_distinct(values), x["value"])
-
-    return F.transform(spans, lambda x, i: F.struct(
+    return let(placeholder_indexes(spans, mode), lambda numbers: F.transform(spans, lambda x, i: F.struct(
         x["span_start"].alias("span_start"), x["span_end"].alias("span_end"),
-        x["entity"].alias("entity"), x["score"].alias("score"), x["value"].alias("value"),
-        F.concat(F.lit("<"), x["entity"], F.lit("_"), index(x, i).cast("string"), F.lit(">")).alias("placeholder")))
+        x["entity"].alias("entity"), x["score"].alias("score"), x["value"].alias("value"), x["byte_start"].alias("byte_start"),
+        F.concat(F.lit("<"), x["entity"], F.lit("_"), F.get(numbers, i).cast("string"), F.lit(">")).alias("placeholder"))))
 
 
 @column_memo
 def rebuild_text(text: Column, ph_spans: Column) -> Column:
-    """Gaps between start-sorted, disjoint spans joined with placeholders."""
-    def piece(x, i):
-        prev_end = F.when(i == 0, F.lit(0)).otherwise(
-            F.element_at(ph_spans, F.greatest(i, F.lit(1)))["span_end"])
-        return F.concat(text.substr(prev_end + 1, x["span_start"] - prev_end), x["placeholder"])
+    """Gaps between start-sorted, disjoint spans joined with placeholders, cut out
+    of the text's bytes in one pass."""
+    def rebuilt(data, spans):
+        after = lambda s: s["byte_start"] + F.octet_length(s["value"])
+
+        def piece(x, i):
+            prev_end = F.when(i == 0, F.lit(0)).otherwise(after(F.get(spans, i - 1)))
+            return F.concat(F.substring(data, prev_end + 1, x["byte_start"] - prev_end).cast("string"), x["placeholder"])
 
-    last_end = F.coalesce(F.try_element_at(ph_spans, F.lit(-1))["span_end"], F.lit(0))
-    tail = text.substr(last_end + 1, F.greatest(F.length(text) - last_end, F.lit(0)))
-    return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(
-        F.concat(F.array_join(F.transform(ph_spans, piece), ""), tail))
+        last_end = F.coalesce(after(F.get(spans, F.size(spans) - 1)), F.lit(0))
+        return F.concat(F.array_join(F.transform(spans, piece), ""), F.substring(data, last_end + 1, F.octet_length(data)).cast("string"))
+
+    whole = let(ph_spans, lambda spans: let(text.cast("binary"), lambda data: rebuilt(data, spans)))
+    return F.when(text.isNull(), F.lit(None).cast("string")).when(F.size(ph_spans) == 0, text).otherwise(whole)
+
+
+def placeholder_map(spans: Column, mode: str) -> Column:
+    """Placeholder -> original of numbered spans (empty in one_way mode)."""
+    if mode == "reversible":
+        return F.map_from_arrays(F.transform(spans, lambda x: x["placeholder"]), F.transform(spans, lambda x: x["value"]))
+    return F.create_map().cast("map<string,string>")
 
 
 def scrub(df: DataFrame, text_col: str = "text", mode: str = "reversible",
@@ -167,18 +239,25 @@ def scrub(df: DataFrame, text_col: str = "text", mode: str = "reversible",
     """Scrub ``text_col``: adds ``{prefix}spans`` (with placeholders),
     ``{prefix}scrubbed_text`` and ``{prefix}mapping`` (placeholder -> original;
     empty in one_way mode)."""
-    text = F.col(text_col)
     spans_c = f"{prefix}spans"
-    out = (detect_spans(df, text_col, "_kept", recognizers, policy, threshold)
-           .withColumn(spans_c, fenced(with_placeholders(F.col("_kept"), mode)))
-           .drop("_kept"))
-    sp = F.col(spans_c)
-    out = out.withColumn(f"{prefix}scrubbed_text", fenced(rebuild_text(text, sp)))
-    if mode == "reversible":
-        mapping = F.map_from_arrays(F.transform(sp, lambda x: x["placeholder"]), F.transform(sp, lambda x: x["value"]))
-    else:
-        mapping = F.create_map().cast("map<string,string>")
-    return out.withColumn(f"{prefix}mapping", mapping)
+    out = detect_spans(df, text_col, "_kept", recognizers, policy, threshold)
+    out = fenced(out, spans_c, with_placeholders(F.col("_kept"), mode)).drop("_kept")
+    out = fenced(out, f"{prefix}scrubbed_text", rebuild_text(F.col(text_col), F.col(spans_c)))
+    return out.withColumn(f"{prefix}mapping", placeholder_map(F.col(spans_c), mode))
+
+
+def _looked_up(keys: Column, mapping: Column) -> Column:
+    """``mapping[key]`` of each key, or the key itself.  Entries and keys are sorted
+    together and every key takes the entry before it if that is its own: a map is
+    searched entry by entry, which many placeholders would make quadratic."""
+    entries = F.transform(F.map_entries(F.coalesce(mapping, F.create_map().cast("map<string,string>"))), lambda e: F.struct(
+        e["key"].alias("k"), F.lit(-1).alias("i"), e["value"].alias("v")))
+    asked = F.transform(keys, lambda k, i: F.struct(k.alias("k"), i.alias("i"), F.lit(None).cast("string").alias("v")))
+    state = lambda x: F.struct((x["i"] < 0).alias("is"), x["k"].alias("k"), x["v"].alias("v"))
+    none = F.struct(F.lit(False).alias("is"), F.lit(None).cast("string").alias("k"), F.lit(None).cast("string").alias("v"))
+    found = running(F.array_sort(F.concat(entries, asked)), none, state, lambda a, b: F.when(b["is"], b).otherwise(a), lambda x, before: F.struct(
+        x["i"].alias("i"), F.coalesce(F.when(before["k"] == x["k"], before["v"]), x["k"]).alias("v")))
+    return F.transform(F.array_sort(F.filter(found, lambda x: x["i"] >= 0)), lambda x: x["v"])
 
 
 @column_memo
@@ -188,7 +267,7 @@ def restore(text: Column, mapping: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
     ms = F.regexp_extract_all(t, F.lit(PLACEHOLDER_REGEX), F.lit(0))
     gaps = F.split(t, PLACEHOLDER_REGEX, -1)
-    repl = F.transform(ms, lambda m: F.coalesce(F.try_element_at(mapping, m), m))
+    repl = let(ms, lambda found: F.when(F.size(found) > 0, _looked_up(found, mapping)).otherwise(found))
     joined = F.array_join(F.zip_with(gaps, F.concat(repl, F.array(F.lit(""))), lambda g, r: F.concat(g, r)), "")
     return F.when(text.isNull(), F.lit(None).cast("string")).otherwise(joined)
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.memo import column_memo
+from veilframe.functions.spans import let, running
 from veilframe.operators import pii
 from veilframe.operators.audit import approx_tokens
 
@@ -34,7 +35,7 @@ PROBE_URL_PATTERN = "health/.*|metrics"
 KEY_HEADER = "X-Gateway-Key"
 PROVIDER_HEADER = "X-Gateway-Provider"
 
-FIELDS_TYPE = "array<struct<field_ord:int,role:string,content:variant>>"
+FIELDS_TYPE = "array<struct<field_ord:int,role:string,content:variant,top:boolean>>"
 
 
 def _lit_map(d: dict) -> Column:
@@ -170,105 +171,138 @@ def _arr(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
-def _field(ord_: Column, role: Column, content: Column) -> Column:
-    return F.struct(ord_.cast("int").alias("field_ord"), role.alias("role"), content.alias("content"))
+def _field(ord_: Column, role: Column, content: Column, top: bool = False) -> Column:
+    return F.struct(ord_.cast("int").alias("field_ord"), role.alias("role"), content.alias("content"), F.lit(top).alias("top"))
+
+
+def _is_object(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
+
+
+def _is_array(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v).startswith("ARRAY"), F.lit(False))
+
+
+def _is_string(v: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(v) == "STRING", F.lit(False))
 
 
 @column_memo
 def prompt_fields(v: Column, provider: Column) -> Column:
-    """array<struct<field_ord, role, content variant>> in walk order."""
+    """array<struct<field_ord, role, content variant, top>> in walk order; ``top`` marks
+    the system prompt that stands outside the messages."""
     msgs = _arr(v, "$.messages")
-    openai = F.transform(msgs, lambda m, i: _field(i, F.try_variant_get(m, "$.role", "string"),
-                                                   F.try_variant_get(m, "$.content", "variant")))
+
+    def message(m, i):
+        return _field(i, F.try_variant_get(m, "$.role", "string"), F.try_variant_get(m, "$.content", "variant"))
+
     system = F.try_variant_get(v, "$.system", "variant")
     anth = F.concat(
         F.when(system.isNull(), F.array().cast(FIELDS_TYPE)).otherwise(
-            F.array(_field(F.lit(0), F.lit("system"), system))),
-        F.transform(msgs, lambda m, i: _field(i + 1, F.try_variant_get(m, "$.role", "string"),
-                                              F.try_variant_get(m, "$.content", "variant"))))
+            F.array(_field(F.lit(0), F.lit("system"), system, True))),
+        F.transform(msgs, lambda m, i: message(m, i + 1)))
     contents = _arr(v, "$.contents")
     sys_parts = F.try_variant_get(v, "$.systemInstruction.parts", "variant")
     gem = F.concat(
         F.transform(contents, lambda c, i: _field(i, F.try_variant_get(c, "$.role", "string"),
                                                   F.try_variant_get(c, "$.parts", "variant"))),
         F.when(sys_parts.isNull(), F.array().cast(FIELDS_TYPE)).otherwise(
-            F.array(_field(F.size(contents), F.lit("system"), sys_parts))))
+            F.array(_field(F.size(contents), F.lit("system"), sys_parts, True))))
     empty = F.array().cast(FIELDS_TYPE)
-    return (F.when(provider == "openai", openai).when(provider == "anthropic", anth)
+    return (F.when(provider == "openai", F.transform(msgs, message)).when(provider == "anthropic", anth)
              .when(provider == "gemini", gem).otherwise(empty))
 
 
 @column_memo
-def _parts_of(content: Column) -> Column:
-    """A field's content as a list of parts: a string is one part."""
-    t = F.schema_of_variant(content)
-    return (F.when(content.isNull(), F.array().cast("array<variant>"))
-             .when(t == "STRING", F.array(content))
-             .when(t.startswith("ARRAY"), _arr(content, "$"))
-             .otherwise(F.array(content)))
+def _parts_of(content: Column, provider: Column) -> Column:
+    """A field's content as array<struct<part variant, whole>>: a string is one whole part (Gemini
+    knows lists only), a list its elements, anything else (null, a number, an object) none."""
+    none = F.array().cast("array<struct<part:variant,whole:boolean>>")
+    whole = F.array(F.struct(content.alias("part"), F.lit(True).alias("whole")))
+    return (F.when(_is_string(content) & (provider != "gemini"), whole)
+             .when(_is_array(content), F.transform(_arr(content, "$"), lambda p: F.struct(p.alias("part"), F.lit(False).alias("whole"))))
+             .otherwise(none))
 
 
 @column_memo
-def _classify(part: Column) -> Column:
-    """struct<kind, text>: text parts (string, ``type: text`` or a Gemini
-    ``text`` key), Anthropic tool results with string content, else other
-    (kept as canonical JSON, not scrubbed)."""
-    t = F.schema_of_variant(part)
-    ptype = F.try_variant_get(part, "$.type", "string")
-    txt = F.try_variant_get(part, "$.text", "variant")
-    txt_is_str = F.coalesce(F.schema_of_variant(txt) == "STRING", F.lit(False))
-    tool = F.try_variant_get(part, "$.content", "variant")
-    tool_is_str = F.coalesce(F.schema_of_variant(tool) == "STRING", F.lit(False))
-    kind = (F.when(t == "STRING", F.lit("text"))
-             .when(F.coalesce(ptype == "text", F.lit(False)), F.lit("text"))
-             .when(ptype.isNull() & txt_is_str, F.lit("text"))
-             .when(F.coalesce(ptype == "tool_result", F.lit(False)) & tool_is_str, F.lit("tool_result"))
-             .otherwise(F.lit("other")))
-    text = (F.when(t == "STRING", F.try_variant_get(part, "$", "string"))
-             .when(kind == "text", F.coalesce(F.try_variant_get(part, "$.text", "string"), F.lit("")))
-             .when(kind == "tool_result", F.try_variant_get(part, "$.content", "string"))
+def _classify(part: Column, whole: Column, provider: Column, top: Column) -> Column:
+    """struct<kind, text> by the rules of each dialect: a whole string is text; a list element is text
+    if its type says so (OpenAI, Anthropic) or if it holds a string under ``text`` (Gemini); an Anthropic
+    message may hold tool results with string content; all else is other (its canonical JSON, not
+    scrubbed)."""
+    kind_of = F.coalesce(F.try_variant_get(part, "$.type", "string"), F.lit(""))
+    is_text = F.when(provider == "gemini", _is_string(F.try_variant_get(part, "$.text", "variant"))).otherwise(_is_object(part) & (kind_of == "text"))
+    is_tool = (provider == "anthropic") & ~top & (kind_of == "tool_result") & _is_string(F.try_variant_get(part, "$.content", "variant"))
+    kind = F.when(whole | is_text, F.lit("text")).when(is_tool, F.lit("tool_result")).otherwise(F.lit("other"))
+    text = (F.when(whole, F.try_variant_get(part, "$", "string"))
+             .when(is_text, F.coalesce(F.try_variant_get(part, "$.text", "string"), F.lit("")))
+             .when(is_tool, F.try_variant_get(part, "$.content", "string"))
              .otherwise(F.to_json(part)))
     return F.struct(kind.alias("kind"), text.alias("text"))
 
 
+@column_memo
+def prompt_parts(v: Column, provider: Column) -> Column:
+    """B2 inside a row: array<struct<field_ord, part_ord, role, kind, text>> in walk order."""
+    return F.flatten(F.transform(prompt_fields(v, provider), lambda f: F.transform(
+        _parts_of(f["content"], provider), lambda p, j: let(_classify(p["part"], p["whole"], provider, f["top"]), lambda c: F.struct(
+            f["field_ord"].alias("field_ord"), j.cast("int").alias("part_ord"), f["role"].alias("role"),
+            c["kind"].alias("kind"), c["text"].alias("text"))))))
+
+
 def explode_prompt_parts(df: DataFrame, id_col: str, v_col: str = "v", provider_col: str = "provider") -> DataFrame:
     """B2: the canonical long form ``prompt_parts(request id, provider,
     field_ord, part_ord, role, kind, text, scrubbable)``.  Generators only:
     row-local, no shuffle."""
-    f = df.select(F.col(id_col), F.col(provider_col).alias("provider"),
-                  F.explode(prompt_fields(F.col(v_col), F.col(provider_col))).alias("f"))
-    p = f.select(id_col, "provider", F.col("f.field_ord").alias("field_ord"), F.col("f.role").alias("role"),
-                 F.posexplode(_parts_of(F.col("f.content"))).alias("part_ord", "part"))
-    c = p.withColumn("c", _classify(F.col("part")))
-    return c.select(id_col, "provider", "field_ord", F.col("part_ord").cast("int").alias("part_ord"), "role",
-                    F.col("c.kind").alias("kind"), F.col("c.text").alias("text"),
-                    F.col("c.kind").isin("text", "tool_result").alias("scrubbable"))
+    requests = df.select(id_col, F.col(provider_col).alias("provider"), F.col(v_col).alias("_v"))
+    p = requests.select(id_col, "provider", F.explode(prompt_parts(F.col("_v"), F.col("provider"))).alias("p"))
+    return p.select(id_col, "provider", "p.*", F.col("p.kind").isin("text", "tool_result").alias("scrubbable"))
+
+
+def _said(x: Column) -> Column:
+    """A JSON value as it stands in a prompt line: text as it is, ``None`` / ``True`` / ``False``,
+    numbers and anything nested as canonical JSON."""
+    kind = F.schema_of_variant(x)
+    return (F.when(kind == "STRING", F.try_variant_get(x, "$", "string")).when(kind == "VOID", F.lit("None"))
+             .when(kind == "BOOLEAN", F.initcap(F.to_json(x))).otherwise(F.to_json(x)))
 
 
 @column_memo
 def prompt_text(v: Column, provider: Column) -> Column:
     """The cache text: ``role: content`` lines joined by newlines; non-text
-    parts as JSON; Anthropic system first; Gemini system instruction last and
-    as JSON; unknown provider -> the whole body as JSON."""
-    def part_line(role, part):
-        c = _classify(part)
-        body = F.when(c["kind"] == "text", c["text"]).otherwise(F.to_json(part))
-        return F.concat(F.coalesce(role, F.lit("")), F.lit(": "), body)
-
-    def field_lines(f):
-        is_gem_sys = (provider == "gemini") & (f["role"] == "system")
-        return F.when(is_gem_sys, F.array(F.concat(F.lit("system: "),
-                                                   F.to_json(F.try_variant_get(v, "$.systemInstruction", "variant")))))\
-                .when((provider == "anthropic") & (f["role"] == "system") &
-                      (F.schema_of_variant(f["content"]) != "STRING"),
-                      F.array(F.concat(F.lit("system: "), F.to_json(f["content"]))))\
-                .otherwise(F.transform(_parts_of(f["content"]), lambda p: part_line(f["role"], p)))
-
-    lines = F.flatten(F.transform(prompt_fields(v, provider), field_lines))
-    tools = F.try_variant_get(v, "$.tools", "variant")
-    with_tools = F.when(provider.isin("openai", "anthropic") & _truthy(tools),
-                        F.concat(lines, F.array(F.concat(F.lit("tools:"), F.to_json(tools))))).otherwise(lines)
-    return F.when(provider.isin(*PROVIDERS), F.array_join(with_tools, "\n")).otherwise(F.to_json(v))
+    parts as JSON; Anthropic system first unless it is empty; Gemini system instruction last,
+    whole and as JSON; unknown provider -> the whole body as JSON.  A message without role or
+    content has an empty one, an explicit null reads ``None``."""
+    def line(role, body):
+        return F.concat(F.coalesce(role, F.lit("")), F.lit(": "), F.coalesce(body, F.lit("")))
+
+    def role_of(m):
+        return _said(F.try_variant_get(m, "$.role", "variant"))
+
+    def message(m):
+        content = F.try_variant_get(m, "$.content", "variant")
+        typed = lambda p: _is_object(p) & F.coalesce(F.try_variant_get(p, "$.type", "string") == "text", F.lit(False))
+        parts = F.transform(_arr(content, "$"), lambda p: line(role_of(m), F.when(
+            typed(p), _said(F.try_variant_get(p, "$.text", "variant"))).otherwise(F.to_json(p))))
+        return F.when(_is_array(content), parts).otherwise(F.array(line(role_of(m), _said(content))))
+
+    def turn(c):
+        def said(p):
+            text = F.try_variant_get(p, "$.text", "variant")
+            return line(role_of(c), F.when(text.isNull(), F.to_json(p)).otherwise(_said(text)))
+        return F.transform(_arr(c, "$.parts"), said)
+
+    def optional(name, lead, body):
+        value = F.try_variant_get(v, f"$.{name}", "variant")
+        return F.when(_truthy(value), F.array(F.concat(F.lit(lead), body(value)))).otherwise(F.array().cast("array<string>"))
+
+    messages = F.flatten(F.transform(_arr(v, "$.messages"), message))
+    tools = optional("tools", "tools:", F.to_json)
+    lines = (F.when(provider == "openai", F.concat(messages, tools))
+              .when(provider == "anthropic", F.concat(optional("system", "system: ", _said), messages, tools))
+              .when(provider == "gemini", F.concat(F.flatten(F.transform(_arr(v, "$.contents"), turn)),
+                                                   optional("systemInstruction", "system: ", F.to_json))))
+    return F.when(provider.isin(*PROVIDERS), F.array_join(lines, "\n")).otherwise(F.to_json(v))
 
 
 @column_memo
@@ -276,8 +310,9 @@ def response_text(v: Column, provider: Column) -> Column:
     """Assistant text of a response body, parts joined by newlines."""
     choices = _arr(v, "$.choices")
     def joined(content):  # a list of parts counts as its text parts, joined
-        texts = F.filter(F.transform(_parts_of(content), lambda p: _classify(p)), lambda p: p["kind"] == "text")
-        return F.when(content.isNotNull() & (F.schema_of_variant(content) != "VOID"), F.array_join(F.transform(texts, lambda p: p["text"]), "\n"))
+        typed = F.filter(_arr(content, "$"), lambda p: F.coalesce(F.try_variant_get(p, "$.type", "string") == "text", F.lit(False)))
+        texts = F.transform(typed, lambda p: F.coalesce(F.try_variant_get(p, "$.text", "string"), F.lit("")))
+        return F.when(_is_string(content), F.try_variant_get(content, "$", "string")).when(_is_array(content), F.array_join(texts, "\n"))
 
     openai = F.filter(F.transform(choices, lambda c: joined(F.try_variant_get(c, "$.message.content", "variant"))),
                       lambda s: s.isNotNull())
@@ -297,53 +332,47 @@ def response_text(v: Column, provider: Column) -> Column:
 # Request-level scrub and restore
 # ---------------------------------------------------------------------------
 @column_memo
-def _request_numbering(mode: str):
-    """Column builders of the request-level stage, over columns ``parts``
-    (array of (field_ord, part_ord, text, spans)) and ``_flat`` / ``spans``."""
-    flat = F.flatten(F.transform("parts", lambda p: F.transform(p["spans"], lambda s: F.struct(
-        p["field_ord"].alias("field_ord"), p["part_ord"].alias("part_ord"), s["span_start"].alias("span_start"),
-        s["span_end"].alias("span_end"), s["entity"].alias("entity"), s["score"].alias("score"),
-        s["value"].alias("value")))))
-    req = F.col("_flat")
-
-    def index(x, i):
-        if mode == "reversible":
-            return F.size(F.filter(F.slice(req, 1, i + 1), lambda y: y["entity"] == x["entity"]))
-        vals = F.transform(F.filter(req, lambda y: y["entity"] == x["entity"]), lambda y: y["value"])
-        return F.array_position(F.array_distinct(vals), x["value"])
-
-    numbered = F.transform(req, lambda x, i: F.struct(
-        x["field_ord"].alias("field_ord"), x["part_ord"].alias("part_ord"), x["span_start"].alias("span_start"),
-        x["span_end"].alias("span_end"), x["entity"].alias("entity"), x["score"].alias("score"),
-        x["value"].alias("value"),
-        F.concat(F.lit("<"), x["entity"], F.lit("_"), index(x, i).cast("string"), F.lit(">")).alias("placeholder")))
-    sp = F.col("spans")
-    rebuilt = F.transform("parts", lambda p: F.struct(
-        p["field_ord"].alias("field_ord"), p["part_ord"].alias("part_ord"),
-        pii.rebuild_text(p["text"], F.filter(sp, lambda s: (s["field_ord"] == p["field_ord"]) &
-                                             (s["part_ord"] == p["part_ord"]))).alias("text")))
-    if mode == "reversible":
-        mapping = F.map_from_arrays(F.transform(sp, lambda x: x["placeholder"]), F.transform(sp, lambda x: x["value"]))
-    else:
-        mapping = F.create_map().cast("map<string,string>")
-    return pii.fenced(flat), pii.fenced(numbered), rebuilt, mapping
+def _numbered_parts(parts: Column, mode: str) -> Column:
+    """Parts (field_ord, part_ord, ..., text, spans) with the spans numbered over the whole
+    request, in (field, part, start) order, and the text rebuilt."""
+    def numbered(ps):
+        ahead = running(ps, F.lit(0), lambda p: F.size(p["spans"]), lambda a, b: a + b, lambda p, before: before)
+        whole = pii.with_placeholders(F.flatten(F.transform(ps, lambda p: p["spans"])), mode)
+        return let(ahead, lambda at: let(whole, lambda sp: F.transform(ps, lambda p, i: let(
+            F.slice(sp, F.get(at, i) + 1, F.size(p["spans"])), lambda mine: F.struct(
+                p["field_ord"].alias("field_ord"), p["part_ord"].alias("part_ord"), p["role"].alias("role"), p["kind"].alias("kind"),
+                pii.rebuild_text(p["text"], mine).alias("text"), mine.alias("spans"))))))
+
+    return let(parts, numbered)
 
 
 def scrub_requests(parts: DataFrame, id_col: str, mode: str = "reversible", **kw) -> DataFrame:
-    """Scrub every scrubbable part (row-local), then number placeholders
+    """C13 over exploded parts (B2): scrub every scrubbable part (row-local), then number placeholders
     per *request* in (field, part, start) order, so a second message's
     address gets ``<EMAIL_ADDRESS_2>`` instead of overwriting the first
-    (quirk Q1 fixed).  One shuffle: the regroup by request.
+    (quirk Q1 fixed).  One shuffle: the regroup by request.  ``bodies.scrub_bodies`` does
+    the same from whole bodies, without a shuffle, and rebuilds them.
 
-    Returns one row per request: ``parts`` (field_ord, part_ord, scrubbed
+    Returns one row per request with a part: ``parts`` (field_ord, part_ord, scrubbed
     text), ``spans`` (request-level placeholders), ``mapping``."""
-    scr = parts.where(F.col("scrubbable"))
-    d = pii.detect_spans(scr, "text", "spans", **kw)
-    per_part = d.select(id_col, F.struct("field_ord", "part_ord", "text", "spans").alias("p"))
-    g = per_part.groupBy(id_col).agg(F.array_sort(F.collect_list("p")).alias("parts"))
-    flat, numbered, rebuilt, mapping = _request_numbering(mode)
-    g = g.withColumn("_flat", flat).withColumn("spans", numbered).drop("_flat")
-    return g.withColumn("parts", rebuilt).withColumn("mapping", mapping)
+    d = pii.detect_spans(parts.where(F.col("scrubbable")), "text", "spans", **kw)
+    per_part = d.select(id_col, F.struct("field_ord", "part_ord", "role", "kind", "text", "spans").alias("p"))
+    g = per_part.groupBy(id_col).agg(F.array_sort(F.collect_list("p")).alias("_parts"))
+    return with_request_spans(pii.fenced(g, "parts", _numbered_parts(F.col("_parts"), mode)).drop("_parts"), mode)
+
+
+@column_memo
+def _request_spans(parts: Column) -> Column:
+    return F.flatten(F.transform(parts, lambda p: F.transform(p["spans"], lambda s: F.struct(
+        p["field_ord"].alias("field_ord"), p["part_ord"].alias("part_ord"), s["span_start"].alias("span_start"),
+        s["span_end"].alias("span_end"), s["entity"].alias("entity"), s["score"].alias("score"),
+        s["value"].alias("value"), s["placeholder"].alias("placeholder")))))
+
+
+def with_request_spans(df: DataFrame, mode: str) -> DataFrame:
+    """Adds ``spans`` of all parts and ``mapping`` to numbered ``parts``."""
+    out = pii.fenced(df, "spans", _request_spans(F.col("parts")))
+    return out.withColumn("mapping", pii.placeholder_map(F.col("spans"), mode))
 
 
 def reassemble_chunks(chunks: DataFrame, id_col: str, seq_col: str = "seq", chunk_col: str = "chunk") -> DataFrame:

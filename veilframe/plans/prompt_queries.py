@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from veilframe.operators import bodies as BD
+from veilframe.operators import cache as C
 from veilframe.operators import pii
 from veilframe.operators import prompt as P
 from veilframe.plans.pii_sql import restore_sql, scrub_ctes
@@ -21,12 +23,16 @@ IMAGE_JSON_SQL = "'{\"image_url\":{\"url\":\"https://img.example/' || CAST(conv_
 TOOL_JSON_SQL = ("'{\"content\":\"done ' || CAST(conv_id AS VARCHAR) || '\",\"tool_use_id\":\"call_' || CAST(turn AS VARCHAR) "
                  "|| '\",\"type\":\"tool_result\"}'")
 
+UNTYPED_SQL = "'{\"text\":\"untyped ' || CAST(conv_id AS VARCHAR) || '\"}'"
+
 CONV_SQL = f"""conv AS (
   SELECT conv_id, turn, role, {B.AUGMENTED_TEXT_SQL} AS text, conv_id % 3 AS d,
          row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos_all,
          row_number() OVER (PARTITION BY conv_id, role = 'system' ORDER BY turn) - 1 AS pos_grp,
-         count(*) FILTER (WHERE role <> 'system') OVER (PARTITION BY conv_id) AS n_chat
+         count(*) FILTER (WHERE role <> 'system') OVER (PARTITION BY conv_id) AS n_chat,
+         count(*) OVER (PARTITION BY conv_id) AS n_all
   FROM conversations),
+odd AS (SELECT DISTINCT conv_id, d, n_all, n_chat, n_all > n_chat AS has_system FROM conv WHERE {B.ODD_SQL}),
 parts AS (
   SELECT conv_id, turn, pos_all AS field_ord, 0 AS part_ord, role, 'text' AS kind, text FROM conv WHERE d = 0
   UNION ALL
@@ -42,11 +48,21 @@ parts AS (
   SELECT conv_id, turn, pos_grp, 0, CASE WHEN role = 'assistant' THEN 'model' ELSE role END, 'text', text
   FROM conv WHERE d = 2 AND role <> 'system'
   UNION ALL
-  SELECT conv_id, turn, n_chat, 0, 'system', 'text', text FROM conv WHERE d = 2 AND role = 'system'),
+  SELECT conv_id, turn, n_chat, 0, 'system', 'text', text FROM conv WHERE d = 2 AND role = 'system'
+  UNION ALL
+  SELECT conv_id, NULL, n_all + 2, 0, 'user', 'other', {UNTYPED_SQL} FROM odd WHERE d = 0
+  UNION ALL
+  SELECT conv_id, NULL, 0, 0, 'system', 'text', '' FROM odd WHERE d = 1 AND NOT has_system),
 lines AS (
   SELECT conv_id, field_ord, part_ord,
          CASE WHEN kind = 'tool_result' THEN role || ': ' || {TOOL_JSON_SQL} ELSE role || ': ' || text END AS line
-  FROM parts WHERE NOT (conv_id % 3 = 2 AND role = 'system')
+  FROM parts WHERE NOT (conv_id % 3 = 2 AND role = 'system') AND NOT (conv_id % 3 = 1 AND role = 'system' AND text = '')
+  UNION ALL
+  SELECT conv_id, n_all, 0, 'assistant: None' FROM odd WHERE d = 0
+  UNION ALL
+  SELECT conv_id, n_all + 1, 0, 'user: ' FROM odd WHERE d = 0
+  UNION ALL
+  SELECT conv_id, n_chat, 0, 'system: "stay brief"' FROM odd WHERE d = 2 AND NOT has_system
   UNION ALL
   SELECT conv_id, n_chat, 0, 'system: {{"parts":[{{"text":' || to_json(text)::VARCHAR || '}}]}}'
   FROM conv WHERE d = 2 AND role = 'system'),
@@ -245,14 +261,6 @@ def q_token_usage(spark, sf):
     return j.select("conv_id", ptok.alias("prompt_tokens"), ctok.alias("completion_tokens"))
 
 
-@register("request_hashes", operators=("G4",))
-def q_request_hashes(spark, sf):
-    """SHA-256 of the canonical JSON of each scrubbed body; the canonical form
-    (sorted keys) is Spark's own, so this query has no byte-level oracle."""
-    s = P.scrub_requests(_parts(spark, sf), "conv_id")
-    return s.select("conv_id", P.request_hash(F.parse_json(F.to_json(F.col("parts")))).alias("request_hash"))
-
-
 # --- request-level scrub ---------------------------------------------------
 SCRUB_SRC = ("SELECT conv_id * 1000 + field_ord * 10 + part_ord AS rid, text FROM parts "
              "WHERE kind IN ('text', 'tool_result') AND conv_id % 13 <> 0")
@@ -264,10 +272,15 @@ def _request_scrub_sql(body: str) -> str:
 req AS (SELECT rid // 1000 AS conv_id, rid % 1000 AS pk, entity, s, e, v FROM kept),
 reqph AS (SELECT *, '<' || entity || '_' || CAST(row_number() OVER (PARTITION BY conv_id, entity ORDER BY pk, s) AS VARCHAR)
                    || '>' AS placeholder FROM req),
-convs AS (SELECT DISTINCT conv_id FROM parts WHERE conv_id % 13 <> 0)
+convs AS (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 13 <> 0)
 {body}"""
 
 
+def _scrubbed(spark, sf):
+    """Every routed request with its scrubbed body, spans and mapping."""
+    return BD.scrub_bodies(_bodies(spark, sf).where(F.col("provider").isNotNull()))
+
+
 @register("scrub_requests", operators=("C13",), oracle=_request_scrub_sql("""
 , hdr AS (SELECT conv_id, string_agg(entity || ':' || CAST(n AS VARCHAR), ',' ORDER BY entity) AS pii_header
          FROM (SELECT conv_id, entity, count(*) AS n FROM reqph GROUP BY ALL) GROUP BY conv_id),
@@ -278,12 +291,86 @@ SELECT c.conv_id, coalesce(m.n_entities, 0)::BIGINT AS n_entities, coalesce(h.pi
        coalesce(m.mapping_text, '') AS mapping_text
 FROM convs c LEFT JOIN maps m USING (conv_id) LEFT JOIN hdr h USING (conv_id)"""))
 def q_scrub_requests(spark, sf):
-    s = P.scrub_requests(_parts(spark, sf), "conv_id")
+    s = _scrubbed(spark, sf)
     return s.select("conv_id", F.size("spans").cast("long").alias("n_entities"),
                     pii.pii_header(F.col("spans")).alias("pii_header"),
                     pii.mapping_string(F.col("mapping")).alias("mapping_text"))
 
 
+# scrubbed text of every part, with request-level placeholders
+SCRUBBED_PARTS_SQL = """,
+cuts AS (SELECT conv_id, pk, s, e, placeholder, coalesce(lag(e) OVER (PARTITION BY conv_id, pk ORDER BY s), 0) AS after FROM reqph),
+bits AS (SELECT c.conv_id, c.pk, string_agg(substr(t.text, c.after + 1, c.s - c.after) || c.placeholder, '' ORDER BY c.s) AS body, max(c.e) AS last_e
+         FROM cuts c JOIN src t ON t.rid = c.conv_id * 1000 + c.pk GROUP BY ALL),
+clean AS (SELECT p.conv_id, p.turn, p.field_ord, p.part_ord, p.role, p.kind,
+                 CASE WHEN b.pk IS NULL THEN p.text ELSE b.body || substr(p.text, b.last_e + 1) END AS text
+          FROM parts p LEFT JOIN bits b ON b.conv_id = p.conv_id AND b.pk = p.field_ord * 10 + p.part_ord WHERE p.conv_id % 13 <> 0)"""
+_TEXT_PART = "'{\"text\":' || to_json(text)::VARCHAR || ',\"type\":\"text\"}'"
+SCRUBBED_BODIES_SQL = SCRUBBED_PARTS_SQL + f""",
+msgs AS (
+  SELECT conv_id, field_ord, CASE
+    WHEN conv_id % 3 = 2 THEN '{{"parts":[{{"text":' || to_json(text)::VARCHAR || '}}],"role":"' || role || '"}}'
+    WHEN turn % 2 = 0 THEN '{{"content":' || to_json(text)::VARCHAR || ',"role":"' || role || '"}}'
+    ELSE '{{"content":[' || {_TEXT_PART} || CASE WHEN conv_id % 3 = 0 AND turn % 4 = 1 THEN ',' || {IMAGE_JSON_SQL}
+         WHEN conv_id % 3 = 1 AND turn % 4 = 3 THEN ',' || {TOOL_JSON_SQL} ELSE '' END || '],"role":"' || role || '"}}' END AS m
+  FROM clean WHERE part_ord = 0 AND turn IS NOT NULL AND NOT (role = 'system' AND conv_id % 3 <> 0)
+  UNION ALL
+  SELECT conv_id, n_all, '{{"content":null,"role":"assistant"}},{{"role":"user"}},{{"content":[' || {UNTYPED_SQL} || '],"role":"user"}}'
+  FROM odd WHERE d = 0 AND conv_id % 13 <> 0),
+top AS (
+  SELECT conv_id, text FROM clean WHERE role = 'system' AND conv_id % 3 <> 0),
+lists AS (SELECT conv_id, '[' || string_agg(m, ',' ORDER BY field_ord) || ']' AS ms FROM msgs GROUP BY conv_id),
+bodies AS (
+  SELECT l.conv_id, CASE
+    WHEN l.conv_id % 3 = 0 THEN '{{"messages":' || ms || ',"model":"' || CASE WHEN l.conv_id % 2 = 0 THEN 'gpt-4o' ELSE 'gpt-4o-mini' END
+         || '","stream":' || CASE WHEN l.conv_id % 5 = 0 THEN 'true' ELSE 'false' END || '}}'
+    WHEN l.conv_id % 3 = 1 THEN '{{"max_tokens":256,"messages":' || ms || ',"model":"claude-3-5-sonnet-20241022"'
+         || coalesce(',"system":' || to_json(top.text)::VARCHAR, '') || '}}'
+    ELSE '{{"contents":' || ms || coalesce(',"systemInstruction":{{"parts":[{{"text":' || to_json(top.text)::VARCHAR || '}}]}}',
+         CASE WHEN l.conv_id % 7 = 3 THEN ',"systemInstruction":"stay brief"' ELSE '' END) || '}}' END AS body
+  FROM lists l LEFT JOIN top USING (conv_id))"""
+
+
+@register("scrubbed_bodies", operators=("C13",), oracle=_request_scrub_sql(SCRUBBED_BODIES_SQL + "\nSELECT conv_id, body FROM bodies"))
+def q_scrubbed_bodies(spark, sf):
+    """The request bodies with every scrubbable string replaced in its place."""
+    return _scrubbed(spark, sf).select("conv_id", "body")
+
+
+@register("request_hashes", operators=("G4",),
+          oracle=_request_scrub_sql(SCRUBBED_BODIES_SQL + "\nSELECT conv_id, sha256(body) AS request_hash FROM bodies"))
+def q_request_hashes(spark, sf):
+    """SHA-256 of the whole scrubbed body in canonical JSON."""
+    return _scrubbed(spark, sf).select("conv_id", F.sha2("body", 256).alias("request_hash"))
+
+
+SCRUBBED_LINES_SQL = SCRUBBED_PARTS_SQL + f""",
+clean_lines AS (
+  SELECT conv_id, field_ord, part_ord, CASE WHEN kind = 'tool_result' THEN role || ': ' || {TOOL_JSON_SQL} ELSE role || ': ' || text END AS line
+  FROM clean WHERE NOT (conv_id % 3 = 2 AND role = 'system') AND NOT (conv_id % 3 = 1 AND role = 'system' AND text = '')
+  UNION ALL
+  SELECT conv_id, field_ord, 0, 'system: {{"parts":[{{"text":' || to_json(text)::VARCHAR || '}}]}}' FROM clean WHERE conv_id % 3 = 2 AND role = 'system'
+  UNION ALL
+  SELECT conv_id, n_all, 0, 'assistant: None' FROM odd WHERE d = 0 AND conv_id % 13 <> 0
+  UNION ALL
+  SELECT conv_id, n_all + 1, 0, 'user: ' FROM odd WHERE d = 0 AND conv_id % 13 <> 0
+  UNION ALL
+  SELECT conv_id, n_chat, 0, 'system: "stay brief"' FROM odd WHERE d = 2 AND NOT has_system AND conv_id % 13 <> 0),
+keys AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY field_ord, part_ord) AS prompt FROM clean_lines GROUP BY conv_id)"""
+
+
+def _prompt_of_scrubbed(spark, sf):
+    s = _scrubbed(spark, sf).select("*", F.parse_json("body").alias("sv"))
+    return s.withColumn("prompt", P.prompt_text(F.col("sv"), F.col("provider")))
+
+
+@register("scrubbed_prompt_hashes", operators=("D1", "B3"),
+          oracle=_request_scrub_sql(SCRUBBED_LINES_SQL + "\nSELECT conv_id, sha256(prompt) AS prompt_hash FROM keys"))
+def q_scrubbed_prompt_hashes(spark, sf):
+    """The cache key: SHA-256 of the prompt text of the scrubbed body."""
+    return _prompt_of_scrubbed(spark, sf).select("conv_id", C.prompt_hash(F.col("prompt")).alias("prompt_hash"))
+
+
 RESTORE_SQL_BODY = f"""
 , maps AS (SELECT conv_id, map_from_entries(list({{'key': placeholder, 'value': v}})) AS m FROM reqph GROUP BY conv_id),
 resp AS (SELECT c.conv_id, {RESPONSE_TEXT_SQL.replace('conv_id', 'c.conv_id')} AS t,
@@ -293,7 +380,7 @@ SELECT conv_id, {restore_sql('t', 'm')} AS restored_text FROM resp"""
 
 
 def _restored(spark, sf, text_df):
-    s = P.scrub_requests(_parts(spark, sf), "conv_id").select("conv_id", "mapping")
+    s = _scrubbed(spark, sf).select("conv_id", "mapping")
     return text_df.join(s, "conv_id", "left").select(
         "conv_id", pii.restore(F.col("t"), F.coalesce(F.col("mapping"), F.create_map().cast("map<string,string>")))
         .alias("restored_text"))
@@ -306,6 +393,29 @@ def q_restore_responses(spark, sf):
     return _restored(spark, sf, r.select("conv_id", P.response_text(F.col("rv"), F.col("provider")).alias("t")))
 
 
+def _response_json(text: str) -> str:
+    """The responses of ``sources.bodies`` in canonical JSON, with ``text`` as their text (an SQL expression)."""
+    return f"""CASE WHEN conv_id % 3 = 0 THEN '{{"choices":[{{"finish_reason":"stop","index":0,"message":{{"content":' || to_json({text})::VARCHAR
+  || ',"role":"assistant"}}}},{{"delta":{{"content":' || to_json({text})::VARCHAR || '}},"index":1,"message":' || CASE WHEN n_ent > 0 THEN '{{}}' ELSE 'null' END
+  || '}}],"created":1700000000,"id":"chatcmpl-' || CAST(conv_id AS VARCHAR) || '","model":"gpt-4o","object":"chat.completion","usage":{{"completion_tokens":5,"prompt_tokens":10,"total_tokens":15}}}}'
+  WHEN conv_id % 3 = 1 THEN '{{"content":[{{"text":' || to_json({text})::VARCHAR || ',"type":"text"}},{{"text":"Done.","type":"text"}}]}}'
+  ELSE '{{"candidates":[{{"content":{{"parts":[{{"text":' || to_json({text})::VARCHAR || '}}]}}}}]}}' END"""
+
+
+@register("restored_bodies", operators=("C15",), oracle=_request_scrub_sql(f"""
+, maps AS (SELECT conv_id, map_from_entries(list({{'key': placeholder, 'value': v}})) AS m, count(*) AS n_ent FROM reqph GROUP BY conv_id),
+resp AS (SELECT c.conv_id, {B.REPLY_SQL.replace('conv_id', 'c.conv_id')} AS t, coalesce(m.n_ent, 0) AS n_ent,
+                coalesce(m.m, MAP {{}}::MAP(VARCHAR, VARCHAR)) AS m
+         FROM convs c LEFT JOIN maps m USING (conv_id)),
+back AS (SELECT conv_id, n_ent, {restore_sql('t', 'm')} AS t FROM resp)
+SELECT conv_id, {_response_json('t')} AS body FROM back"""))
+def q_restored_bodies(spark, sf):
+    """Response bodies with the placeholders of their texts (and of a streamed delta) restored in place."""
+    routed = _bodies(spark, sf).where(F.col("provider").isNotNull()).select("conv_id")
+    r = _responses(spark, sf).join(routed, "conv_id", "left_semi")
+    return BD.restore_bodies(r, _scrubbed(spark, sf), "conv_id", "rv").select("conv_id", F.col("restored").alias("body"))
+
+
 CHUNK_CHARS = 7
 
 

@@ -7,7 +7,10 @@ User turns of even conversations get an e-mail address (distinct per turn,
 so two messages carry two different addresses) and, every fourth
 conversation, an OpenAI-style key.  Content alternates between the string
 and the list form; some list parts are images (OpenAI) or tool results
-(Anthropic) so every branch of the dialect walkers is exercised.
+(Anthropic) so every branch of the dialect walkers is exercised.  Every seventh
+conversation (``ODD``) also holds shapes that are legal but rarely written: OpenAI
+messages with null or no content and a part without a type, an empty Anthropic system
+prompt, a Gemini system instruction that is a plain string.
 """
 
 from __future__ import annotations
@@ -22,6 +25,9 @@ from veilframe.sources.tables import load
 DIALECTS = ("openai", "anthropic", "gemini")
 
 
+ODD_SQL = "conv_id % 7 = 3"
+
+
 def augmented_text(conv: Column, turn: Column, role: Column, text: Column) -> Column:
     secret = F.concat(F.lit(" My key is sk-"),
                       F.substring(F.concat(F.sha2(conv.cast("string"), 256), F.sha2(conv.cast("string"), 256)), 1, 48),
@@ -96,7 +102,10 @@ def request_bodies(spark: SparkSession, sf: str) -> DataFrame:
         F.count_if(F.col("role") == "system").alias("n_sys")).withColumn("d", (F.col("conv_id") % 3).cast("int"))
     k = F.col("conv_id")
     stream = k % 5 == 0
-    all_msgs = F.concat(F.lit("["), F.array_join(F.col("all").getField("msg"), ","), F.lit("]"))
+    odd = F.expr(ODD_SQL)
+    odd_msgs = F.concat(F.lit(',{"role":"assistant","content":null},{"role":"user"},{"role":"user","content":[{"text":"untyped '),
+                        k.cast("string"), F.lit('"}]}'))
+    all_msgs = F.concat(F.lit("["), F.array_join(F.col("all").getField("msg"), ","), F.when(odd, odd_msgs).otherwise(F.lit("")), F.lit("]"))
     chat_msgs = F.concat(F.lit("["), F.array_join(F.col("non_sys").getField("msg"), ","), F.lit("]"))
     # '"system":"..."' : the escaped field taken out of a one-field JSON object
     sys_field = F.regexp_replace(F.to_json(F.struct(F.col("system_text").alias("system"))), r"^\{(.*)\}$", "$1")
@@ -105,11 +114,12 @@ def request_bodies(spark: SparkSession, sf: str) -> DataFrame:
                            F.when(stream, F.lit("true")).otherwise(F.lit("false")), F.lit("}"))
     anth_body = F.concat(F.lit('{"model":"claude-3-5-sonnet-20241022","max_tokens":256,'),
                          F.when(F.col("n_sys") > 0, F.concat(sys_field, F.lit(",")))
-                          .otherwise(F.lit("")),
+                          .when(odd, F.lit('"system":"",')).otherwise(F.lit("")),
                          F.lit('"messages":'), chat_msgs, F.lit("}"))
     sys_inst = F.to_json(F.struct(F.array(F.struct(F.col("system_text").alias("text"))).alias("parts")))
     gem_body = F.concat(F.lit('{"contents":'), chat_msgs,
-                        F.when(F.col("n_sys") > 0, F.concat(F.lit(',"systemInstruction":'), sys_inst)).otherwise(F.lit("")),
+                        F.when(F.col("n_sys") > 0, F.concat(F.lit(',"systemInstruction":'), sys_inst))
+                         .when(odd, F.lit(',"systemInstruction":"stay brief"')).otherwise(F.lit("")),
                         F.lit("}"))
     body = F.when(F.col("d") == 0, openai_body).when(F.col("d") == 1, anth_body).otherwise(gem_body)
     gem_model = F.when(k % 17 == 0, F.lit("")).otherwise(F.lit("gemini-1.5-pro"))
@@ -134,6 +144,10 @@ def request_bodies(spark: SparkSession, sf: str) -> DataFrame:
 REPLY = "Reply for conversation {c}: noted <EMAIL_ADDRESS_1>, see <EMAIL_ADDRESS_2> and <PERSON_99>."
 
 
+def _json_string(s: Column) -> Column:
+    return F.to_json(s.cast("variant"))
+
+
 def reply_text(conv: Column) -> Column:
     return F.concat(F.lit("Reply for conversation "), conv.cast("string"),
                     F.lit(": noted <EMAIL_ADDRESS_1>, see <EMAIL_ADDRESS_2> and <PERSON_99>."))
@@ -147,14 +161,12 @@ def responses(bodies: DataFrame) -> DataFrame:
     """Dialect-shaped response JSON echoing placeholders (one unknown)."""
     k = F.col("conv_id")
     r = reply_text(k)
-    openai = F.to_json(F.struct(
-        F.concat(F.lit("chatcmpl-"), k.cast("string")).alias("id"), F.lit("chat.completion").alias("object"),
-        F.lit(1700000000).alias("created"), F.lit("gpt-4o").alias("model"),
-        F.array(F.struct(F.lit(0).alias("index"),
-                         F.struct(F.lit("assistant").alias("role"), r.alias("content")).alias("message"),
-                         F.lit("stop").alias("finish_reason"))).alias("choices"),
-        F.struct(F.lit(10).alias("prompt_tokens"), F.lit(5).alias("completion_tokens"),
-                 F.lit(15).alias("total_tokens")).alias("usage")))
+    # the second choice is what a streamed response would hold: a delta and no message
+    message = '"message":{"role":"assistant","content":'
+    openai = F.concat(
+        F.lit('{"id":"chatcmpl-'), k.cast("string"), F.lit('","object":"chat.completion","created":1700000000,"model":"gpt-4o","choices":[{"index":0,' + message),
+        _json_string(r), F.lit('},"finish_reason":"stop"},{"index":1,"message":null,"delta":{"content":'), _json_string(r),
+        F.lit('}}],"usage":{"prompt_tokens":10,"completion_tokens":5,"total_tokens":15}}'))
     anth = F.to_json(F.struct(F.array(F.struct(F.lit("text").alias("type"), r.alias("text")),
                                       F.struct(F.lit("text").alias("type"), F.lit("Done.").alias("text"))).alias("content")))
     gem = F.to_json(F.struct(F.array(F.struct(F.struct(F.array(F.struct(r.alias("text"))).alias("parts"))
