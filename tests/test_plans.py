@@ -93,15 +93,21 @@ def test_corpus_counts_shuffle_budget(spark):
 
 
 def test_admission_never_partitions_rows_by_key_alone(spark):
-    """Request rows are shuffled by (key, bucket) or (key, island); the only
+    """Rows and runs are shuffled by (key, time), (key, bucket) or (key, island); the only
     exchange by key alone carries the per-bucket summary (one row per
-    bucket), i.e. sits directly on its aggregate."""
+    bucket), i.e. sits directly on its aggregate; and what reaches the Python replay are
+    packed blocks of runs."""
+    import re
+
     lines = _plan(E.queries()["admission"](spark, SMALL)).split("\n")
     ex = [i for i, line in enumerate(lines) if "Exchange hashpartitioning(" in line]
     assert any("_b#" in lines[i] or "_island_t#" in lines[i] for i in ex)
     for i in ex:
-        if "_b#" not in lines[i] and "_island_t#" not in lines[i]:
+        keys = re.findall(r"(\w+)#\d+", re.search(r"hashpartitioning\((.*), \d+\)", lines[i])[1])
+        if set(keys) <= {"rl_key", "_key"}:
             assert "Aggregate(key=[" in lines[i + 1] and "_b#" in lines[i + 1]
+    python = [i for i, line in enumerate(lines) if "MapInPandas" in line]
+    assert python and all("_times#" in lines[i] and "event_id" not in lines[i] for i in python)
 
 
 def test_leak_join_paths_agree(spark):

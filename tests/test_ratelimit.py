@@ -61,3 +61,26 @@ def test_per_key_limit_column(spark):
     for key, lim in limits.items():
         expected.update(_brute([r for r in rows if r[0] == key], lim, 1000))
     assert out == expected
+
+
+def test_zero_limit_and_null_key(spark):
+    rows = [(None, 0, 1), (None, 0, 2), ("a", 5, 3), (None, 500, 4), (None, 1000, 5)]
+    assert _admit(spark, rows, 0, 1000) == {i: (False, 0, 0) for i in (1, 2, 3, 4, 5)}
+    assert _admit(spark, rows, 1, 1000) == {1: (True, 1, 0), 2: (False, 1, 1000), 3: (True, 1, 0), 4: (False, 1, 500), 5: (True, 1, 0)}
+
+
+def test_limit_that_changes_over_time(spark):
+    rnd = random.Random(5)
+    rows = sorted(("k", t, i, 4 if (t // 3000) % 2 else 1) for i, t in enumerate(rnd.randrange(20_000) for _ in range(400)))
+    df = spark.createDataFrame(rows, "k string, t long, id long, lim int")
+    got = {r["id"]: (r["admitted"], r["current"], r["retry_after_ms"]) for r in R.admit(df, "k", "t", "id", "lim", 1000).collect()}
+    live, want = deque(), {}
+    for _, t, i, lim in sorted(rows, key=lambda r: (r[1], r[2])):
+        while live and live[0] <= t - 1000:
+            live.popleft()
+        if len(live) >= lim:
+            want[i] = (False, len(live), 1000 - (t - live[0]))
+        else:
+            live.append(t)
+            want[i] = (True, len(live), 0)
+    assert got == want

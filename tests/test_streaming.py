@@ -40,6 +40,50 @@ def test_admission_stream_across_batches(spark):
     assert len(files) == 4 and got == want
 
 
+def _files(spark, batches, schema):
+    """A file stream that gives one of ``batches`` per trigger."""
+    d, flat = tempfile.mkdtemp(prefix="veilframe-batches-"), tempfile.mkdtemp(prefix="veilframe-batches-src-")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(os.path.join(d, str(i)))
+        src = [f for f in os.listdir(os.path.join(d, str(i))) if f.endswith(".parquet")][0]
+        os.link(os.path.join(d, str(i), src), os.path.join(flat, f"{i:02d}.parquet"))
+        os.utime(os.path.join(flat, f"{i:02d}.parquet"), (3_000_000 + i, 3_000_000 + i))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(flat)
+
+
+def test_stream_limits_by_key_and_late_rows(spark):
+    """Own limits (0 among them), and rows that come after newer ones: decided, marked, none dropped."""
+    schema = "rl_key string, t long, event_id long, cap int"
+    caps = {"none": 0, "one": 1, "three": 3}
+    batches, i = [], 0
+    for start in (0, 1500, 3000):
+        rows = []
+        for key, cap in caps.items():
+            for k in range(8):
+                i += 1
+                rows.append((key, start + k * 150, i, cap))
+        batches.append(rows)
+    late = [(key, 100, 900 + n, cap) for n, (key, cap) in enumerate(caps.items())]
+    batches.append(late)
+    out = run_available_now(SA.admit_stream(_files(spark, batches, schema), "cap", 1000), "limits_by_key").collect()
+    got = {r["event_id"]: (r["admitted"], r["current"], r["retry_after_ms"]) for r in out}
+    assert len(got) == len(out) == 24 * 3 + 3
+    from test_ratelimit import _brute
+    for key, cap in caps.items():
+        times = [(key, t, n) for rows in batches[:3] for k, t, n, _ in rows if k == key]
+        if cap:
+            want = _brute(times, cap, 1000)
+            assert {n: got[n] for _, _, n in times} == want
+            newest = max(t for _, t, n in times if want[n][0])
+            held = sorted(t for _, t, n in times if want[n][0] and t > newest - 1000)
+            n = next(r[2] for r in late if r[0] == key)
+            assert got[n] == ((False, cap, 1000 - (newest - held[0])) if len(held) >= cap else (True, len(held) + 1, 0))
+        else:
+            assert all(got[n] == (False, 0, 0) for _, _, n in times)
+    side = {r["event_id"] for r in out if r["late"]}
+    assert side == {r[2] for r in late if r[0] != "none"}  # nothing was ever admitted for "none", so nothing is newer
+
+
 def test_window_counts_with_a_row_behind_the_watermark(spark):
     from datetime import datetime
 

@@ -8,40 +8,48 @@ Rejected requests are not recorded.  Requests of a key are checked in
 ``(t, id)`` order.
 
 Admission is path dependent, so it is not a window function.  The plan
-never sorts a whole key in one task (one key may hold a third of the rows):
+works on *runs*: the requests of a key at one millisecond are one row (key, t, n),
+combined before the shuffle, and no step partitions requests by key alone (one
+key may hold a third of them):
 
-1. Time is cut into buckets of width ``W`` and every row is also copied into
-   the next bucket.  Partitioned by (key, bucket), a row then sees every
-   request of ``(t - W, t]`` and its predecessor whenever the gap is below
+1. Time is cut into buckets of width ``W`` and every run is also copied into
+   the next bucket.  Partitioned by (key, bucket), a run then sees every
+   run of ``(t - W, t]`` and its predecessor whenever the gap is below
    ``W``, which is all the offered load (E1) and the island split need.
-2. An *island* starts wherever the gap to the previous request is at least
+2. An *island* starts wherever the gap to the previous run is at least
    ``W``: every earlier entry is evicted there, so the state is provably
-   empty.  A row's island is the latest start at or before it, found inside
+   empty.  A run's island is the latest start at or before it, found inside
    its bucket or carried from earlier buckets over a small per-bucket summary.
 3. An island whose offered load never exceeds ``L`` admits every request (by
-   induction), so its rows are finished in SQL with no state at all.
-4. Only overloaded islands are replayed, by a sorted streaming scan:
-   the island-peak window hash-partitions rows by (key, island), which
-   spreads the islands of a hot key over tasks; ``sortWithinPartitions``
-   orders them, and ``mapInPandas`` walks the Arrow
-   batches keeping at most ``L`` timestamps.  Nothing is collected per group;
-   memory is bounded by ``L``.  A single never-idle overloaded island is
-   sequential by definition.
+   induction) with no state at all.
+4. Only overloaded islands are replayed.  Their runs are packed into one row
+   per time block (arrays of times and counts), and a sorted streaming scan
+   walks the blocks of an island.  With the window full it jumps to the next
+   eviction, so it steps over admitted runs only, and it gives back
+   only these: (key, t, how many).  Its memory is one block and at most ``L``
+   entries.  A single never-idle overloaded island is sequential by
+   definition, but what its task reads and writes are packed runs.
+5. The requests themselves are decided by joins: at (key, t) the first ``m`` by
+   id are admitted, and a second window over (key, bucket) gives how many entries
+   were live and since when.
 """
 
 from __future__ import annotations
 
 from collections import deque
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veilframe.functions.replay import admitted_counts
 from veilframe.functions.timeutil import epoch_millis
+from veilframe.session import written
 
 WINDOW_MS = 3_600_000  # fixed value: one hour
 
-RESULT_FIELDS = "admitted boolean, current int, retry_after_ms long"
+BLOCKS = 8  # time blocks in a window: runs of one block (at most W / 8 of them) are packed into one row
 
 
 def epoch_ms(ts: Column) -> Column:
@@ -70,100 +78,78 @@ def offered_rate(df: DataFrame, key: str, t: str, window_ms: int = WINDOW_MS) ->
     return ext.withColumn("offered", F.count(F.lit(1)).over(w)).where(~F.col("_copy")).drop("_b", "_copy")
 
 
-def _islands(df: DataFrame, key: str, t: str, id_col: str, window_ms: int) -> DataFrame:
-    ext = _with_previous_bucket(df, t, window_ms)
-    part = Window.partitionBy(key, "_b")
-    by_t_id = part.orderBy(t, id_col)
-    gap = F.col(t) - F.lag(t).over(by_t_id)
-    start = F.when(~F.col("_copy"), gap.isNull() | (gap >= window_ms))
-    rows = (ext.withColumn("_start", start)
-               .withColumn("_rn", F.row_number().over(by_t_id))
-               .withColumn("_old", F.count(F.lit(1)).over(part.orderBy(t).rangeBetween(Window.unboundedPreceding,
-                                                                                         -window_ms)))
-               .withColumn("offered", F.count(F.lit(1)).over(part.orderBy(t).rangeBetween(-(window_ms - 1), 0)))
-               .withColumn("_in_bucket", F.last(F.when(F.col("_start"), F.struct(F.col(t).alias("st"),
-                                                                                 F.col(id_col).alias("si"))),
-                                                ignorenulls=True).over(by_t_id.rowsBetween(Window.unboundedPreceding, 0)))
+def _runs(df: DataFrame, key: str, t: str, window_ms: int) -> DataFrame:
+    """Runs (key, t, _n, _limit) with their offered load and island (the time of its first run)."""
+    runs = df.groupBy(key, t).agg(F.count(F.lit(1)).alias("_n"), F.max("_limit").alias("_limit"))
+    ext = _with_previous_bucket(runs, t, window_ms)
+    by_t = Window.partitionBy(key, "_b").orderBy(t)
+    gap = F.col(t) - F.lag(t).over(by_t)
+    rows = (ext.withColumn("_start", F.when(~F.col("_copy") & (gap.isNull() | (gap >= window_ms)), F.col(t)))
+               .withColumn("offered", F.sum("_n").over(by_t.rangeBetween(-(window_ms - 1), 0)))
+               .withColumn("_in_bucket", F.last("_start", ignorenulls=True).over(by_t.rowsBetween(Window.unboundedPreceding, 0)))
                .where(~F.col("_copy")))
     # one row per (key, bucket): the last island start inside the bucket,
     # and the start carried in from earlier buckets of the key
-    summary = rows.groupBy(key, "_b").agg(F.max(F.when(F.col("_start"), F.struct(
-        F.col(t).alias("st"), F.col(id_col).alias("si")))).alias("_last"))
-    carried = summary.withColumn("_carry", F.last("_last", ignorenulls=True).over(
-        Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))).select(key, "_b", "_carry")
-    isl = (rows.join(carried, [key, "_b"], "inner")
-               .withColumn("_island", F.coalesce("_in_bucket", "_carry"))
-               .withColumn("_island_t", F.col("_island.st")).withColumn("_island_i", F.col("_island.si"))
-               .drop("_island", "_in_bucket", "_carry", "_start", "_copy", "_b"))
-    # the island's peak load; the window leaves rows hash-partitioned by
-    # island, which is exactly the layout the replay of overloaded islands
-    # needs, so no further shuffle follows
-    return isl.withColumn("_island_max", F.max("offered").over(Window.partitionBy(key, "_island_t", "_island_i")))
-
-
-def _replay(key: str, t: str, window_ms: int, names: list[str]):
-    """Build the per-partition replay function for mapInPandas.  Input rows
-    arrive sorted by (key, island, t, id); state is a deque of admitted
-    timestamps, reset at every island boundary."""
+    summary = rows.groupBy(key, "_b").agg(F.max("_start").alias("_last"))
+    carried = summary.select(key, "_b", F.last("_last", ignorenulls=True).over(
+        Window.partitionBy(key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)).alias("_carry"))
+    return rows.join(carried, [key, "_b"]).select(key, t, "_n", "_limit", "offered", F.coalesce("_in_bucket", "_carry").alias("_island_t"))
+
+
+def _replay(key: str, t: str, window_ms: int):
+    """Replay for mapInPandas: one row per time block of an island, sorted by (key, island, block)."""
     def run(batches):
-        cur_group = None
-        admitted_ts: deque = deque()
+        group, live = None, deque()
         for pdf in batches:
-            n = len(pdf)
-            keys = pdf[key].to_numpy()
-            isl_t = pdf["_island_t"].to_numpy()
-            isl_i = pdf["_island_i"].to_numpy()
-            ts = pdf[t].to_numpy()
-            lim = pdf["_limit"].to_numpy()
-            adm = [False] * n
-            cur = [0] * n
-            retry = [0] * n
-            for i in range(n):
-                g = (keys[i], isl_t[i], isl_i[i])
-                if g != cur_group:
-                    cur_group = g
-                    admitted_ts = deque()
-                now = int(ts[i])
-                while admitted_ts and admitted_ts[0] <= now - window_ms:
-                    admitted_ts.popleft()
-                count = len(admitted_ts)
-                if count >= int(lim[i]):
-                    cur[i] = count
-                    retry[i] = window_ms - (now - admitted_ts[0]) if admitted_ts else 0
-                else:
-                    admitted_ts.append(now)
-                    adm[i] = True
-                    cur[i] = count + 1
-            out = pdf[names].copy()
-            out["admitted"] = adm
-            out["current"] = pd.array(cur, dtype="int32")
-            out["retry_after_ms"] = pd.array(retry, dtype="int64")
-            yield out
+            keys, at, ms = [], [], []
+            for k, island, times, counts, limits in zip(pdf[key], pdf["_island_t"], pdf["_times"], pdf["_counts"], pdf["_limits"], strict=True):
+                k = None if pd.isna(k) else k
+                if (k, island) != group:
+                    group, live = (k, island), deque()
+                for i, m in admitted_counts(times, counts, limits, window_ms, live):
+                    keys.append(k)
+                    at.append(int(times[i]))
+                    ms.append(m)
+            yield pd.DataFrame({key: pd.Series(keys, dtype=pdf[key].dtype), t: pd.Series(at, dtype="int64"), "_m": pd.Series(ms, dtype="int64")})
     return run
 
 
 def admit(df: DataFrame, key: str, t: str, id_col: str, limit: int | str,
           window_ms: int = WINDOW_MS) -> DataFrame:
     """Add ``admitted``, ``current``, ``retry_after_ms`` (0 when
-    admitted) and ``offered`` to every request.
+    admitted, or when the limit is 0) and ``offered`` to every request.
 
-    ``limit`` is an integer or the name of a per-row limit column (E5)."""
+    ``limit`` is an integer or the name of a limit column (E5); the requests of a key at one
+    millisecond share a limit (the largest counts), over time it may change."""
     lim = F.lit(limit) if isinstance(limit, int) else F.col(limit)
-    base = df.withColumn("_limit", lim.cast("int"))
-    names = base.columns
-    isl = _islands(base, key, t, id_col, window_ms)
-    fast = (isl.where(F.col("_island_max") <= F.col("_limit"))
-               .withColumn("admitted", F.lit(True))
-               .withColumn("current", (F.col("_rn") - F.col("_old")).cast("int"))
-               .withColumn("retry_after_ms", F.lit(0).cast("long")))
-    slow_in = isl.where(F.col("_island_max") > F.col("_limit"))
-    slow_sorted = slow_in.sortWithinPartitions(key, "_island_t", "_island_i", t, id_col)
-    out_names = names + ["_island_t", "_island_i", "offered"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slow_sorted.select(*out_names).schema.fields)
-    slow = slow_sorted.select(*out_names).mapInPandas(
-        _replay(key, t, window_ms, out_names), f"{schema}, {RESULT_FIELDS}")
-    cols = names + ["offered", "admitted", "current", "retry_after_ms"]
-    return fast.select(*cols).unionByName(slow.select(*cols)).drop("_limit")
+    # the key as a struct equals itself also when it is null, so plain equi-joins and
+    # windows over it share one partitioning
+    base = df.withColumn("_key", F.struct(F.col(key).alias("k"))).withColumn("_limit", lim.cast("int"))
+    # small (one row a key and millisecond) and read three times below
+    runs = written(_runs(base, "_key", t, window_ms), "admission-runs")
+    over = runs.where(F.col("offered") > F.col("_limit")).select("_key", "_island_t").distinct().withColumn("_over", F.lit(True))
+    marked = runs.join(over, ["_key", "_island_t"], "left")
+    block = F.floor(F.col(t) / max(1, window_ms // BLOCKS)).cast("long")
+    blocks = marked.where("_over").groupBy("_key", "_island_t", block.alias("_block")).agg(
+        F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), "_n", "_limit"))).alias("_runs")).select(
+        F.col("_key.k").alias(key), "_island_t", "_block", F.col("_runs.t").alias("_times"), F.col("_runs._n").alias("_counts"), F.col("_runs._limit").alias("_limits"))
+    kind = df.schema[key].dataType.simpleString()
+    taken = (blocks.repartition(key, "_island_t").sortWithinPartitions(key, "_island_t", "_block")
+                   .mapInPandas(_replay(key, t, window_ms), f"`{key}` {kind}, `{t}` long, _m long")
+                   .select(F.struct(F.col(key).alias("k")).alias("_key"), t, "_m"))
+    decided = marked.join(taken, ["_key", t], "left").withColumn(
+        "_m", F.when(F.col("_over"), F.coalesce("_m", F.lit(0))).otherwise(F.col("_n")))
+    # entries live at a run, its own included, and the oldest of them
+    ext = _with_previous_bucket(decided.select("_key", t, "offered", "_m"), t, window_ms)
+    live = Window.partitionBy("_key", "_b").orderBy(t).rangeBetween(-(window_ms - 1), 0)
+    states = ext.withColumn("_used", F.sum("_m").over(live)).withColumn("_oldest", F.min(F.when(F.col("_m") > 0, F.col(t))).over(live)).where(
+        ~F.col("_copy")).select("_key", t, "offered", "_m", "_used", "_oldest")
+    ranked = base.drop("_limit").withColumn("_rank", F.row_number().over(Window.partitionBy("_key", t).orderBy(id_col)))
+    ok = F.col("_rank") <= F.col("_m")
+    return ranked.join(states, ["_key", t]).select(
+        *df.columns, "offered", ok.alias("admitted"),
+        F.when(ok, F.col("_used") - F.col("_m") + F.col("_rank")).otherwise(F.col("_used")).cast("int").alias("current"),
+        F.when(ok | F.col("_oldest").isNull(), F.lit(0)).otherwise(F.lit(window_ms) - (F.col(t) - F.col("_oldest"))).cast("long").alias("retry_after_ms"))
 
 
 def retry_after_seconds(ms: Column) -> Column:
