@@ -187,8 +187,8 @@ def test_terms_fold_ascii_only():
 
 # --- filter audit -----------------------------------------------------------
 def brute_audit(docs, labels):
-    good = {i for i, q, _ in labels if q == 1}
-    toxic = {i for i, _, t in labels if t == 1}
+    good = {i for i, q, _ in labels if q == 1 and i is not None}
+    toxic = {i for i, _, t in labels if t == 1 and i is not None}
     least = {}
     for i, t, _ in docs:
         if i is not None:
