@@ -140,14 +140,21 @@ def test_chunked_similarity_matches_single_chunk(spark):
     assert p1 and p1 == p2
 
 
-def test_short_tripwire_scan_in_several_passes(spark, monkeypatch):
+def test_leak_pairs_equal_brute_force(spark):
+    """Tripwires of one to eight tokens, cut out of texts at any character, ids that are strings."""
+    import random
+
     from veilframe.operators import leak as L
-    from veilframe.plans.leak_queries import _tripwire_df
-    from veilframe.plans.pii_queries import secret_texts
-
-    hay = secret_texts(spark, SMALL).select("doc_id", "text")
-    trips = _tripwire_df(spark, SMALL)
-    one = {tuple(r) for r in L.leak_pairs(hay, "doc_id", "text", trips, "needle_id", "value").collect()}
-    monkeypatch.setattr(L, "SCAN_MAX_NEEDLES", 2)
-    several = {tuple(r) for r in L.leak_pairs(hay, "doc_id", "text", trips, "needle_id", "value").collect()}
-    assert one and one == several
+
+    rnd = random.Random(10)
+    words = ["a", "be", "key", "日本", "é", "long-word_with.parts", "sk-" + "Qz7" * 9, "x\ty", "same same"]
+    texts = [(f"d{i}" if i else None, " ".join(rnd.choice(words) for _ in range(rnd.randint(1, 30)))) for i in range(60)] + [("e1", None), ("e2", ""), ("e3", "z" * 50_000)]
+    needles = [(f"n{i}", t[a:a + rnd.randint(1, 45)]) for i, (_, t) in enumerate(rnd.choice(texts[:60]) for _ in range(120)) for a in [rnd.randrange(len(t))]]
+    needles += [("blank", "  "), ("none", None), ("empty", ""), ("far", "nowhere to be found here at all"), ("zz", "zzzzzzzzzz"), ("one", "z"), ("n0", "key")]
+    jobs = spark.sparkContext.statusTracker()
+    before = len(jobs.getJobIdsForGroup(None))
+    got = L.leak_pairs(spark.createDataFrame(texts, "id string, text string"), "id", "text", spark.createDataFrame(needles, "nid string, value string"), "nid", "value")
+    assert len(jobs.getJobIdsForGroup(None)) == before
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(set(rows))
+    assert set(rows) == {(i, n) for i, t in texts if t for n, v in needles if v and v.strip() and v in t}

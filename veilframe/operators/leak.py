@@ -1,163 +1,124 @@
 """Leak audit, i.e. which haystack rows contain which known sensitive
 values (tripwires), verbatim.
 
-Exact containment without comparing every pair:
+Exact containment without comparing every pair, in one lazy plan of joins; nothing
+is collected and no dictionary is built, and ids may be of any type:
 
-* A tripwire with at least three whitespace-separated tokens has interior
-  tokens that are delimited by whitespace inside the tripwire, so wherever it
+* A tripwire of at least five whitespace-separated tokens has interior tokens
+  that are delimited by whitespace inside the tripwire, so wherever it
   occurs they are whole tokens of the haystack, consecutive.  Its anchor is
-  the hash of its first interior q-gram (q = 3, or less for short
-  tripwires).  Haystack rows emit the hashes of their token q-grams (a
-  row-local generator), an equi-join on the hash yields candidates, and
-  ``instr`` verifies them.  The anchor table is broadcast when its size has
-  been checked, otherwise the join shuffles on the hash.
-* Tripwires of one or two tokens (keys, e-mail addresses) can sit inside a
-  longer token, so they are matched by an Aho-Corasick scan of each haystack
-  partition (``mapInPandas``) against a dictionary whose size is checked
-  before it is shipped; a larger dictionary is scanned in several bounded
-  passes.  The scan is linear in the text.
+  the hash of one interior run of three tokens, the longest one in characters
+  (long words are rare words).  Haystack rows emit the hashes of their token
+  runs (a row-local generator) and an equi-join on the hash yields candidates.
+* A shorter tripwire (keys, e-mail addresses) can begin and end inside a longer
+  token, but its longest token is a piece of one haystack token.  Pieces are
+  looked for in the distinct tokens of the haystack only, by hashed byte grams of
+  fixed widths: of a piece's grams the one that fewest distinct tokens hold is its
+  anchor, an equi-join on it yields tokens, ``instr`` verifies that they hold
+  the piece, and the rows that hold such a token are candidates.
+
+Candidates are verified with ``instr`` on the text.  Which side of a join is
+broadcast is left to the optimizer's size checks.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.functions.spans import let
 from veilframe.operators.pii import fenced
 from veilframe.plans.layout import spread
 
 WS = r"\s+"
-MAX_Q = 3
-BROADCAST_MAX_ROWS = 1_000_000
-BROADCAST_MAX_BYTES = 64 << 20
-SCAN_MAX_NEEDLES = 200_000
+Q = 3                      # tokens of an anchor run
+LONG = Q + 2               # tokens from which a tripwire has such a run inside
+WIDTHS = (1, 4, 8)   # bytes of a gram; a piece uses the widest that fits
 
 
 def _tokens(text: Column) -> Column:
     return F.split(text, WS, -1)
 
 
-def _token_hashes(toks: Column) -> Column:
-    return F.transform(toks, lambda w: F.xxhash64(w))
-
-
-def _qgram_hash(q: int, hashes: Column, start: Column) -> Column:
-    """Hash of the q token hashes starting at 1-based ``start``."""
-    return F.xxhash64(F.lit(q), *[F.element_at(hashes, start + k) for k in range(q)])
-
-
-def _anchors(needles: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    toks = _tokens(F.col(text_col))
-    n = F.size(toks)
-    q = F.least(F.lit(MAX_Q), n - 2)
-    hs = _token_hashes(toks)
-    h = F.when(q >= MAX_Q, _qgram_hash(3, hs, F.lit(2))).when(q == 2, _qgram_hash(2, hs, F.lit(2))).when(
-        q == 1, _qgram_hash(1, hs, F.lit(2)))
-    return needles.select(F.col(id_col).alias("needle_id"), F.col(text_col).alias("needle_text"),
-                          q.alias("q"), h.alias("h")).where(F.col("q") >= 1)
-
-
-def _hash_at(q: int, hashes: Column):
-    return lambda i: _qgram_hash(q, hashes, i)
-
-
-def _token_path(hay: DataFrame, hay_id: str, hay_text: str, anchors: DataFrame, qs: list[int],
-                broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    # the token array is its own (fenced) column: referenced from inside the
-    # lambda as an expression it would be re-split for every position
-    staged = fenced(spread(hay).select(F.col(hay_id).alias("hay_id"), F.col(hay_text).alias("hay_text")),
-                    "_th", _token_hashes(_tokens(F.col("hay_text"))))
-    th = F.col("_th")
-    def starts(q: int) -> Column:
-        return F.when(F.size(th) >= q, F.sequence(F.lit(1), F.size(th) - q + 1)).otherwise(F.array().cast("array<int>"))
-
-    per_q = [F.transform(starts(q), _hash_at(q, th)) for q in qs]
-    hashes = F.array_distinct(F.concat(*per_q)) if len(per_q) > 1 else F.array_distinct(per_q[0])
-    stats = anchors.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("needle_text")).alias("b")).first()
-    small = stats["n"] <= broadcast_max_rows and (stats["b"] or 0) <= BROADCAST_MAX_BYTES
-    if small:
-        # generator -> broadcast hash join -> verify, pipelined in one stage:
-        # the text is only materialised for candidate rows
-        probe = staged.select("hay_id", "hay_text", F.explode(hashes).alias("h"))
-        j = probe.join(F.broadcast(anchors), "h", "inner").where(F.instr(F.col("hay_text"), F.col("needle_text")) > 0)
-        return j.select("hay_id", "needle_id")
-    # shuffle path: only (id, hash) rows cross the network; texts are joined
-    # back once per distinct candidate pair for the verification
-    probe = staged.select("hay_id", F.explode(hashes).alias("h"))
-    cand = probe.join(anchors.select("h", "needle_id"), "h", "inner").select("hay_id", "needle_id").distinct()
-    texts = hay.select(F.col(hay_id).alias("hay_id"), F.col(hay_text).alias("hay_text"))
-    j = (cand.join(texts, "hay_id", "inner").join(anchors.select("needle_id", "needle_text"), "needle_id", "inner")
-             .where(F.instr(F.col("hay_text"), F.col("needle_text")) > 0))
-    return j.select("hay_id", "needle_id")
-
-
-def _scan_fn(needles: list[tuple[int, str]], text_col: str, id_col: str):
-    def run(batches):
-        import ahocorasick
-
-        if not needles:
-            for _ in batches:
-                yield pd.DataFrame({"hay_id": pd.Series([], dtype="int64"), "needle_id": pd.Series([], dtype="int64")})
-            return
-        auto = ahocorasick.Automaton()
-        for nid, s in needles:
-            if s in auto:
-                auto.get(s).append(nid)
-            else:
-                auto.add_word(s, [nid])
-        auto.make_automaton()
-        for pdf in batches:
-            hay_ids, needle_ids = [], []
-            for hid, text in zip(pdf[id_col].to_numpy(), pdf[text_col].to_numpy()):
-                if text is None:
-                    continue
-                seen = set()
-                for _, ids in auto.iter(text):
-                    for nid in ids:
-                        if nid not in seen:
-                            seen.add(nid)
-                            hay_ids.append(int(hid))
-                            needle_ids.append(int(nid))
-            yield pd.DataFrame({"hay_id": pd.Series(hay_ids, dtype="int64"),
-                                "needle_id": pd.Series(needle_ids, dtype="int64")})
-    return run
-
-
-def _scan_path(hay: DataFrame, hay_id: str, hay_text: str, short: DataFrame) -> DataFrame:
-    """Aho-Corasick scan for short tripwires, in dictionary passes of at most
-    SCAN_MAX_NEEDLES entries each (the dictionary size is checked before it
-    is shipped to the executors)."""
-    n = short.count()
-    if n == 0:
-        return hay.sparkSession.createDataFrame([], "hay_id long, needle_id long")
-    passes = (n + SCAN_MAX_NEEDLES - 1) // SCAN_MAX_NEEDLES
-    ranked = short.withColumn("_pass", F.pmod(F.xxhash64("needle_id"), F.lit(passes)))
-    h = spread(hay).select(F.col(hay_id).alias("hay_id"), F.col(hay_text).alias("hay_text"))
-    out = None
-    for p in range(passes):
-        words = [(int(r["needle_id"]), r["needle_text"]) for r in
-                 ranked.where(F.col("_pass") == p).select("needle_id", "needle_text").toLocalIterator()]
-        if not words:  # passes are assigned by hash and may come out empty
-            continue
-        part = h.mapInPandas(_scan_fn(words, "hay_text", "hay_id"), "hay_id long, needle_id long")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else hay.sparkSession.createDataFrame([], "hay_id long, needle_id long")
+def _run_hash(hashes: Column, start: Column) -> Column:
+    """Hash of the token hashes of the run at 0-based ``start``."""
+    return F.xxhash64(*[F.get(hashes, start + k) for k in range(Q)])
+
+
+def _token_runs(hashes: Column) -> Column:
+    """Distinct hashes of all runs of a token list."""
+    return F.when(F.size(hashes) >= Q, F.array_distinct(F.transform(
+        F.sequence(F.lit(0), F.size(hashes) - Q), lambda i: _run_hash(hashes, i)))).otherwise(F.array().cast("array<bigint>"))
+
+
+def _long_anchors(needles: DataFrame) -> DataFrame:
+    """(needle_id, needle_text, h) of tripwires with at least ``LONG`` tokens."""
+    toks = needles.where(F.size(_tokens(F.col("needle_text"))) >= LONG).withColumn("toks", _tokens(F.col("needle_text")))
+    runs = F.transform(F.sequence(F.lit(1), F.size("toks") - 1 - Q), lambda i: F.struct(
+        sum((F.length(F.get("toks", i + k)) for k in range(Q)), F.lit(0)).alias("chars"),
+        F.xxhash64(*[F.xxhash64(F.get("toks", i + k)) for k in range(Q)]).alias("h")))
+    return toks.select("needle_id", "needle_text", F.array_max(runs)["h"].alias("h"))
+
+
+def _grams(data: Column, width: Column) -> Column:
+    """Hashes of all grams of ``width`` bytes (cutting a binary does not walk it)."""
+    n = F.octet_length(data) - width
+    return F.when(n >= 0, F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.xxhash64(width, F.substring(data, i, width)))).otherwise(
+        F.array().cast("array<bigint>"))
+
+
+def _pieces(needles: DataFrame) -> DataFrame:
+    """(needle_id, needle_text, piece, g): the grams of each short tripwire's longest token."""
+    short = needles.where(F.size(_tokens(F.col("needle_text"))) < LONG)
+    longest = F.array_max(F.transform(_tokens(F.col("needle_text")), lambda t: F.struct(F.octet_length(t).alias("n"), t.alias("t"))))
+    piece = short.withColumn("piece", longest["t"]).where("piece <> ''")
+    fit = F.lit(WIDTHS[0])
+    for w in WIDTHS[1:]:
+        fit = F.when(F.octet_length("piece") >= w, w).otherwise(fit)
+    grams = let(F.col("piece").cast("binary"), lambda data: F.array_distinct(_grams(data, fit)))
+    return piece.select("needle_id", "needle_text", "piece", F.explode(grams).alias("g"))
+
+
+def _merged(df: DataFrame, forced: bool) -> DataFrame:
+    return df.hint("merge") if forced else df
+
+
+def _long_candidates(hay: DataFrame, needles: DataFrame, forced: bool) -> DataFrame:
+    # the token hashes are their own (fenced) column: referenced from inside the
+    # lambda as an expression they would be computed anew for every position
+    staged = fenced(hay, "_th", F.transform(_tokens(F.col("hay_text")), lambda w: F.xxhash64(w)))
+    probe = staged.select("hay_id", F.explode(_token_runs(F.col("_th"))).alias("h"))
+    return probe.join(_merged(_long_anchors(needles), forced), "h").select("hay_id", "needle_id", "needle_text")
+
+
+def _short_candidates(hay: DataFrame, needles: DataFrame, forced: bool) -> DataFrame:
+    held = hay.select("hay_id", F.explode(F.array_distinct(_tokens(F.col("hay_text")))).alias("token"))
+    distinct = held.select("token").where("token <> ''").distinct()
+    all_grams = let(F.col("token").cast("binary"), lambda data: F.array_distinct(F.concat(*[_grams(data, F.lit(w)) for w in WIDTHS])))
+    vocabulary = distinct.select("token", F.explode(all_grams).alias("g"))
+    pieces = _pieces(needles)
+    asked = pieces.select("g").distinct()
+    often = vocabulary.join(_merged(asked, forced), "g").groupBy("g").agg(F.count(F.lit(1)).alias("tokens"))
+    # a piece with a gram that no token holds occurs nowhere, and falls out of the next join
+    rarest = pieces.join(often, "g", "left").groupBy("needle_id", "needle_text", "piece").agg(
+        F.min(F.struct(F.coalesce("tokens", F.lit(0)).alias("tokens"), "g"))["g"].alias("g"))
+    found = vocabulary.join(_merged(rarest, forced), "g").where(F.instr(F.col("token"), F.col("piece")) > 0)
+    return held.join(_merged(found.select("token", "needle_id", "needle_text"), forced), "token").select("hay_id", "needle_id", "needle_text")
 
 
 def leak_pairs(haystack: DataFrame, hay_id: str, hay_text: str, needles: DataFrame, needle_id: str,
-               needle_text: str, broadcast_max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """(hay_id, needle_id) for every haystack row that contains a tripwire."""
-    n = needles.select(F.col(needle_id).alias("needle_id"), F.col(needle_text).alias("needle_text")).where(
-        F.col("needle_text").isNotNull() & (F.col("needle_text") != ""))
-    anchors = _anchors(n, "needle_id", "needle_text")
-    qs = sorted(r["q"] for r in anchors.select("q").distinct().collect())
-    parts = []
-    if qs:
-        parts.append(_token_path(haystack, hay_id, hay_text, anchors, qs, broadcast_max_rows))
-    short = n.join(anchors.select("needle_id"), "needle_id", "left_anti")
-    parts.append(_scan_path(haystack, hay_id, hay_text, short))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+               needle_text: str, broadcast_max_rows: int | None = None) -> DataFrame:
+    """(hay_id, needle_id) for every haystack row that contains a tripwire.
+
+    Null and blank tripwires are ignored, null texts hold none.  Building the plan starts no
+    job.  ``broadcast_max_rows=0`` asks for sort-merge joins wherever a table follows
+    the tripwires, for sets that are known to be large."""
+    forced = broadcast_max_rows == 0
+    n = needles.select(F.col(needle_id).alias("needle_id"), F.col(needle_text).cast("string").alias("needle_text")).where(
+        F.col("needle_text").isNotNull()).distinct()
+    hay = haystack.select(F.col(hay_id).alias("hay_id"), F.col(hay_text).cast("string").alias("hay_text"))
+    wide = spread(hay)
+    cand = _long_candidates(wide, n, forced).unionByName(_short_candidates(wide, n, forced)).distinct()
+    texts = hay.select(F.col("hay_id").alias("_id"), "hay_text")
+    held = cand.join(texts, F.col("hay_id").eqNullSafe(F.col("_id"))).where(F.instr(F.col("hay_text"), F.col("needle_text")) > 0)
+    return held.select("hay_id", "needle_id").distinct()
