@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilframe.operators import cache as C
+from veilframe.operators import ivf
 from veilframe.plans.registry import register
 from veilframe.sources import domain as D
 from veilframe.sources.tables import load
@@ -230,13 +231,36 @@ def q_prompt_hashes(spark, sf):
 
 @register("cache_lookup_lsh", operators=("D10",))
 def q_cache_lookup_lsh(spark, sf):
-    """Approximate twin of ``cache_lookup`` for hits at cosine >= 0.92
-    (distance 0.4) over every cacheable query; rows only, recall is checked
-    against the exact lookup in tests."""
+    """Approximate twin of ``cache_lookup`` for hits at cosine >= 0.92 over every cacheable query:
+    each visits its two nearest cells of the inverted file.  (Random projection buckets,
+    ``cache.lsh_lookup``, hold most of a block each and prune next to nothing here.)  Rows only,
+    recall and the share of pairs scored are checked in tests."""
+    q = C.cacheable(cache_queries(spark, sf)).withColumn("threshold", F.greatest("threshold", F.lit(0.92)))
+    r = ivf.lookup(q, cache_entries(spark, sf), probes=2).where("entry_id is not null")
+    return r.select("q_id", "entry_id", F.round("similarity", 6).alias("similarity"))
+
+
+@register("cache_lookup_cells", operators=("D6", "D10"), oracle=_cache_sql(
+    "SELECT q_id, entry_id, similarity FROM lookup WHERE status = 'hit'"))
+def q_cache_lookup_cells(spark, sf):
+    """``cache_lookup`` through the inverted file, exact: cells are closed by the triangle
+    inequality only.  ``ivf.lookup(probes=...)`` is the approximate form; its recall is tested."""
     q = C.cacheable(cache_queries(spark, sf))
-    e = cache_entries(spark, sf)
-    r = C.lsh_lookup(q, e, max_distance=0.4)
-    return r.where(F.col("similarity") >= 0.92).select("q_id", "entry_id", F.round("similarity", 6).alias("similarity"))
+    found = ivf.lookup(q, cache_entries(spark, sf)).where("entry_id is not null")
+    return found.select("q_id", "entry_id", F.round("similarity", 6).alias("similarity"))
+
+
+@register("similar_pairs_cells", operators=("D9",), oracle=f"""
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v, min(vec_id) OVER (PARTITION BY label, embedding) AS first FROM embeddings)
+SELECT a.vec_id AS a_id, b.vec_id AS b_id, round(list_cosine_similarity(a.v, b.v), 6) AS similarity, FALSE AS copies
+FROM v a JOIN v b ON a.label = b.label AND a.vec_id < b.vec_id AND a.vec_id = a.first AND b.vec_id = b.first
+WHERE list_cosine_similarity(a.v, b.v) >= {SIMILAR_THRESHOLD}
+UNION ALL SELECT first, vec_id, 1.0, TRUE FROM v WHERE vec_id <> first""")
+def q_similar_pairs_cells(spark, sf):
+    """Similar vectors of one label through the inverted file, copies linked once."""
+    e = load(spark, sf, "embeddings")
+    p = ivf.similar_pairs(e, "vec_id", "embedding", ["label"], SIMILAR_THRESHOLD)
+    return p.select("a_id", "b_id", F.round("similarity", 6).alias("similarity"), "copies")
 
 
 NEAR_DUP_THRESHOLD = 0.9
