@@ -163,19 +163,18 @@ def q_live_mapping(spark, sf):
 # --- A3: audit append and read-back ----------------------------------------
 AUDIT_ROUNDTRIP_SQL = _audit_sql("""
 SELECT strftime(created_at, '%Y-%m') AS month, count(*) AS requests, round(sum(estimated_cost_usd), 4) AS cost_usd
-FROM audit WHERE created_at >= TIMESTAMP '1996-01-01' AND created_at < TIMESTAMP '1997-01-01' GROUP BY ALL""")
+FROM audit GROUP BY ALL""")
 
 
 @register("audit_roundtrip", operators=("A3", "A2"), oracle=AUDIT_ROUNDTRIP_SQL)
 def q_audit_roundtrip(spark, sf):
     """Append the audit table partitioned by day into the shared folder, read
-    it back with its declared schema; the date range prunes partitions."""
+    it back whole with its declared schema."""
     a = audit_table(spark, sf).drop("status", "is_stream")
     path = scratch_path(spark, f"audit-{uuid.uuid4().hex}")
     col = A.append_audit(a, path, granularity="month")
     back = spark.read.schema(a.schema.add(col, "string")).parquet(path)
-    r = back.where((F.col(col) >= F.lit("1996-01")) & (F.col(col) < F.lit("1997-01")))
-    return r.groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(
+    return back.groupBy(F.date_format("created_at", "yyyy-MM").alias("month")).agg(
         F.count(F.lit(1)).alias("requests"), F.round(F.sum("estimated_cost_usd"), 4).alias("cost_usd"))
 
 

@@ -104,6 +104,47 @@ def q_revocations(spark, sf):
         F.count_if(F.col("status") == 404).alias("n_not_found"))
 
 
+def _key_events(spark, sf):
+    """Every order is an event on its customer's key: each third a rotation, the others revocations; each
+    fifth comes from another org."""
+    o = load(spark, sf, "orders").join(load(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_nationkey"), "o_custkey")
+    k = F.col("o_orderkey")
+    fresh = F.sha2(F.concat(F.lit("new"), k.cast("string")), 256)
+    return o.select(k.alias("event_id"), F.when(k % 3 == 0, "rotate").otherwise("revoke").alias("kind"), F.col("o_custkey").alias("key_id"),
+                    (F.col("c_nationkey") + F.when(k % 5 == 0, 1).otherwise(0)).cast("long").alias("org_id"), F.col("o_orderdate").cast("timestamp_ntz").alias("ts"),
+                    (k + SUCCESSOR_OFFSET).alias("new_key_id"), fresh.alias("new_hash"), F.right(fresh, F.lit(4)).alias("new_suffix"))
+
+
+KEY_EVENTS_SQL = f"""e AS (
+  SELECT o_orderkey AS event_id, o_custkey AS key_id, o_orderdate AS ts, o_orderkey % 3 = 0 AS rotate, o_orderkey % 5 <> 0 AS mine,
+         sha256('new' || CAST(o_orderkey AS VARCHAR)) AS fresh FROM orders JOIN customer ON c_custkey = o_custkey),
+f AS (SELECT key_id, arg_min(event_id, (ts, event_id)) FILTER (WHERE rotate) AS rot, max(ts) FILTER (WHERE NOT rotate) AS rev FROM e WHERE mine GROUP BY key_id),
+g AS (SELECT k.*, f.rev, r.event_id, r.ts, r.fresh FROM api_keys k LEFT JOIN f USING (key_id)
+      LEFT JOIN e r ON r.event_id = f.rot AND k.grace_expires_at IS NULL)"""
+
+
+@register("key_table", operators=("F4", "F5"), oracle=D.with_views(f""", {KEY_EVENTS_SQL}
+SELECT key_id, org_id, name, key_suffix, key_hash, strftime(created_at, '{TS_SQL}') AS created_at, strftime(coalesce(rev, revoked_at), '{TS_SQL}') AS revoked_at,
+       strftime(coalesce(grace_expires_at, ts + INTERVAL 24 HOUR), '{TS_SQL}') AS grace_expires_at, rotated_from_id, rate_limit_per_hour FROM g
+UNION ALL
+SELECT event_id + {SUCCESSOR_OFFSET}, org_id, name || ' (rotated)', right(fresh, 4), fresh, strftime(ts, '{TS_SQL}'), NULL, NULL, key_id, rate_limit_per_hour
+FROM g WHERE event_id IS NOT NULL""", "api_keys").replace("\n, e AS", ", e AS", 1))
+def q_key_table(spark, sf):
+    """The key table after every order's event."""
+    table, _ = K.apply_key_events(D.api_keys(spark, sf), _key_events(spark, sf))
+    for c in ("created_at", "revoked_at", "grace_expires_at"):
+        table = table.withColumn(c, F.date_format(c, TS_FMT))
+    return table
+
+
+@register("key_event_outcomes", operators=("F4", "F5"), oracle=D.with_views(f""", {KEY_EVENTS_SQL}
+SELECT e.event_id, e.key_id, CASE WHEN e.rotate THEN 'rotate' ELSE 'revoke' END AS kind,
+       CASE WHEN NOT mine THEN 404 WHEN NOT rotate THEN 204 WHEN e.event_id = g.event_id THEN 201 ELSE 409 END AS status
+FROM e JOIN g ON g.key_id = e.key_id""", "api_keys").replace("\n, e AS", ", e AS", 1))
+def q_key_event_outcomes(spark, sf):
+    return K.apply_key_events(D.api_keys(spark, sf), _key_events(spark, sf))[1]
+
+
 @register("lineage", operators=("F6",), oracle=D.with_views("""
 SELECT key_id, root_id, depth FROM (
 WITH RECURSIVE chain(key_id, root_id, depth) AS (

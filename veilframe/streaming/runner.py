@@ -1,8 +1,8 @@
 """Run a streaming query to completion over the data available now.
 
-Sinks and checkpoints live under the cluster's shared checkpoint folder, so
-a restarted driver or a lost executor resumes from the last committed batch
-instead of recomputing or duplicating output.
+Sinks and checkpoints live where the caller says, or under the cluster's shared checkpoint
+folder.  A lost executor costs its tasks only; a restarted driver resumes from the
+last committed batch if it is given the same places again.
 """
 
 from __future__ import annotations
@@ -24,36 +24,42 @@ def read_table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: in
     return r.parquet(sf_dir)
 
 
-def run_available_now(df: DataFrame, name: str, output_mode: str = "append") -> DataFrame:
+def _finish(query) -> None:
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise query.exception()
+
+
+def run_available_now(df: DataFrame, name: str, output_mode: str = "append", path: str | None = None,
+                      checkpoint: str | None = None) -> DataFrame:
     """Write the stream to a parquet sink with ``Trigger.AvailableNow`` and
-    return the sink as a batch DataFrame."""
+    return the sink as a batch DataFrame.
+
+    ``path`` and ``checkpoint`` are the caller's stable places: a later run with the same two goes on
+    after the last committed batch.  Without them a run has fresh ones and starts anew."""
     spark = df.sparkSession
     run = f"{name}-{uuid.uuid4().hex}"
-    sink = scratch_path(spark, f"{run}/out")
-    ckpt = scratch_path(spark, f"{run}/checkpoint")
-    q = (df.writeStream.format("parquet").outputMode(output_mode)
-           .option("path", sink).option("checkpointLocation", ckpt)
-           .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+    sink = path or scratch_path(spark, f"{run}/out")
+    _finish(df.writeStream.format("parquet").outputMode(output_mode).option("path", sink)
+              .option("checkpointLocation", checkpoint or scratch_path(spark, f"{run}/checkpoint")).trigger(availableNow=True).start())
     return spark.read.schema(df.schema).parquet(sink)
 
 
-def append_idempotent(df: DataFrame, path: str, name: str, partition_cols=()) -> None:
+def append_idempotent(df: DataFrame, path: str, partition_cols=(), checkpoint: str | None = None, after_batch=None) -> None:
     """A3 streaming: each micro-batch is written with ``foreachBatch`` into its
     own ``batch_id=<n>`` directory in overwrite mode, so a batch replayed
     after a failure replaces its earlier attempt instead of duplicating rows
-    (exactly-once output on top of the checkpointed source offsets)."""
-    spark = df.sparkSession
-    ckpt = scratch_path(spark, f"{name}-{uuid.uuid4().hex}/checkpoint")
+    (exactly-once output on top of the checkpointed source offsets).
 
+    The checkpoint stands beside the table (``<path>-checkpoint``) unless one is given: running again
+    with the same path resumes after the last committed batch, so batch ids and the table
+    always belong together.  ``after_batch(batch_id)`` is called once a batch is written, before it
+    is committed."""
     def write_batch(batch, batch_id):
         (batch.write.mode("overwrite").partitionBy(*partition_cols)
               .parquet(f"{path}/batch_id={batch_id}"))
+        if after_batch is not None:
+            after_batch(batch_id)
 
-    q = (df.writeStream.foreachBatch(write_batch).option("checkpointLocation", ckpt)
-           .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise q.exception()
+    _finish(df.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint or f"{path.rstrip('/')}-checkpoint")
+              .trigger(availableNow=True).start())
