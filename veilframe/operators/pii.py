@@ -36,6 +36,7 @@ from veilframe.operators.recognizers import (
 )
 
 SCRUB_MODES = ("reversible", "one_way")
+EXTERNAL_ARRAY = "array<struct<span_start:int,span_end:int,entity:string,score:double>>"
 
 
 def fenced(df: DataFrame, name: str, expr: Column) -> DataFrame:
@@ -147,14 +148,52 @@ def resolve_overlaps(spans: Column) -> Column:
     return let(F.array_sort(spans.cast(SPAN_ARRAY)), lambda ordered: F.when(F.size(ordered) > 1, islands(ordered)).otherwise(ordered))
 
 
+@column_memo
+def external_spans(text: Column, spans: Column, policy: EntityPolicy | None = None, threshold: float = SCORE_THRESHOLD) -> Column:
+    """Spans (span_start, span_end, entity, score) from elsewhere, as candidates: under the
+    entity policy and the threshold, inside the text, with their values and byte places.
+
+    Byte places are found by walking from each span's start to the next, so the text is
+    walked once."""
+    policy = policy or EntityPolicy()
+
+    def wanted(s):
+        ok = ~s["entity"].isin(*policy.deny) if policy.deny else F.lit(True)
+        if policy.allow is not None:
+            ok = ok & s["entity"].isin(*policy.allow)
+        inside = (s["span_start"] >= 0) & (s["span_start"] < s["span_end"]) & (s["span_end"] <= F.length(text))
+        return F.coalesce(ok & inside & (s["score"] >= threshold), F.lit(False))
+
+    def head(data, at, n):  # the first n characters from a byte place; none takes over four bytes
+        return F.substring(F.substring(data, at + 1, n * 4).cast("string"), F.lit(1), n)
+
+    def placed(data):
+        start = F.struct(F.lit(0).alias("c"), F.lit(0).alias("b"), F.array().cast(SPAN_ARRAY).alias("out"))
+
+        def step(acc, s):
+            at = acc["b"] + F.octet_length(head(data, acc["b"], s["span_start"] - acc["c"]))
+            return let(at, lambda b: F.struct(s["span_start"].alias("c"), b.alias("b"), F.concat(acc["out"], F.array(F.struct(
+                s["span_start"].alias("span_start"), s["span_end"].alias("span_end"), s["entity"].alias("entity"), s["score"].alias("score"),
+                head(data, b, s["span_end"] - s["span_start"]).alias("value"), b.alias("byte_start")))).alias("out")))
+
+        ordered = F.array_sort(F.filter(spans.cast(EXTERNAL_ARRAY), wanted))
+        return F.aggregate(ordered, start, step, lambda acc: acc["out"])
+
+    return F.when(F.coalesce(F.size(spans) > 0, F.lit(False)) & text.isNotNull(), let(text.cast("binary"), placed)).otherwise(F.array().cast(SPAN_ARRAY))
+
+
 def detect_spans(df: DataFrame, text_col: str = "text", out: str = "spans",
                  recognizers=DEFAULT_RECOGNIZERS, policy: EntityPolicy | None = None,
-                 threshold: float = SCORE_THRESHOLD) -> DataFrame:
-    """C4: resolved spans per row.
+                 threshold: float = SCORE_THRESHOLD, external: str | None = None) -> DataFrame:
+    """C4: resolved spans per row.  ``external`` names a column of spans from elsewhere (a
+    gazetteer, a model) that compete with the recognizers' under the same policy.
 
     Stages are separate generators referenced by name, so each expensive array
     is computed once and filters on other columns still reach the scan."""
-    found = fenced(df, "_cand", candidate_spans(F.col(text_col), recognizers, policy, threshold))
+    cand = candidate_spans(F.col(text_col), recognizers, policy, threshold)
+    if external is not None:
+        cand = F.concat(cand, external_spans(F.col(text_col), F.col(external), policy, threshold))
+    found = fenced(df, "_cand", cand)
     return fenced(found, out, resolve_overlaps(F.col("_cand"))).drop("_cand")
 
 
@@ -235,12 +274,12 @@ def placeholder_map(spans: Column, mode: str) -> Column:
 
 def scrub(df: DataFrame, text_col: str = "text", mode: str = "reversible",
           recognizers=DEFAULT_RECOGNIZERS, policy: EntityPolicy | None = None,
-          threshold: float = SCORE_THRESHOLD, prefix: str = "") -> DataFrame:
+          threshold: float = SCORE_THRESHOLD, prefix: str = "", external: str | None = None) -> DataFrame:
     """Scrub ``text_col``: adds ``{prefix}spans`` (with placeholders),
     ``{prefix}scrubbed_text`` and ``{prefix}mapping`` (placeholder -> original;
     empty in one_way mode)."""
     spans_c = f"{prefix}spans"
-    out = detect_spans(df, text_col, "_kept", recognizers, policy, threshold)
+    out = detect_spans(df, text_col, "_kept", recognizers, policy, threshold, external)
     out = fenced(out, spans_c, with_placeholders(F.col("_kept"), mode)).drop("_kept")
     out = fenced(out, f"{prefix}scrubbed_text", rebuild_text(F.col(text_col), F.col(spans_c)))
     return out.withColumn(f"{prefix}mapping", placeholder_map(F.col(spans_c), mode))
