@@ -3,10 +3,14 @@ B9, B10, D1-D12)."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from veilframe.operators import cache as C
 from veilframe.operators import ivf
+from veilframe.session import scratch_path
+from veilframe.sources import cache_table as CT
 from veilframe.plans.registry import register
 from veilframe.sources import domain as D
 from veilframe.sources.tables import load
@@ -210,6 +214,19 @@ def q_cache_compaction(spark, sf):
     return kept.groupBy("org_id", "provider", "model").agg(F.count(F.lit(1)).alias("kept"))
 
 
+@register("cache_table", operators=("A4", "A5", "A9"), oracle=f"""WITH {ENTRIES_SQL}
+SELECT provider, model, CAST(e_id % 3 AS VARCHAR) AS batch, count(*) AS kept, min(e_id) AS first_id FROM entries
+WHERE ttl_seconds > 0 AND e_expires_ms > {COMPACT_AS_OF_MS} GROUP BY ALL""")
+def q_cache_table(spark, sf):
+    """Entries appended in three batches, one of them twice (a retry), then purged as of a time."""
+    path = scratch_path(spark, f"cache-table-{uuid.uuid4().hex}")
+    e = cache_entries(spark, sf)
+    for batch in (0, 1, 1, 2):
+        CT.append(e.where(F.col("e_id") % 3 == batch), path, str(batch))
+    CT.purge(spark, path, F.lit(COMPACT_AS_OF_MS))
+    return CT.read(spark, path).groupBy("provider", "model", "batch").agg(F.count(F.lit(1)).alias("kept"), F.min("e_id").alias("first_id"))
+
+
 @register("cache_partitions", operators=("A5",), oracle=D.with_views(f"""
 SELECT provider, model, lower(translate(provider, '-.:', '___')) AS provider_part,
        CASE WHEN provider || '/' || model IN ({", ".join(f"'{p}/{m}'" for p, m in D.PREWARMED)})

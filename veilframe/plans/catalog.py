@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from veilframe.plans import (  # noqa: F401
     audit_queries, cache_queries, keys_queries, pii_queries, prompt_queries, rate_queries, sealing_queries,
-    history_queries, leak_queries, stream_queries,
+    flow_queries, history_queries, leak_queries, stream_queries,
 )
 from veilframe.plans.registry import REGISTRY
 from veilframe.session import ship_package
