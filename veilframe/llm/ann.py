@@ -26,12 +26,22 @@ def rotation(dim: int) -> np.ndarray:
     return (q * np.sign(np.diag(r))).astype(np.float32)
 
 
+def directions(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Unit vectors and lengths; the largest component is taken out before squaring, so
+    only a length beyond the doubles is infinite, and no direction is lost."""
+    largest = np.abs(vectors).max(axis=1, keepdims=True)
+    scaled = vectors / largest
+    lengths = np.sqrt((scaled * scaled).sum(axis=1))
+    with np.errstate(over="ignore"):
+        return scaled / lengths[:, None], lengths * largest[:, 0]
+
+
 def encode_block(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Packed sign bits of the rotated unit vectors; correction scalars: the length
     over the code's agreement with its vector, and the error's scale."""
     dim = vectors.shape[1]
-    norms = np.sqrt((vectors * vectors).sum(axis=1))
-    turned = (vectors / norms[:, None]).astype(np.float32) @ rotation(dim)
+    unit, norms = directions(vectors)
+    turned = unit.astype(np.float32) @ rotation(dim)
     agree = np.minimum(np.abs(turned).sum(axis=1) / np.sqrt(dim), 1.0)  # inner product of code and vector
     error = norms * np.sqrt((1 - agree**2) / agree**2 / max(1, dim - 1))
     return np.packbits(turned > 0, axis=1), norms / agree, error
@@ -39,7 +49,8 @@ def encode_block(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 def exact(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
     """Inner products in double precision, summed in component order."""
-    return np.cumsum(vectors * query, axis=1)[:, -1]
+    with np.errstate(over="ignore", invalid="ignore"):
+        return np.cumsum(vectors * query, axis=1)[:, -1]
 
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray,
@@ -48,25 +59,31 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, ids: np.ndarray, ve
 
     All inner products are estimated from the codes; the best few estimates are
     scored exactly, and with their k-th score as threshold only vectors whose upper bound
-    reaches it are scored as well.
+    reaches it are scored as well. Estimates are of the query's direction, in doubles, as
+    lengths may differ by any power; a vector whose product with the query may leave the doubles
+    is always scored. A score that is no number ranks first, as Spark and SQL order it.
     """
     dim = vectors.shape[1]
     signs = np.unpackbits(codes, axis=1, count=dim).astype(np.float32) * 2 - 1
     out = []
     for i in range(0, len(queries), 256):
         some = queries[i:i + 256]
-        estimates = (some.astype(np.float32) @ rotation(dim)) @ signs.T * (scale / np.sqrt(dim)).astype(np.float32)
-        lengths = np.sqrt((some * some).sum(axis=1))
-        for q, qid, est, length in zip(some, query_ids[i:i + 256], estimates, lengths, strict=True):
+        units, lengths = directions(some)
+        agreement = (units.astype(np.float32) @ rotation(dim)) @ signs.T
+        for q, qid, agrees, length in zip(some, query_ids[i:i + 256], agreement, lengths, strict=True):
+            with np.errstate(over="ignore", invalid="ignore"):
+                est = agrees * (scale / np.sqrt(dim))
+                upper = (est + EPSILON * error) * length
+                unsafe = ~np.isfinite(length * scale * dim)
             est[ids == qid] = -np.inf
             first = np.argpartition(-est, FIRST)[:FIRST] if len(est) > FIRST else np.arange(len(est))
             first = first[ids[first] != qid]
-            scores = exact(vectors[first], q)
+            scores = np.nan_to_num(exact(vectors[first], q), nan=np.inf, posinf=np.inf, neginf=-np.inf)
             least = np.partition(scores, -k)[-k] if len(scores) >= k else -np.inf
-            found = np.flatnonzero((est + EPSILON * length * error >= least) & (ids != qid))
+            found = np.flatnonzero(((upper >= least) | unsafe) & (ids != qid))
             found = np.union1d(found, first)
             scores = exact(vectors[found], q)
-            best = np.lexsort((ids[found], -scores))[:k]
+            best = np.lexsort((ids[found], -scores, ~np.isnan(scores)))[:k]
             out += zip([qid] * len(best), ids[found[best]], scores[best], strict=True)
     return out
 
@@ -132,6 +149,7 @@ def nearest(vectors: DataFrame, is_query, k: int = K, id_col: str = "vec_id", ve
     keys = ["dim", "block", "q_block"]
     found = asked.groupBy(*keys).cogroup(held.groupBy(*keys)).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = found.withColumn("score", F.coalesce("score", F.lit(float("nan"))))  # pandas hands "no number" over as null
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

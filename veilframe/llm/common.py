@@ -26,6 +26,22 @@ def stored(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> Data
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(columns: list[str], *names: str) -> list[str]:
+    """The names, each with underscores before it until no column is called so."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def ref(column: str) -> Column:
+    """A column by its exact name, dots included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship_package(spark)
     return load(spark, sf_dir, "documents")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import ascii_lower, documents, stored
+from veilframe.llm.common import ascii_lower, documents, ref, stored, unused
 from veilframe.llm.token_files import mix
 
 MIN_WORDS = 5   # lines of fewer words, unless as long as LONG, are not compared for near ones: they are near by chance
@@ -128,22 +128,27 @@ def _drop_lines(name: str):
     return F.pandas_udf(rest, "string")
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", short_lines: bool = False,
+               counts: tuple[str, str] = ("_dropped", "_lines")) -> DataFrame:
     """Drop repeated lines, keeping the earliest.
 
     Lines of at least MIN_WORDS words or LONG characters are compared without outer spaces and with A-Z
     lower-cased. A line goes if an earlier line (smaller doc_id, then place) of the table is equal
     or within MAX_EDITS character edits. With ``short_lines``, every other line with a visible character
     goes too if an earlier one is equal. Returns the input's columns with the text
-    replaced, and ``_dropped`` (number of lines gone) and ``_lines``.
+    replaced, and, named by ``counts``, the number of lines gone and of lines. An input column
+    of such a name gives way to the count; every other column stays, whatever its name.
+    Chains go link by link: a line goes for an earlier near line even if that one goes too.
 
     A null text stays null; a document whose lines all go has an empty text. A null id
     is the earliest. Rows that agree in id and text are one document and get one
     verdict. An empty table gives an empty result.
     """
-    text = F.col(text_col).cast("string")
+    text = ref(text_col).cast("string")
     row = F.xxhash64(text)
-    base = docs.select(F.col(id_col).alias("doc_id"), row.alias("row"), F.coalesce(text, F.lit("")).alias("text"))
+    n_dropped, n_lines = counts
+    g_id, g_row, g_gone, own_row = unused([*docs.columns, *counts], "_g_id", "_g_row", "_gone", "_row")
+    base = docs.select(ref(id_col).alias("doc_id"), row.alias("row"), F.coalesce(text, F.lit("")).alias("text"))
     lines = stored(_lines(base, short_lines), "line-places")
     place = F.struct("doc_id", "row", "line_no")
     distinct = stored(lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys")),
@@ -153,14 +158,14 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
               .select("h1", "h2", "first", F.coalesce("late", F.lit(False)).alias("late")))
     gone = (lines.select("doc_id", "row", "line_no", "h1", "h2").join(stored(marked, "line-marked"), ["h1", "h2"])
             .where(F.col("late") | ~place.eqNullSafe(F.col("first")))
-            .groupBy(F.col("doc_id").alias("_g_id"), F.col("row").alias("_g_row")).agg(F.collect_set("line_no").alias("_gone")))
+            .groupBy(F.col("doc_id").alias(g_id), F.col("row").alias(g_row)).agg(F.collect_set("line_no").alias(g_gone)))
     gone = stored(gone, "line-gone")
-    kept = [c for c in docs.columns if not c.startswith("_g_") and c not in ("_gone", "_dropped", "_lines")]
-    joined = docs.select(*kept, row.alias("_row")).join(
-        gone.hint("merge"), F.col(id_col).eqNullSafe(F.col("_g_id")) & (F.col("_row") == F.col("_g_row")), "left")
-    out = [(_drop_lines("kept_lines")(text, F.col("_gone")).alias(c) if c == text_col else F.col(c)) for c in kept]
-    return joined.select(*out, F.coalesce(F.size("_gone"), F.lit(0)).alias("_dropped"),
-                         F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).alias("_lines"))
+    kept = [c for c in docs.columns if c.lower() not in (n_dropped.lower(), n_lines.lower())]
+    joined = docs.select(*map(ref, kept), row.alias(own_row)).join(
+        gone.hint("merge"), ref(id_col).eqNullSafe(F.col(g_id)) & (F.col(own_row) == F.col(g_row)), "left")
+    out = [(_drop_lines("kept_lines")(text, F.col(g_gone)).alias(c) if c == text_col else ref(c)) for c in kept]
+    return joined.select(*out, F.coalesce(F.size(g_gone), F.lit(0)).alias(n_dropped),
+                         F.when(text.isNull(), 0).otherwise(F.size(F.split(text, "\n"))).alias(n_lines))
 
 
 def op3_line_dedup(spark, sf_dir) -> DataFrame:

@@ -41,7 +41,7 @@ class MixturePlan:
         active, window, tail = list(left), 0, []
         while active:
             total = sum(share[q] for q in active)
-            low = [q for q in active if share[q] * length < total or share[q] * length * 1 > total * left[q]]
+            low = [q for q in active if share[q] * length < total or share[q] * length > total * left[q]]
             if low:  # less than an id a window, or less left than one window takes
                 tail += low
                 active = [q for q in active if q not in low]
@@ -144,15 +144,16 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, weights: dict[str, float]
     ids_crc32, doc_tokens, sequence_id, offset, queue.
 
     Each queue is a source in ascending id order; without ``weights`` the target
-    proportions are the corpus's own, so all queues end together. Sources
-    without a weight come last, in the tail. Null texts count as
+    proportions are the corpus's own, so all queues end together, and sources of less than 1 in
+    MAX_QUEUES of the bytes share a queue. Every source with a weight has a queue of its own; sources
+    without one, or due less than an id a window, come last, in the tail. Null texts count as
     empty (the end id alone), a null source is a queue of its own, null ids come
     first, rows that repeat an id are packed each. An empty table gives no rows.
     Only the three named columns are read.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("(none)")).alias("queue"))
-    names = queue_names(docs)
+    names = sorted({*queue_names(docs), *("=" + k for k in weights or {})})
     own = F.col("queue").isin(names) if names else F.lit(False)
     blocks = encode_blocks(docs.withColumn("queue", F.when(own, F.col("queue")).otherwise(F.lit(REST))), tokenizer, end_id)
     sums = stored(blocks.groupBy("queue", "block").agg(F.sum("n").alias("n")), "packing-sums")

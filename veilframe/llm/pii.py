@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import documents, stored
+from veilframe.llm.common import documents, ref, stored, unused
 
 # Base kinds in their order: fixed patterns. Possessive runs and look-behinds keep each
 # linear in the text without changing its matches; groups repeat one character at
@@ -183,8 +183,8 @@ def _written(only_base: bool) -> Column:
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.col(text_col).cast("string")
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
+    text = ref(text_col).cast("string")
+    return docs.select(ref(id_col).alias("doc_id"), F.xxhash64(text).alias("row"), F.coalesce(text, F.lit("")).alias("text"))
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,22 +201,25 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def mask_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input with every span replaced by its kind in angle brackets; overlapping spans are
-    replaced as one, by the kind that starts first. Null texts stay null."""
+    replaced as one, by the kind that starts first. Null texts stay null, rows that repeat are
+    masked alike, null ids keep their row, an empty table gives an empty result, and other columns
+    stay as they are, whatever their names."""
+    p_id, p_row, p_spans = unused(docs.columns, "_p_id", "_p_row", "_p_spans")
     spans = find_spans(_rows(docs, id_col, text_col)).where("kind is not null").select("doc_id", "row", "kind", "start", "end").distinct()
     order = Window.partitionBy("doc_id", "row").orderBy("start", "end", "kind")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     isle = spans.withColumn("new", F.when(reach.isNull() | (F.col("start") >= reach), 1).otherwise(0)).withColumn("isle", F.sum("new").over(order))
     merged = isle.groupBy("doc_id", "row", "isle").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("kind", F.struct("start", "end", "kind")).alias("kind"))
-    lists = merged.groupBy(F.col("doc_id").alias("_p_id"), F.col("row").alias("_p_row")).agg(
-        F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"), "kind"))).alias("_p_spans"))
-    text, at = F.col(text_col).cast("string"), F.col("_p_spans")
+    lists = merged.groupBy(F.col("doc_id").alias(p_id), F.col("row").alias(p_row)).agg(
+        F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("s"), F.col("end").cast("int").alias("e"), "kind"))).alias(p_spans))
+    text, at = ref(text_col).cast("string"), F.col(p_spans)
     pieces = F.transform(at, lambda x, i: F.concat(
         F.substring(text, F.when(i == 0, 1).otherwise(F.get(at, i - 1)["e"] + 1), x["s"] - F.when(i == 0, 0).otherwise(F.get(at, i - 1)["e"])),
         F.lit("<"), x["kind"], F.lit(">")))
     last = F.element_at(at, -1)["e"]
     masked = F.when(at.isNull(), text).otherwise(F.concat(F.array_join(pieces, ""), F.substring(text, last + 1, F.length(text))))
-    joined = docs.join(stored(lists, "pii-lists").hint("merge"), F.col(id_col).eqNullSafe(F.col("_p_id")) & (F.xxhash64(text) == F.col("_p_row")), "left")
-    return joined.select(*[masked.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    joined = docs.join(stored(lists, "pii-lists").hint("merge"), ref(id_col).eqNullSafe(F.col(p_id)) & (F.xxhash64(text) == F.col(p_row)), "left")
+    return joined.select(*[masked.alias(c) if c == text_col else ref(c) for c in docs.columns])
 
 
 def op7_pii(spark, sf_dir) -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import documents, stored
+from veilframe.llm.common import documents, ref, stored
 from veilframe.llm.components import component_labels
 
 SHINGLE, MAX_BITS, SEED = 3, 3, 42
@@ -38,14 +38,15 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) for every row; fp as a signed 64-bit integer."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(doc_id, row, fp) for every row; row is the text's hash, fp a signed 64-bit integer."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.fromiter((fingerprint(t, shingle) for t in b["text"]), np.uint64, len(b))
-            yield pd.DataFrame({"doc_id": b["doc_id"], "fp": fp.view(np.int64)})
+            fp = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column("text")), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row"), pa.array(fp.view(np.int64))], names=["doc_id", "row", "fp"])
 
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInPandas(run, "doc_id long, fp long")
+    text = ref(text_col).cast("string")
+    docs = docs.select(ref(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("row"), text.alias("text"))
+    return docs.mapInArrow(run, "doc_id long, row long, fp long")
 
 
 def _signed(x: int) -> int:
@@ -100,7 +101,9 @@ def near_pairs(fps: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """Near-duplicate groups: doc_id, fingerprint (16 hex digits), component_id
-    (smallest doc_id reachable over links), n_links (of its fingerprint, to other fingerprints).
+    (smallest doc_id reachable over links), n_links (of its fingerprint, to other fingerprints),
+    row (hash of the text) and kept: true for the component's first (doc_id, row), ids before
+    null ids. So unrelated texts under one id each stay, and only rows equal in id and text share a ``kept``.
 
     Null texts count as empty; texts without words have fingerprint zero and are
     linked like any other. Null ids keep their row; a component of null ids only has a null
@@ -108,17 +111,18 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives an empty result; only the two named columns are read.
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
+    nodes = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")), "simhash-nodes")
     pairs = stored(near_pairs(nodes, max_bits), "simhash-pairs")
     labels = component_labels(pairs)
     root = F.coalesce(F.col("label"), F.col("fp"))
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", root.alias("root"))
-    tops = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", root.alias("root"))
+    tops = named.groupBy("root").agg(F.min("first").alias("top"))
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     classes = stored(named.join(tops, "root").join(degree, "fp", "left")
-                     .select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "simhash-classes")
+                     .select("fp", "top", F.coalesce("n_links", F.lit(0)).alias("n_links")), "simhash-classes")
     return rows.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links")
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("top.doc_id").alias("component_id"), "n_links", "row",
+        (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("row") == F.col("top.row"))).alias("kept"))
 
 
 def op2_simhash(spark, sf_dir) -> DataFrame:
