@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import documents, stored
+from veilframe.llm.common import documents, ref, stored, unused
 from veilframe.llm.line_dedup import line_dedup
 from veilframe.llm.packing import pack
 from veilframe.llm.pii import mask_pii
@@ -18,7 +18,8 @@ ORACLE_SQL = None  # learned scores, edit distances and tokenizers are beyond SQ
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.5 stay; null texts count as empty and stay."""
+    """Documents scored below 0.5 stay; null texts count as empty and stay. Repeated rows share a
+    score, an empty table stays empty, and columns beside text and doc_id are only carried."""
     ship_package(spark)
     model = fit(docs, load(spark, sf_dir, "labels"))
     return docs.where(score_column(model, F.col("text")) < 0.5)
@@ -27,17 +28,25 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated lines go; ``n_chars`` follows the text. A document left without text stays, empty."""
     ship_package(spark)
-    kept = line_dedup(docs, short_lines=True)
-    return kept.withColumn("n_chars", F.when(F.col("_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    counts = tuple(unused(docs.columns, "_dropped", "_lines"))
+    kept = line_dedup(docs, short_lines=True, counts=counts)
+    return kept.withColumn("n_chars", F.when(F.col(counts[0]) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*map(ref, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash group the document with the smallest id stays (rows without an id all stay);
-    of rows that repeat that id, one stays."""
+    """Of each SimHash group one document stays: the one with the smallest id, null ids last, and of
+    several texts under that id the one of the smallest hash. Of rows that agree in id and
+    text one stays. Unrelated texts stay, also under one id or none."""
     ship_package(spark)
-    groups = simhash_dedup(docs).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.where("doc_id is not null").join(groups.hint("merge"), F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    names = unused(docs.columns, "_id", "_no_id", "_row")
+
+    def key(row):
+        return [F.coalesce(F.col("doc_id"), F.lit(0)).alias(names[0]), F.col("doc_id").isNull().alias(names[1]), row.alias(names[2])]
+
+    keep = simhash_dedup(docs).where("kept").select(*key(F.col("row"))).distinct()
+    # the join's partitioning serves the grouping that follows
+    kept = docs.select(*map(ref, docs.columns), *key(F.xxhash64("text"))).join(keep.hint("merge"), names, "left_semi").dropDuplicates(names)
+    return kept.select(*map(ref, docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +56,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sequences of 2048 ids holding the sources in the corpus's proportions."""
+    """Sequences of 2048 ids holding the sources in the corpus's proportions. Null texts are their end id
+    alone, repeated rows are packed each, an empty table gives no rows, other columns are not read."""
     import public_tokenizers
 
     ship_package(spark)
