@@ -102,8 +102,7 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                   shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """Near-duplicate groups: doc_id, fingerprint (16 hex digits), component_id
     (smallest doc_id reachable over links), n_links (of its fingerprint, to other fingerprints),
-    row (hash of the text) and kept: true for the component's first (doc_id, row), ids before
-    null ids. So unrelated texts under one id each stay, and only rows equal in id and text share a ``kept``.
+    row (hash of the text) and group (names the component even where ids repeat or are null).
 
     Null texts count as empty; texts without words have fingerprint zero and are
     linked like any other. Null ids keep their row; a component of null ids only has a null
@@ -111,18 +110,17 @@ def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     table gives an empty result; only the two named columns are read.
     """
     rows = stored(fingerprints(docs, id_col, text_col, shingle), "simhash-fp")
-    nodes = stored(rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")).alias("first")), "simhash-nodes")
+    nodes = stored(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-nodes")
     pairs = stored(near_pairs(nodes, max_bits), "simhash-pairs")
     labels = component_labels(pairs)
     root = F.coalesce(F.col("label"), F.col("fp"))
-    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first", root.alias("root"))
-    tops = named.groupBy("root").agg(F.min("first").alias("top"))
+    named = nodes.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "first_id", root.alias("root"))
+    tops = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
     degree = pairs.select(F.explode(F.array("a", "b")).alias("fp")).groupBy("fp").agg(F.count(F.lit(1)).alias("n_links"))
     classes = stored(named.join(tops, "root").join(degree, "fp", "left")
-                     .select("fp", "top", F.coalesce("n_links", F.lit(0)).alias("n_links")), "simhash-classes")
+                     .select("fp", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.col("root").alias("group")), "simhash-classes")
     return rows.join(classes, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("top.doc_id").alias("component_id"), "n_links", "row",
-        (F.col("doc_id").eqNullSafe(F.col("top.doc_id")) & (F.col("row") == F.col("top.row"))).alias("kept"))
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_links", "row", "group")
 
 
 def op2_simhash(spark, sf_dir) -> DataFrame:
