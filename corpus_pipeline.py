@@ -43,7 +43,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     def key(row):
         return [F.coalesce(F.col("doc_id"), F.lit(0)).alias(names[0]), F.col("doc_id").isNull().alias(names[1]), row.alias(names[2])]
 
-    keep = simhash_dedup(docs).where("kept").select(*key(F.col("row"))).distinct()
+    firsts = simhash_dedup(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("group", "doc_id").agg(F.min("row").alias("row"))
+    keep = firsts.select(*key(F.col("row")))
     # the join's partitioning serves the grouping that follows
     kept = docs.select(*map(ref, docs.columns), *key(F.xxhash64("text"))).join(keep.hint("merge"), names, "left_semi").dropDuplicates(names)
     return kept.select(*map(ref, docs.columns))
