@@ -84,3 +84,15 @@ def test_limit_that_changes_over_time(spark):
             live.append(t)
             want[i] = (True, len(live), 0)
     assert got == want
+
+
+def test_no_frame_slides(spark):
+    """Loads are running sums: a sliding frame is summed anew for every row, so a bucket's work
+    would grow with the square of its rows.  The sums equal a brute-force count, ties included."""
+    rows = [(i, k, t) for i, (k, t) in enumerate([("a", x) for x in (0, 0, 5, 999, 1000, 1000, 1005, 1999, 2000, 2600, 7000)] + [("b", -3), ("b", 996), ("b", 997), (None, 4), (None, 1003)])]
+    df = spark.createDataFrame(rows, "id long, k string, t long")
+    rate, admitted = R.offered_rate(df, "k", "t", 1000), R.admit(df, "k", "t", "id", 2, 1000)
+    assert {r["id"]: r["offered"] for r in rate.collect()} == {i: sum(1 for _, j, s in rows if j == k and t - 1000 < s <= t) for i, k, t in rows}
+    for d in (rate, admitted):
+        plan = d._jdf.queryExecution().executedPlan().toString().lower()
+        assert "rangeframe, unboundedpreceding" in plan and "rangeframe, -" not in plan

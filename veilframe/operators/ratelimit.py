@@ -13,9 +13,10 @@ combined before the shuffle, and no step partitions requests by key alone (one
 key may hold a third of them):
 
 1. Time is cut into buckets of width ``W`` and every run is also copied into
-   the next bucket.  Partitioned by (key, bucket), a run then sees every
-   run of ``(t - W, t]`` and its predecessor whenever the gap is below
-   ``W``, which is all the offered load (E1) and the island split need.
+   the next bucket, where it expires again.  Partitioned by (key, bucket), a run
+   then sees every run of ``(t - W, t]``, which is all the offered load (E1) and the
+   island split need.  Loads are running sums: no frame slides, so a bucket's work
+   grows with its runs, not with their square.
 2. An *island* starts wherever the gap to the previous run is at least
    ``W``: every earlier entry is evicted there, so the state is provably
    empty.  A run's island is the latest start at or before it, found inside
@@ -61,33 +62,50 @@ def _bucket(t: Column, window_ms: int) -> Column:
     return ((t - F.pmod(t, F.lit(window_ms))) / window_ms).cast("long")
 
 
-def _with_previous_bucket(df: DataFrame, t: str, window_ms: int) -> DataFrame:
-    """Each row in its own bucket (``_copy`` false) and in the next one
-    (``_copy`` true): a row-local generator, one scan of the input."""
-    shift = F.explode(F.array(F.lit(0), F.lit(1))).alias("_shift")
-    return (df.select("*", shift)
-              .withColumn("_b", _bucket(F.col(t), window_ms) + F.col("_shift"))
-              .withColumn("_copy", F.col("_shift") == 1).drop("_shift"))
+def _with_load(df: DataFrame, key: str, t: str, n: Column, out: str, window_ms: int) -> DataFrame:
+    """Add ``out``, the sum of ``n`` over the key's rows of ``(t - W, t]`` (ties at ``t`` included),
+    and the row's bucket ``_b``.
+
+    A row counts from its own time on, in its bucket and (as a copy) in the next one, where it
+    expires again at ``t + W``: a row-local generator, and one running sum per (key, bucket).  A
+    sliding frame would be summed anew for every row, which grows with the square of a bucket."""
+    role = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_role")  # the row, its copy, its end
+    ext = (df.select("*", n.alias("_add"), role)
+             .withColumn("_b", _bucket(F.col(t), window_ms) + F.when(F.col("_role") > 0, 1).otherwise(0))
+             .withColumn("_at", F.col(t) + F.when(F.col("_role") == 2, F.lit(window_ms)).otherwise(0)))
+    upto = Window.partitionBy(key, "_b").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return (ext.withColumn(out, F.sum(F.when(F.col("_role") == 2, -F.col("_add")).otherwise(F.col("_add"))).over(upto))
+               .where(F.col("_role") == 0).drop("_add", "_role", "_at"))
+
+
+def _with_oldest(df: DataFrame, key: str, t: str, counted: Column, out: str, window_ms: int) -> DataFrame:
+    """Add ``out``, the smallest time of the key's ``counted`` rows of ``(t - W, t]`` (null if none).
+
+    Every row asks at ``t - W`` and the counted ones stand at their time, in their bucket and in the
+    next one; read backwards, the last one passed is the first after ``t - W``."""
+    role = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_role")  # the question, the row, its copy
+    ext = (df.select("*", counted.alias("_counted"), role).where((F.col("_role") == 0) | F.col("_counted"))
+             .withColumn("_b", _bucket(F.col(t), window_ms) + F.when(F.col("_role") == 2, 1).otherwise(0))
+             .withColumn("_at", F.col(t) - F.when(F.col("_role") == 0, F.lit(window_ms)).otherwise(0)))
+    after = Window.partitionBy(key, "_b").orderBy(F.col("_at").desc(), "_role").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    first = F.min(F.when(F.col("_role") > 0, F.col(t))).over(after)
+    return (ext.withColumn("_first", first).where(F.col("_role") == 0)
+               .withColumn(out, F.when(F.col("_first") <= F.col(t), F.col("_first"))).drop("_counted", "_role", "_b", "_at", "_first"))
 
 
 def offered_rate(df: DataFrame, key: str, t: str, window_ms: int = WINDOW_MS) -> DataFrame:
     """Requests of the key in ``(t - W, t]`` (ties at ``t`` included),
     computed per (key, bucket) so a hot key spreads over tasks."""
-    ext = _with_previous_bucket(df, t, window_ms)
-    w = Window.partitionBy(key, "_b").orderBy(t).rangeBetween(-(window_ms - 1), 0)
-    return ext.withColumn("offered", F.count(F.lit(1)).over(w)).where(~F.col("_copy")).drop("_b", "_copy")
+    return _with_load(df, key, t, F.lit(1).cast("long"), "offered", window_ms).drop("_b")
 
 
 def _runs(df: DataFrame, key: str, t: str, window_ms: int) -> DataFrame:
     """Runs (key, t, _n, _limit) with their offered load and island (the time of its first run)."""
     runs = df.groupBy(key, t).agg(F.count(F.lit(1)).alias("_n"), F.max("_limit").alias("_limit"))
-    ext = _with_previous_bucket(runs, t, window_ms)
-    by_t = Window.partitionBy(key, "_b").orderBy(t)
-    gap = F.col(t) - F.lag(t).over(by_t)
-    rows = (ext.withColumn("_start", F.when(~F.col("_copy") & (gap.isNull() | (gap >= window_ms)), F.col(t)))
-               .withColumn("offered", F.sum("_n").over(by_t.rangeBetween(-(window_ms - 1), 0)))
-               .withColumn("_in_bucket", F.last("_start", ignorenulls=True).over(by_t.rowsBetween(Window.unboundedPreceding, 0)))
-               .where(~F.col("_copy")))
+    # a run that carries the whole load has no other one in the window before it
+    rows = _with_load(runs, key, t, F.col("_n"), "offered", window_ms).withColumn("_start", F.when(F.col("offered") == F.col("_n"), F.col(t)))
+    by_t = Window.partitionBy(key, "_b").orderBy(t).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("_in_bucket", F.last("_start", ignorenulls=True).over(by_t))
     # one row per (key, bucket): the last island start inside the bucket,
     # and the start carried in from earlier buckets of the key
     summary = rows.groupBy(key, "_b").agg(F.max("_start").alias("_last"))
@@ -140,10 +158,8 @@ def admit(df: DataFrame, key: str, t: str, id_col: str, limit: int | str,
     decided = marked.join(taken, ["_key", t], "left").withColumn(
         "_m", F.when(F.col("_over"), F.coalesce("_m", F.lit(0))).otherwise(F.col("_n")))
     # entries live at a run, its own included, and the oldest of them
-    ext = _with_previous_bucket(decided.select("_key", t, "offered", "_m"), t, window_ms)
-    live = Window.partitionBy("_key", "_b").orderBy(t).rangeBetween(-(window_ms - 1), 0)
-    states = ext.withColumn("_used", F.sum("_m").over(live)).withColumn("_oldest", F.min(F.when(F.col("_m") > 0, F.col(t))).over(live)).where(
-        ~F.col("_copy")).select("_key", t, "offered", "_m", "_used", "_oldest")
+    used = _with_load(decided.select("_key", t, "offered", "_m"), "_key", t, F.col("_m").cast("long"), "_used", window_ms).drop("_b")
+    states = _with_oldest(used, "_key", t, F.col("_m") > 0, "_oldest", window_ms)
     ranked = base.drop("_limit").withColumn("_rank", F.row_number().over(Window.partitionBy("_key", t).orderBy(id_col)))
     ok = F.col("_rank") <= F.col("_m")
     return ranked.join(states, ["_key", t]).select(
