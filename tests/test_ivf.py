@@ -81,3 +81,17 @@ def test_pairs_are_whole_and_copies_linked_once(spark):
     assert {(r["a_id"], r["b_id"]) for r in got if not r["copies"]} == want and want
     assert {(r["a_id"], r["b_id"]) for r in got if r["copies"]} == {(0, 1000 + i) for i in range(50)}
     assert len(got) == len(want) + 50
+
+
+def test_meetings_are_bounded_on_both_sides(spark, monkeypatch):
+    """However many queries share a cell and however large it is, a task holds about ``SHELF`` chunks of
+    each side, and a query is copied per shelf and not per open cell."""
+    q, e, dq, de = tables(spark)
+    block = list(C.BLOCK)
+    asked = dq.select(*block, "q_id", "q_vec", "q_ts_ms", "threshold")
+    for chunk, fineness in ((5, 3.0), (11, 0.01)):  # 0.01: one cell a block, in parts
+        index, cells = ivf.build(de.select(*block, "e_id", "e_vec", "e_created_ms", "e_expires_ms"), block, "e_id", "e_vec", fineness, chunk)
+        sizes = ivf._meetings(asked, index, cells, block, "q_id", "e_id", "q_vec", None, chunk,
+                              lambda qp, ep: __import__("pandas").DataFrame({"q": [len(qp)], "e": [len(ep)]}), "q long, e long").collect()
+        assert max(r["q"] for r in sizes) <= 2 * ivf.SHELF * chunk and max(r["e"] for r in sizes) <= 2 * ivf.SHELF * chunk
+        assert len(sizes) > 1 and {r["q_id"]: r["entry_id"] for r in ivf.lookup(dq, de, chunk=chunk, fineness=fineness).where("entry_id is not null").collect()} == brute(q, e)

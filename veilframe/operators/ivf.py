@@ -9,9 +9,10 @@ closed, and inside an open cell only members on the ring ``|a - angle| <= theta`
 are scored.  Both bounds are exact; ``probes`` also limits the open cells to the nearest
 ones, which is approximate.
 
-Rows meet on the composite key (block, cell, part), where a part holds at most
-``chunk`` vectors of the cell: a query is copied to its open cells only, and a large
-cell is many tasks.
+Cells stand on shelves of about ``SHELF`` chunks of entries (a larger cell has its own, in parts).  Rows
+meet on (block, shelf, part, slice): a query is copied once to every shelf with an
+open cell of its own and carries the list of these cells, and the queries of a shelf come in slices of about
+as many, so what a task holds grows neither with the block nor with its number of cells.
 """
 
 from __future__ import annotations
@@ -30,6 +31,9 @@ FINENESS = 2.0     # cells of a block, in square roots of its size: centroids an
 SAMPLE = 4_096     # vectors of a block that its centroids are fitted on, at most
 ROUNDS = 6         # of fitting
 SLACK = 1e-6       # radians, for rounding in the bounds
+VISITORS = 512     # queries that meet the cells of their block at a time, at most
+SHELF = 4          # chunks of entries, and of queries, that a meeting holds, about
+STRIP_PAIRS = 1 << 20  # pairs scored at a time
 
 
 def _types(df: DataFrame, columns: list[str]) -> str:
@@ -95,60 +99,113 @@ def build(entries: DataFrame, block: list[str], id_col: str, vec_col: str, finen
     names = [*entries.columns, "cell", "angle"]
     cents = written(centroids(entries, block, id_col, vec_col, fineness), "ivf-centroids")
     index = written(_met_with_cells(entries, cents, block, id_col, chunk, assign, f"{_types(entries, entries.columns)}, cell int, angle double"), "ivf-index")
-    shape = index.groupBy(*block, "cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("parts"))
+    shape = index.groupBy(*block, "cell").agg(F.max("angle").alias("radius"), F.ceil(F.count(F.lit(1)) / (SHELF * chunk)).cast("int").alias("parts"), F.count(F.lit(1)).alias("_size"))
     return index, cents.join(shape, [*block, "cell"])
 
 
-def _open_cells(rows: DataFrame, cells: DataFrame, block: list[str], id_col: str, vec_col: str, probes: int | None, chunk: int) -> DataFrame:
-    """Each row once per cell that its bound leaves open (at most the ``probes`` nearest), with its
-    ``theta`` (the threshold's angle) and ``q_angle``."""
+def _shelved(cells: DataFrame, block: list[str], shelf: int) -> DataFrame:
+    """Cells with the ``shelf`` they stand on: neighbours by number, about ``shelf`` entries together (a
+    larger cell has shelves of its own, one per part)."""
+    before = F.sum("_size").over(Window.partitionBy(*block).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1))
+    small = F.col("_size") <= shelf
+    # shelves of small cells are numbered 0, 1, ..., those of a large cell -1 - cell
+    return (cells.withColumn("_size", F.least("_size", F.lit(shelf + 1))).withColumn("_before", F.coalesce(before, F.lit(0)))
+                 .withColumn("shelf", F.when(small, F.floor(F.col("_before") / shelf)).otherwise(-1 - F.col("cell")).cast("long")).drop("_before", "_size"))
+
+
+def _visits(rows: DataFrame, cells: DataFrame, block: list[str], id_col: str, vec_col: str, probes: int | None, chunk: int) -> DataFrame:
+    """Each row once per shelf on which its bound leaves a cell open (at most the ``probes`` nearest
+    cells), with its ``theta`` (the threshold's angle), these cells and its angles to them.
+
+    A chunk of rows meets all cells of the block, so it is the smaller the more cells there are."""
     def visit(qs, cs):
         if len(qs) == 0 or len(cs) == 0:
             return _none(names)
+        cs = cs.sort_values(["shelf", "cell"], kind="mergesort")
         angles = _angles(_matrix(qs, vec_col), np.stack(cs["centroid"].to_numpy()))
         theta = np.arccos(np.clip(qs["threshold"].to_numpy(np.float64), -1, 1))
-        gap = angles - cs["radius"].to_numpy()[None, :]
-        is_open = gap <= theta[:, None] + SLACK
+        is_open = angles - cs["radius"].to_numpy()[None, :] <= theta[:, None] + SLACK
         if probes is not None and len(cs) > probes:
             rank = np.argsort(np.argsort(angles, axis=1, kind="stable"), axis=1, kind="stable")
             is_open &= rank < probes
-        i, j = np.nonzero(is_open)
-        out = qs.drop(columns="_chunk").iloc[i].reset_index(drop=True)
-        out["cell"], out["parts"], out["theta"], out["q_angle"] = cs["cell"].to_numpy()[j], cs["parts"].to_numpy()[j], theta[i], angles[i, j]
-        return out[names]
-
-    names = [*rows.columns, "cell", "parts", "theta", "q_angle"]
-    met = _met_with_cells(rows, cells, block, id_col, chunk, visit, f"{_types(rows, rows.columns)}, cell int, parts int, theta double, q_angle double")
+        shelves, number, parts = cs["shelf"].to_numpy(), cs["cell"].to_numpy().astype("int32"), cs["parts"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, shelves[1:] != shelves[:-1]])
+        out = []
+        for lo, hi in zip(starts, [*starts[1:], len(shelves)], strict=True):
+            i = np.flatnonzero(is_open[:, lo:hi].any(axis=1))
+            some = [np.flatnonzero(is_open[k, lo:hi]) + lo for k in i]
+            part = qs.drop(columns="_chunk").iloc[i].reset_index(drop=True)
+            part["shelf"], part["parts"], part["theta"] = shelves[lo], parts[lo:hi].max(), theta[i]
+            part["cells"], part["angles"] = pd.Series([number[c] for c in some], dtype=object), pd.Series([angles[k, c] for k, c in zip(i, some, strict=True)], dtype=object)
+            out.append(part)
+        return pd.concat(out)[names]
+
+    names = [*rows.columns, "shelf", "parts", "theta", "cells", "angles"]
+    met = _met_with_cells(rows, cells, block, id_col, min(chunk, VISITORS), visit,
+                          f"{_types(rows, rows.columns)}, shelf long, parts int, theta double, cells array<int>, angles array<double>")
     return met.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
 
-def _placed(index: DataFrame, cells: DataFrame, block: list[str], id_col: str) -> DataFrame:
-    sized = index.join(cells.select(*block, "cell", "parts"), [*block, "cell"])
-    return sized.withColumn("part", F.pmod(F.xxhash64(id_col), F.col("parts")).cast("int")).drop("parts")
-
-
-def _ring(qp: pd.DataFrame, ep: pd.DataFrame) -> np.ndarray:
-    """Which pairs the ring bound leaves."""
-    off = np.abs(qp["q_angle"].to_numpy()[:, None] - ep["angle"].to_numpy()[None, :])
-    return off <= qp["theta"].to_numpy()[:, None] + SLACK
-
-
-def _best_in_part(qp: pd.DataFrame, ep: pd.DataFrame) -> pd.DataFrame:
-    """Of each query the best live entry on its ring (similarity, newest, smallest id), with
+def _meetings(rows: DataFrame, index: DataFrame, cells: DataFrame, block: list[str], id_col: str, entry_id: str, vec_col: str, probes: int | None, chunk: int,
+              fn, schema: str) -> DataFrame:
+    """``fn(queries, entries)`` for the open cells of every (shelf, part) with every slice of about
+    ``SHELF`` chunks of the queries that visit it: both sides of a meeting are bounded, and a vector is
+    copied once per shelf or slice and not once per cell."""
+    shelved = _shelved(cells, block, SHELF * chunk)
+    visits = written(_visits(rows, shelved, block, id_col, vec_col, probes, chunk), "ivf-visits")
+    place = [*block, "shelf", "part"]
+    slices = visits.groupBy(*place).agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (SHELF * chunk))).cast("int").alias("_slices"))
+    entries = index.join(shelved.select(*block, "cell", "shelf", "parts"), [*block, "cell"]).withColumn(
+        "part", F.pmod(F.xxhash64(entry_id), F.col("parts")).cast("int")).drop("parts")
+    asked = visits.join(slices, place).withColumn("_slice", F.pmod(F.xxhash64(id_col), F.col("_slices")).cast("int")).drop("_slices")
+    held = entries.join(slices, place).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices")
+    key = [*place, "_slice"]
+    return asked.groupBy(*key).cogroup(held.groupBy(*key)).applyInPandas(fn, schema)
+
+
+def _by_cell(qp: pd.DataFrame, ep: pd.DataFrame, q_vec: str, e_vec: str):
+    """(queries, entries, similarity, ring) of a meeting, cell by cell in strips: places of the queries that
+    have the cell open, of its entries, and which pairs the ring bound leaves."""
+    qm, em = _matrix(qp, q_vec), _matrix(ep, e_vec)
+    opened = np.concatenate([np.asarray(c) for c in qp["cells"]])
+    who = np.repeat(np.arange(len(qp)), [len(c) for c in qp["cells"]])
+    angle = np.concatenate([np.asarray(a) for a in qp["angles"]])
+    theta, off, number = qp["theta"].to_numpy(), ep["angle"].to_numpy(), ep["cell"].to_numpy()
+    by_query, by_entry = np.argsort(opened, kind="stable"), np.argsort(number, kind="stable")
+    opened, number = opened[by_query], number[by_entry]
+    for c in np.unique(number):
+        members = by_entry[np.searchsorted(number, c):np.searchsorted(number, c, side="right")]
+        asking = by_query[np.searchsorted(opened, c):np.searchsorted(opened, c, side="right")]
+        strip = max(1, STRIP_PAIRS // len(members))
+        for lo in range(0, len(asking), strip):
+            some = asking[lo:lo + strip]
+            q = who[some]
+            ring = np.abs(angle[some][:, None] - off[members][None, :]) <= theta[q][:, None] + SLACK
+            yield q, members, qm[q] @ em[members].T, ring
+
+
+def _best_in_shelf(qp: pd.DataFrame, ep: pd.DataFrame) -> pd.DataFrame:
+    """Of each query the best live entry on its rings (similarity, newest, smallest id), with
     how many entries were scored."""
     if len(qp) == 0 or len(ep) == 0:
         return _none(["q_id", "entry_id", "similarity", "entry_created_ms", "scored"])
-    ring = _ring(qp, ep)
-    sim = _matrix(qp, "q_vec") @ _matrix(ep, "e_vec").T
+    # newest first, then the smallest id: argmax takes the first of equals
+    ep = ep.sort_values(["e_created_ms", "e_id"], ascending=[False, True], kind="mergesort")
     made, gone, ids = (ep[c].to_numpy() for c in ("e_created_ms", "e_expires_ms", "e_id"))
-    asked = qp["q_ts_ms"].to_numpy()[:, None]
-    ok = ring & (made[None, :] <= asked) & (asked < gone[None, :]) & (sim >= qp["threshold"].to_numpy()[:, None])
-    order = np.lexsort((ids, -made))  # newest first, then the smallest id: argmax takes the first of equals
-    at = order[np.where(ok, sim, -np.inf)[:, order].argmax(axis=1)]
-    some = ok.any(axis=1)
+    asked, floor = qp["q_ts_ms"].to_numpy(), qp["threshold"].to_numpy()
+    best, at, scored = np.full(len(qp), -np.inf), np.zeros(len(qp), dtype=np.int64), np.zeros(len(qp), dtype=np.int64)
+    for q, members, sim, ring in _by_cell(qp, ep, "q_vec", "e_vec"):
+        scored[q] += ring.sum(axis=1)
+        ok = ring & (made[members][None, :] <= asked[q][:, None]) & (asked[q][:, None] < gone[members][None, :]) & (sim >= floor[q][:, None])
+        sim = np.where(ok, sim, -np.inf)
+        pick = sim.argmax(axis=1)
+        top, place = sim[np.arange(len(q)), pick], members[pick]
+        better = (top > best[q]) | ((top == best[q]) & np.isfinite(top) & (place < at[q]))
+        best[q[better]], at[q[better]] = top[better], place[better]
+    some = np.isfinite(best)
     pick = lambda values: pd.Series(values, dtype="Int64").where(some)
-    return pd.DataFrame({"q_id": qp["q_id"].to_numpy(), "entry_id": pick(ids[at]), "similarity": pd.Series(sim[np.arange(len(at)), at]).where(some),
-                         "entry_created_ms": pick(made[at]), "scored": ring.sum(axis=1)})
+    return pd.DataFrame({"q_id": qp["q_id"].to_numpy(), "entry_id": pick(ids[at]), "similarity": pd.Series(best).where(some),
+                         "entry_created_ms": pick(made[at]), "scored": scored})
 
 
 def lookup(queries: DataFrame, entries: DataFrame, probes: int | None = None, fineness: float = FINENESS, chunk: int = CHUNK) -> DataFrame:
@@ -161,10 +218,8 @@ def lookup(queries: DataFrame, entries: DataFrame, probes: int | None = None, fi
     block = list(BLOCK)
     index, cells = build(entries.select(*block, "e_id", "e_vec", "e_created_ms", "e_expires_ms"), block, "e_id", "e_vec", fineness, chunk)
     asked = queries.select(*block, "q_id", "q_vec", "q_ts_ms", F.col("threshold").cast("double").alias("threshold"))
-    visits = _open_cells(asked, cells, block, "q_id", "q_vec", probes, chunk)
-    key = [*block, "cell", "part"]
-    best = visits.groupBy(*key).cogroup(_placed(index, cells, block, "e_id").groupBy(*key)).applyInPandas(
-        _best_in_part, "q_id long, entry_id long, similarity double, entry_created_ms long, scored long")
+    best = _meetings(asked, index, cells, block, "q_id", "e_id", "q_vec", probes, chunk, _best_in_shelf,
+                     "q_id long, entry_id long, similarity double, entry_created_ms long, scored long")
     hit = F.when(F.col("entry_id").isNotNull(), F.struct("similarity", F.col("entry_created_ms").alias("made"), (-F.col("entry_id")).alias("neg")))
     top = best.groupBy("q_id").agg(F.max(hit).alias("b"), F.sum("scored").alias("scored"))
     return top.select("q_id", (-F.col("b.neg")).alias("entry_id"), F.col("b.similarity").alias("similarity"), "scored")
@@ -183,17 +238,17 @@ def similar_pairs(df: DataFrame, id_col: str, vec_col: str, block: list[str], th
         F.col("first").alias("a_id"), F.col("id").alias("b_id"), F.lit(1.0).alias("similarity"), F.lit(True).alias("copies"))
     index, cells = build(groups, block, "id", "vec", fineness, chunk)
     asked = groups.select(*block, F.col("id").alias("q_id"), F.col("vec").alias("q_vec"), F.lit(float(threshold)).alias("threshold"))
-    visits = _open_cells(asked, cells, block, "q_id", "q_vec", None, chunk)
-    key = [*block, "cell", "part"]
 
     def pairs(qp, ep):
-        if len(qp) == 0 or len(ep) == 0:
-            return _none(["a_id", "b_id", "similarity"])
-        a, b = qp["q_id"].to_numpy(), ep["id"].to_numpy()
-        sim = _matrix(qp, "q_vec") @ _matrix(ep, "vec").T
-        i, j = np.nonzero(_ring(qp, ep) & (sim >= threshold) & (a[:, None] < b[None, :]))
-        return pd.DataFrame({"a_id": a[i], "b_id": b[j], "similarity": sim[i, j]})
+        found = []
+        if len(qp) and len(ep):
+            a, b = qp["q_id"].to_numpy(), ep["id"].to_numpy()
+            for q, members, sim, ring in _by_cell(qp, ep, "q_vec", "vec"):
+                i, j = np.nonzero(ring & (sim >= threshold) & (a[q][:, None] < b[members][None, :]))
+                if len(i):
+                    found.append(pd.DataFrame({"a_id": a[q[i]], "b_id": b[members[j]], "similarity": sim[i, j]}))
+        return pd.concat(found) if found else _none(["a_id", "b_id", "similarity"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    found = visits.groupBy(*key).cogroup(_placed(index, cells, block, "id").groupBy(*key)).applyInPandas(pairs, f"a_id {kind}, b_id {kind}, similarity double")
+    found = _meetings(asked, index, cells, block, "q_id", "id", "q_vec", None, chunk, pairs, f"a_id {kind}, b_id {kind}, similarity double")
     return found.withColumn("copies", F.lit(False)).unionByName(copies)
