@@ -96,3 +96,8 @@ def test_no_frame_slides(spark):
     for d in (rate, admitted):
         plan = d._jdf.queryExecution().executedPlan().toString().lower()
         assert "rangeframe, unboundedpreceding" in plan and "rangeframe, -" not in plan
+
+
+def test_rows_without_a_time_keep_their_load(spark):
+    df = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "a", 7)], "id long, k string, t long")
+    assert {r["id"]: r["offered"] for r in R.offered_rate(df, "k", "t", 1000).collect()} == {1: 4, 2: 4, 3: 1}

@@ -70,7 +70,8 @@ def _with_load(df: DataFrame, key: str, t: str, n: Column, out: str, window_ms:
     expires again at ``t + W``: a row-local generator, and one running sum per (key, bucket).  A
     sliding frame would be summed anew for every row, which grows with the square of a bucket."""
     role = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("_role")  # the row, its copy, its end
-    ext = (df.select("*", n.alias("_add"), role)
+    # without a time a row stands beside its copy and never expires
+    ext = (df.select("*", n.alias("_add"), role).where((F.col("_role") < 2) | F.col(t).isNotNull())
              .withColumn("_b", _bucket(F.col(t), window_ms) + F.when(F.col("_role") > 0, 1).otherwise(0))
              .withColumn("_at", F.col(t) + F.when(F.col("_role") == 2, F.lit(window_ms)).otherwise(0)))
     upto = Window.partitionBy(key, "_b").orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
