@@ -62,3 +62,15 @@ def test_spans_outside_the_text_are_dropped(spark):
     got = {r["id"]: r["spans"] for r in pii.detect_spans(df, "text", external="external").collect()}
     assert [(s["span_start"], s["span_end"], s["value"]) for s in got[1]] == [(0, 3, "日本é")]
     assert got[2] == [] and got[3] == []
+
+
+def test_a_large_gazetteer_does_not_shuffle_the_ngrams(spark):
+    """Names with a token that no text holds are cut before the join, so n-grams meet only the few that are left."""
+    from pyspark.sql import functions as F
+
+    many = spark.range(400_000).select(F.lit("PERSON").alias("entity"), F.concat(F.lit("Customer Nr"), F.col("id").cast("string")).alias("phrase"), F.lit(0.9).alias("score"))
+    df = spark.createDataFrame([(1, "Ask Customer Nr17, Customer Nr 18 or Nr19 Customer"), (2, None)], "id long, text string")
+    got = G.named_spans(df, many, "id")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(phrase" not in plan and "hashpartitioning(g#" not in plan
+    assert [(r["id"], r["span_start"], r["value"]) for r in got.collect()] == [(1, 4, "Customer Nr17")]
