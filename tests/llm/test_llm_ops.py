@@ -109,6 +109,42 @@ def test_line_dedup_keeps_the_earliest(spark, docs, empty):
     assert LD.line_dedup(docs).count() == len(TEXTS) and LD.line_dedup(empty).count() == 0
 
 
+def test_lines_within_an_edit_meet_in_a_shared_region():
+    rnd = random.Random(9)
+    emitted = whole = 0
+    for _ in range(1500):
+        n = rnd.choice([1, 9, 15, 16, 17, 32, 33, 100, 313])
+        a = "".join(rnd.choice("abé ") for _ in range(n))
+        i = rnd.randrange(n)
+        pair = [a, a[:i] + rnd.choice(["x", "", "x" + a[i]]) + a[i + 1:]]
+        rnd.shuffle(pair)
+        keys = [LD.region_keys(x).tolist() for x in pair]
+        shared = set(keys[0]) & set(keys[1])
+        (v, kind), (w, other) = (LD.variant_keys(x, [r for r, k in enumerate(own) if k in shared]) for x, own in zip(pair, keys, strict=True))
+        met = {(v[p], kind[p], other[q]) for p in range(len(v)) for q in np.flatnonzero(w == v[p])}
+        assert {(s, o) for _, s, o in met} & {(LD.SWAP, LD.SWAP), (LD.CUT, LD.OWN), (LD.OWN, LD.CUT)}, pair
+        if n > 100:
+            emitted, whole = emitted + len(v) + len(w), whole + sum(len(LD.variant_keys(x)[0]) for x in pair)
+    assert emitted * 5 < whole  # all deletions were emitted before
+
+
+def test_alike_halves_alone_emit_no_variants(spark, monkeypatch):
+    same = "the same first half of a line that is long enough to be seen "
+    rows = [(i, same + f"{i * 7919 % 1009:04d} and {i * 104729 % 9973:05d} with {i * 31 % 997:03d} other words {i:05d}") for i in range(300)]
+    rows += [(1000, rows[7][1].replace("other", "othar")), (1001, rows[8][1].replace("first", "firsst"))]
+    kept = {}
+
+    def stored(df, name, *args):
+        kept[name] = LD_STORED(df, name, *args)
+        return kept[name]
+
+    LD_STORED = LD.stored
+    monkeypatch.setattr(LD, "stored", stored)
+    got = {r.doc_id: r.text for r in LD.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i for i, t in got.items() if not t} == {1000, 1001}
+    assert kept["line-some"].count() == 302 and kept["line-variants"].select("sid").distinct().count() == 4
+
+
 def test_line_dedup_of_short_and_unspaced_lines(spark):
     long = "本日は晴天なり" * 6
     rows = [(1, "All rights reserved.\nok\n\nPage 1\n" + long), (2, "all rights reserved. \nOK\n\n\nPage 2\n" + long + "x"),

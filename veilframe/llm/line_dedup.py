@@ -19,28 +19,67 @@ BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2^64
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
+EMIT_CHARS = 1 << 16  # about the characters of lines whose keys go out together
+REGIONS = 16    # parts of a line; two lines within one edit agree outside one of them
 OWN, CUT, SWAP = 0, 1, 2  # what a key stands for: the line itself, a deletion, a deletion at a known place
 
 
-def variant_keys(line: str) -> tuple[np.ndarray, np.ndarray]:
+def _sums(line: str) -> np.ndarray:
+    """Running sums of code * BASE^place, modulo 2^64, from 0 to the whole line."""
+    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    with np.errstate(over="ignore"):
+        powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(codes), BASE, np.uint64))), dtype=np.uint64)[:-1]
+        return np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers, dtype=np.uint64)))
+
+
+def _bounds(n: int) -> np.ndarray:
+    """Where the regions of a line of n characters begin, and n."""
+    return np.arange(REGIONS + 1) * n // REGIONS
+
+
+def region_keys(line: str) -> np.ndarray:
+    """Hashed keys of a line less one region: REGIONS keys as the shorter or equal line of a
+    pair within one edit, then as the longer one.
+
+    Both lines of a pair count regions by the shorter length. The edit lies in one region, or at its end, and
+    what comes before and after it is the same in both, so they share its key.
+    """
+    sums, n = _sums(line), len(line)
+    number = np.arange(REGIONS, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        at = _bounds(n)
+        own = mix(mix(sums[at[:-1]], n) + number, 5) + (sums[-1] - sums[at[1:]])
+        if not n:
+            return own
+        at = _bounds(n - 1)
+        longer = mix(mix(sums[at[:-1]], n - 1) + number, 5) + (sums[-1] - sums[at[1:] + 1]) * np.uint64(INVERSE)
+    return np.concatenate((own, longer))
+
+
+def variant_keys(line: str, regions: list[int] | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Hashed keys of a line and its single-character deletions, and what each stands for.
 
     Two lines are one insertion apart if the longer one's deletion is the other
     line itself (CUT meets OWN), and one substitution apart if they are equal without
     the same place (SWAP meets SWAP). With S the running sum of code * BASE^place
     (modulo 2^64), the line without place i has the sum S[i] + (S[n] - S[i+1]) / BASE,
-    so all keys cost one pass.
+    so all keys cost one pass. ``regions`` are places in ``region_keys``: only deletions
+    by which a line that shares such a key can be met are given.
     """
-    codes = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-    n = len(codes)
+    sums, n = _sums(line), len(line)
+    cuts = swaps = np.arange(n)
+    if regions is not None:
+        def places(ends: list[tuple[int, int]]) -> np.ndarray:
+            return np.unique(np.concatenate([np.zeros(0, np.int64), *(np.arange(a, b) for a, b in ends)]))
+        own, longer = _bounds(n), _bounds(max(0, n - 1))
+        swaps = places([(own[r], own[r + 1]) for r in regions if r < REGIONS])
+        cuts = places([(longer[r - REGIONS], longer[r - REGIONS + 1] + 1) for r in regions if r >= REGIONS])
     with np.errstate(over="ignore"):
-        powers = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, BASE, np.uint64))), dtype=np.uint64)[:n]
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((codes + np.uint64(1)) * powers, dtype=np.uint64)))
         shorter = sums[:-1] + (sums[-1] - sums[1:]) * np.uint64(INVERSE)
-        cut = mix(np.unique(shorter), n - 1)
-        swap = mix(mix(shorter, -n) + np.arange(n, dtype=np.uint64), 3)
+        cut = mix(np.unique(shorter[cuts]), n - 1)
+        swap = mix(mix(shorter[swaps], -n) + swaps.astype(np.uint64), 3)
     return (np.concatenate((mix(sums[-1:], n), cut, swap)),
-            np.repeat(np.array([OWN, CUT, SWAP], np.int8), [1, len(cut), n]))
+            np.repeat(np.array([OWN, CUT, SWAP], np.int8), [1, len(cut), len(swap)]))
 
 
 def half_keys(norm: Column) -> Column:
@@ -73,8 +112,9 @@ def _lines(docs: DataFrame, short_lines: bool) -> DataFrame:
 def late_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(h1, h2) of the distinct lines with an earlier line within MAX_EDITS.
 
-    Only lines that share a half key with another line emit their deletion
-    variants. They are numbered in order of their first place, so for each key the
+    Lines that share a half key with another line are numbered in order of their first place.
+    Of these, only lines that also share a region key with another one emit deletion variants, and only those
+    with the deletion in such a region. For each variant's key the
     smallest numbers, combined before the shuffle, tell each of its lines the earliest line
     it meets there; no pairs of a group are formed. The pair of a line
     and its earliest one is then verified by edit distance.
@@ -96,15 +136,28 @@ def late_lines(docs: DataFrame, distinct: DataFrame) -> DataFrame:
                 rows += [(w["sid"], _normal(lines[w["line_no"]])) for w in wanted]
             yield pd.DataFrame(rows, columns=["sid", "norm"])
 
+    def regions(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, part in b.groupby(b["norm"].str.len().cumsum() // EMIT_CHARS):
+                keys = [region_keys(norm) for norm in part["norm"]]
+                sizes = [len(k) for k in keys]
+                yield pd.DataFrame({"key": np.concatenate(keys).view(np.int64), "sid": np.repeat(part["sid"].to_numpy(np.int64), sizes),
+                                    "region": np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])})
+
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for sid, norm in zip(b["sid"], b["norm"], strict=True):
-                v, kind = variant_keys(norm)
-                yield pd.DataFrame({"v": v.view(np.int64), "kind": kind, "sid": np.full(len(v), sid, np.int64)})
+            for _, part in b.groupby(b["norm"].str.len().cumsum() // EMIT_CHARS):
+                keys, kinds = zip(*map(variant_keys, part["norm"], part["regions"]), strict=True)
+                yield pd.DataFrame({"v": np.concatenate(keys).view(np.int64), "kind": np.concatenate(kinds),
+                                    "sid": np.repeat(part["sid"].to_numpy(np.int64), [len(k) for k in keys])})
 
     texts = stored(docs.join(need.hint("merge"), F.col("doc_id").eqNullSafe(F.col("n_id")) & (F.col("row") == F.col("n_row")))
                    .select("text", "need").mapInPandas(pick, "sid long, norm string").dropDuplicates(["sid"]), "line-texts")
-    variants = stored(texts.mapInPandas(emit, "v long, kind byte, sid long"), "line-variants")
+    places = stored(texts.mapInPandas(regions, "key long, sid long, region int"), "line-regions")
+    met = places.groupBy("key").agg(F.min("sid").alias("lo"), F.max("sid").alias("hi")).where("lo < hi").select("key")
+    wanted = places.join(met.hint("merge"), "key").groupBy("sid").agg(F.collect_set("region").alias("regions"))
+    variants = stored(texts.join(wanted.hint("merge"), "sid").select("sid", "norm", "regions").mapInPandas(
+        emit, "v long, kind byte, sid long"), "line-variants")
     least = variants.groupBy("v").agg(
         F.min("sid").alias("lo"), F.max("sid").alias("hi"), F.min(F.when(F.col("kind") == OWN, F.col("sid"))).alias("own"),
         F.min(F.when(F.col("kind") == CUT, F.col("sid"))).alias("cut")).where("lo < hi")
