@@ -1,6 +1,7 @@
 """The corpus operators against brute force, on small tables with nulls, empties, ties and repeats."""
 
 import hashlib
+import itertools
 import random
 import re
 import zlib
@@ -21,7 +22,7 @@ from veilframe.llm.simhash import fingerprint, simhash_dedup  # noqa: E402
 from veilframe.llm.token_counts import token_counts, unigram_vocabulary  # noqa: E402
 from veilframe.llm.token_files import PerfectHash, TokenFiles  # noqa: E402
 from veilframe.llm.tokens import load_tokenizer  # noqa: E402
-from veilframe.llm.toxicity import similarity, toxicity  # noqa: E402
+from veilframe.llm.toxicity import _codes, similarity, toxicity  # noqa: E402
 
 TEXTS = [(3, "Same Text here"), (1, "same text HERE"), (2, None), (4, ""), (5, "ÀB c"), (6, "àb c"), (7, "a  b \n c."), (7, "a  b \n c."),
          (None, "no id"), (9, "word " * 3000), (10, "<|endoftext|> it's 12345 日本 \0x")]
@@ -209,6 +210,71 @@ def test_no_word_like_a_landmark_is_skipped():
         assert np.allclose(np.where(want >= FLOOR, want, 0)[sure], got[sure], atol=1e-4)
 
 
+def test_words_of_the_same_letters_are_told_together():
+    from veilframe.llm.toxicity import DECAY, LandmarkSimilarities, kernel
+
+    words = ["".join(x) for x in itertools.permutations("stupid")][:300]
+    sims, asked = LandmarkSimilarities(["stupid", "pit"]), []
+    told = sims._reachable
+    sims._reachable = lambda m, shared: asked.append(len(shared)) or told(m, shared)
+    sims.learn(words)
+    assert asked == [1, 1]  # 300 each before
+    rnd = random.Random(4)
+    for _ in range(30):
+        a, b = ("".join(rnd.choice("abc") for _ in range(rnd.randint(0, 6))) for _ in range(2))
+        want = sum(DECAY ** (i[2] - i[0] + 1 + j[2] - j[0] + 1) for i in itertools.combinations(range(len(a)), 3)
+                   for j in itertools.combinations(range(len(b)), 3) if [a[k] for k in i] == [b[k] for k in j])
+        assert kernel(_codes([a], 7), _codes([b], 7))[0] == pytest.approx(want, rel=1e-5)
+
+
+def test_words_are_encoded_together():
+    from veilframe.llm import tokens as K
+
+    class Counting:
+        def __init__(self, t):
+            self.t, self.strings = t, 0
+
+        def __getattr__(self, name):
+            return getattr(self.t, name)
+
+        def encode_batch_fast(self, strings, **kw):
+            self.strings += len(strings)
+            return self.t.encode_batch_fast(strings, **kw)
+
+    rnd = random.Random(5)
+    words = sorted({"".join(rnd.choice("aeiolmnrstué") for _ in range(rnd.randint(1, 12))) for _ in range(2000)} | {"ﬁn", "ςσ", "i̇x", "中文"})
+    for name, space in (("word_bpe_49k.json", ""), ("byte_bpe_50k.json", " ")):
+        t = Counting(load_tokenizer(P.path(name)))
+        got = K._batch_code(t, "<u2")([space + w for w in words])
+        assert [np.frombuffer(x, "<u2").tolist() for x in got] == [t.encode(space + w, add_special_tokens=False).ids for w in words]
+        assert t.strings < len(words) / 3  # of word_bpe, every word went alone before
+
+
+def test_distinct_chunks_are_looked_up_once():
+    from veilframe.llm import tokens as K
+
+    rnd = random.Random(8)
+    some = ["the", "The", "éa", " ", "\n", "\n\n", ".", ",", "\t", "a\u0301", "\0", "İ", "中文", "don't", "12", "\r\n", "🙂", ""]
+    texts = ["", "\n", " x", "a\nb", "a  b", *("".join(rnd.choice(some) + rnd.choice(["", " "]) for _ in range(rnd.randint(0, 30))) for _ in range(300))]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        t = load_tokenizer(P.path(name))
+        coder, kind = K.id_coder(P.path(name))
+        want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [np.frombuffer(x, kind).tolist() for x in K.joined_codes(coder, texts, kind)] == want
+        assert [np.frombuffer(x, kind).tolist()[:-1] for x in K.encode_texts([None, *texts], P.path(name), 2)] == [[], *want]
+        asked = []
+
+        class Seen(dict):
+            def get(self, c, default=None):
+                asked.append(c)
+                return super().get(c, default)
+
+        coder.young = Seen(coder.young)
+        K.joined_codes(coder, ["one two three"] + ["two three"] * 50, kind)
+        assert len(asked) <= 10  # by every word before
+        coder.young = dict(coder.young)
+
+
 def test_toxicity_held_out(spark, empty):
     rnd = random.Random(2)
     words = ["".join(rnd.choice("aelmnrsu") for _ in range(6)) for _ in range(300)]

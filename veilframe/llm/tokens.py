@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 SEGMENT = 1 << 18   # characters handled at a time
+GROUP = 1 << 21     # characters of texts whose chunks are numbered together
 CACHE = 330_000     # chunks kept; a full cache starts anew, which costs time, never results
 
 # A cut before a space that precedes a visible character never divides a pre-token of
@@ -88,22 +92,64 @@ class ChunkCoder:
                     todo[k], out[i] = (i, parts, range(len(parts))), [None] * len(parts)
                     missing.update(parts)
             missing -= odd
-        young = self.young
-        moved = {c: self.old[c] for c in missing if c in self.old}
-        young.update(moved)
-        new = [c for c in missing if c not in young]
-        if new:
-            self.learn(new)
+        self.fetch(missing)
         for i, parts, holes in todo:
             codes, table = out[i], self.young
             for j in holes:
                 codes[j] = table[parts[j]]
         return out
 
+    def fetch(self, missing: Iterable[str]) -> None:
+        """Bring chunks that the young generation lacks into it."""
+        young = self.young
+        young.update({c: self.old[c] for c in missing if c in self.old})
+        new = [c for c in missing if c not in young]
+        if new:
+            self.learn(new)
+
 
 MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 
 
+def joined_codes(coder: WordCoder, texts: list[str], kind: str) -> list[bytes]:
+    """The packed codes of each text, as ``coded`` gives them, joined. Arrow splits the texts and
+    numbers their distinct chunks, so each of these is looked up once and the ids are gathered by number."""
+    parts = coder.split_all(pa.array(texts, pa.string()))
+    numbered = parts.flatten().dictionary_encode()
+    chunks = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
+    if len(coder.young) > coder.limit:
+        coder.old, coder.young = coder.young, {}
+    found = list(map(coder.young.get, chunks))
+    holes = [i for i, c in enumerate(found) if c is None]
+    missing = [chunks[i] for i in holes]
+    odd = {c for c in missing if c[:1] != coder.HEAD and coder.irregular(c)}
+    coder.fetch([c for c in missing if c not in odd] if odd else missing)
+    for i, c in zip(holes, missing, strict=True):
+        found[i] = coder.young.get(c, b"")
+    flat, width = np.frombuffer(b"".join(found), kind), np.dtype(kind).itemsize
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
+    number, bounds = numbered.indices.to_numpy(), parts.offsets.to_numpy()
+    n = sizes[number]
+    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
+    shift = (np.cumsum(sizes) - sizes)[number] - ends[:-1]
+    raw = flat[np.arange(ends[-1]) + np.repeat(shift, n)].tobytes()
+    cut = (ends[bounds] * width).tolist()
+    out = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
+    special = {i for i, t in enumerate(texts) if coder.HEAD and coder.HEAD in t}
+    if odd:
+        at = np.flatnonzero(np.array([c in odd for c in chunks])[number])
+        special.update((np.searchsorted(bounds, at, "right") - 1).tolist())
+    for i in special:
+        out[i] = b"".join(coder.coded([texts[i]])[0])
+    return out
+
+
+def _ends_in_letter(text: str) -> bool:
+    """Also for a tokenizer that composes and lower-cases, by which a few letters end in a mark."""
+    c = text[-1]
+    return c.isalpha() and (c.isascii() or unicodedata.normalize("NFC", c).lower().isalpha())
+
+
 class WordCoder(ChunkCoder):
     """For patterns in which a run of letters and a run of marks are separate
     pre-tokens: learns a word and the marks after it apart, and cuts before a line
@@ -116,6 +162,10 @@ class WordCoder(ChunkCoder):
         parts[0] = self.HEAD + parts[0]
         return parts
 
+    def split_all(self, texts: pa.Array) -> pa.ListArray:
+        """``split`` of texts without ``HEAD``, in Arrow."""
+        return pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise(self.HEAD, texts, ""), "\n", " \n"), " ")
+
     def irregular(self, chunk: str) -> bool:
         if chunk[:1] == "\n":
             return len(chunk) == 1 or chunk[1].isspace()
@@ -128,7 +178,7 @@ class WordCoder(ChunkCoder):
         divided, plain = {}, set()
         for c in chunks:
             stem = c.rstrip(MARKS)
-            if len(stem) < len(c) and stem and stem[-1].isalpha():
+            if len(stem) < len(c) and stem and _ends_in_letter(stem):
                 divided[c] = stem, self.HEAD + c[len(stem):]
             else:
                 plain.add(c)
@@ -149,6 +199,9 @@ class SpacelessCoder(WordCoder):
         text = text.lower() if text.isascii() else text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
         return text.replace("\n", " ").split(" ")
 
+    def split_all(self, texts: pa.Array) -> pa.ListArray:
+        return pc.split_pattern(pc.replace_substring(pc.ascii_lower(texts), "\n", " "), " ")
+
     def irregular(self, chunk: str) -> bool:
         return False
 
@@ -170,41 +223,51 @@ def id_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
 
-def _spaced(t) -> np.ndarray | None:
-    """By id, whether a byte-level token starts with a space; None for other tokenizers."""
-    starts = np.zeros(t.get_vocab_size(with_added_tokens=True), bool)
-    for token, i in t.get_vocab().items():
-        starts[i] = token.startswith("\u0120")
-    return starts if starts.any() else None
+def _word_marks(t) -> tuple[str, np.ndarray] | None:
+    """How ids tell words apart: by id, whether a byte-level token starts with a space ("first"), or
+    whether a token ends a word ("last"); None for other tokenizers."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    suffix, vocabulary = getattr(t.model, "end_of_word_suffix", None), t.get_vocab()
+    if suffix and not all(c + suffix in vocabulary for c in ByteLevel.alphabet()):
+        return None  # a word's end may be left out
+    marks = np.zeros(t.get_vocab_size(with_added_tokens=True), bool)
+    for token, i in vocabulary.items():
+        marks[i] = token.endswith(suffix) if suffix else token.startswith("\u0120")
+    return ("last" if suffix else "first", marks) if marks.any() else None
 
 
 def _batch_code(t, kind: str) -> Callable[[list[str]], list[bytes]]:
-    """Codes of many strings. Strings of the form " word" (one space, at the start) are
-    encoded joined: the ids of each begin at a token that starts with a space."""
-    spaced = _spaced(t)
+    """Codes of many strings. Words of letters are encoded joined: strings of the form " word" (one
+    space, at the start), of which each begins at a token that starts with a space, or, where a
+    suffix ends words, strings of the form "word", of which each ends at a token with the suffix."""
+    told = _word_marks(t)
 
     def each(strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, kind).tobytes() for e in t.encode_batch_fast(strings, add_special_tokens=False)]
 
     def code(strings: list[str]) -> list[bytes]:
-        if spaced is None:
+        if told is None:
             return each(strings)
+        side, marks = told
         out: list = [None] * len(strings)
         single, joined = [], []
         for i, s in enumerate(strings):
-            (joined if s[:1] == " " and len(s) < 200 and s[1:].isalpha() else single).append(i)
+            word = s.isalpha() if side == "last" else s[:1] == " " and s[1:].isalpha()
+            (joined if word and len(s) < 200 else single).append(i)
         for i, c in zip(single, each([strings[i] for i in single]), strict=True):
             out[i] = c
         groups = [joined[i:i + 500] for i in range(0, len(joined), 500)]
-        for group, e in zip(groups, t.encode_batch_fast(["".join([strings[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
+        between = " " if side == "last" else ""
+        for group, e in zip(groups, t.encode_batch_fast([between.join([strings[i] for i in g]) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, kind)
-            cuts = np.flatnonzero(spaced[ids])
-            if len(cuts) != len(group):
+            cuts = np.flatnonzero(marks[ids])
+            if len(cuts) != len(group) or (side == "last" and cuts[-1] + 1 != len(ids)):
                 for i, c in zip(group, each([strings[i] for i in group]), strict=True):
                     out[i] = c
                 continue
             width, raw = ids.itemsize, ids.tobytes()
-            at = [*(cuts * width).tolist(), len(raw)]
+            at = [0, *((cuts + 1) * width).tolist()] if side == "last" else [*(cuts * width).tolist(), len(raw)]
             for k, i in enumerate(group):
                 out[i] = raw[at[k]:at[k + 1]]
         return out
@@ -228,21 +291,22 @@ def id_coder(path: str) -> tuple[ChunkCoder, str]:
 
 def encode_texts(texts: Iterable[str | None], path: str, end_id: int) -> Iterator[bytes]:
     """Packed ids of each text, with the end id. Texts go through in groups of about
-    ``SEGMENT`` characters, and a long one in segments."""
+    ``GROUP`` characters, and a long one in segments."""
     coder, kind = id_coder(path)
     end = np.array([end_id], kind).tobytes()
     group: list[str] = []
     size = 0
     for text in texts:
         text = "" if text is None else text
-        if size + len(text) > SEGMENT:
-            for codes in coder.coded(group):
-                yield b"".join(codes) + end
+        if group and size + len(text) > GROUP:
+            for ids in joined_codes(coder, group, kind):
+                yield ids + end
             group, size = [], 0
-        if len(text) > SEGMENT:
+        if len(text) > GROUP:
             yield b"".join(b"".join(coder.coded([s])[0]) for s in segments(text)) + end
             continue
         group.append(text)
         size += len(text)
-    for codes in coder.coded(group):
-        yield b"".join(codes) + end
+    if group:
+        for ids in joined_codes(coder, group, kind):
+            yield ids + end
