@@ -23,7 +23,7 @@ GRAMS = range(3, 13)       # characters of the parts of words that can become la
 SHARE = 0.5                # a landmark's least share of toxic documents
 SURE, LIKELY = 18.0, 13.0  # least evidence of a landmark, and of one that is looked at again among uncovered documents
 WIDTH = 32                 # longest piece of a word compared at once; longer words go in windows
-WORDS_CACHED = 400_000
+WORDS_CACHED = 600_000
 GROUP = 1 << 20            # characters of texts whose new words are compared together
 
 _SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][\W_]{1,3}){3,}[^\W\d_](?![^\W\d_])")
@@ -39,17 +39,19 @@ def _codes(words: list[str], width: int) -> np.ndarray:
 def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Subsequence kernel of row pairs of padded code arrays: the sum over common
     subsequences of ORDER characters of DECAY to the places they span in both."""
-    same = (a[:, :, None] == b[:, None, :]) & (a[:, :, None] != 0)
-    d = same * np.float32(DECAY**2)
+    # pairs are the last axis, so every step runs over them side by side
+    a, b = np.ascontiguousarray(a.T)[:, None, :], np.ascontiguousarray(b.T)[None, :, :]
+    same = ((a == b) & (a != 0)) * np.float32(DECAY**2)
+    d = same
     for _ in range(ORDER - 1):
         g = d.copy()
-        for j in range(1, g.shape[1]):
-            g[:, j] += DECAY * g[:, j - 1]
-        for k in range(1, g.shape[2]):
-            g[:, :, k] += DECAY * g[:, :, k - 1]
+        for j in range(1, g.shape[0]):
+            g[j] += DECAY * g[j - 1]
+        for k in range(1, g.shape[1]):
+            g[:, k] += DECAY * g[:, k - 1]
         d = np.zeros_like(g)
-        d[:, 1:, 1:] = same[:, 1:, 1:] * np.float32(DECAY**2) * g[:, :-1, :-1]
-    return d.sum(axis=(1, 2), dtype=np.float64)
+        np.multiply(same[1:, 1:], g[:-1, :-1], out=d[1:, 1:])
+    return np.ascontiguousarray(d.transpose(2, 0, 1)).sum(axis=(1, 2), dtype=np.float64)
 
 
 def similarity(words: list[str], marks: list[str]) -> np.ndarray:
@@ -120,7 +122,9 @@ class LandmarkSimilarities:
         found: dict[str, np.ndarray] = {}
         for at in range(0, len(pieces), 20_000):
             for k, m, v, whole in zip(*self._compare(pieces[at:at + 20_000]), strict=True):
-                best = found.setdefault(core[at + k], np.zeros(2 * len(self.landmarks), np.float32))
+                best = found.get(core[at + k])
+                if best is None:
+                    best = found[core[at + k]] = np.zeros(2 * len(self.landmarks), np.float32)
                 best[m] = max(best[m], v)
                 best[len(self.landmarks) + m] = max(best[len(self.landmarks) + m], whole)
         for s, best in found.items():
@@ -133,7 +137,8 @@ class LandmarkSimilarities:
         sizes = np.array([len(x) for x in pieces])
         starts = np.cumsum(sizes) - sizes
         masks = np.bitwise_or.reduceat(np.uint64(1) << (flat.astype(np.uint64) % np.uint64(61)), starts)
-        p, m = np.nonzero(np.stack([self._reachable(m, masks & mask) for m, mask in enumerate(self.masks)], axis=1))
+        letters, at = np.unique(masks, return_inverse=True)  # pieces of the same letters are told together
+        p, m = np.nonzero(np.stack([self._reachable(m, letters & mask) for m, mask in enumerate(self.masks)], axis=1)[at])
         order = np.lexsort((self.sizes[m], sizes[p]))  # alike lengths together
         p, m = p[order], m[order]
 
