@@ -188,6 +188,24 @@ def test_token_files_round_trip(docs, empty):
     assert none.get(none.catalogue.select("doc_id", "nth")).count() == 0
 
 
+def test_token_file_query_holds_one_python_worker_per_task(spark, docs, tmp_path, monkeypatch):
+    from veilframe.llm import token_files
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(token_files, "READ", 64)  # rows go back in slices
+    got = token_files.op4_token_files(spark, str(tmp_path))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "ArrowEvalPython" not in plan  # the checksum took a second worker in the same task before
+    t = load_tokenizer(P.path("word_bpe_49k.json"))
+    want, at = [], 0
+    for i, x in sorted(TEXTS, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = t.encode(x or "", add_special_tokens=False).ids + [2]
+        if i is not None:  # the query's keys are joined by id
+            want.append((i, at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        at += len(ids)
+    assert sorted(tuple(r) for r in got.collect() if r.doc_id is not None) == sorted(want)
+
+
 def test_similarity_tolerates_gaps():
     s = similarity(["idiot", "id-iot", "idxiot", "banana"], ["idiot"] * 4)
     assert s[0] == pytest.approx(1) and min(s[1:3]) > 0.5 > 0.2 > s[3]

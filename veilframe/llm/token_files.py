@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +18,7 @@ KEYS_PER_PART = 50_000
 GAMMA = 2.0        # bits per key and level of the perfect hash
 MAX_LEVELS = 48    # keys left after these (equal hashes only) are listed
 FINGERPRINT = 101  # salt of the stored fingerprints
+READ = 1 << 23     # bytes of ids that a reader hands on at a time
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -165,19 +165,28 @@ def lookup(keys: DataFrame, index: DataFrame, parts: int) -> DataFrame:
         find, "doc_id long, nth int, shard int, at long, n_tokens long")
 
 
-def read_ids(places: DataFrame, folder: str, kind: str) -> DataFrame:
-    """Read the ids of looked-up places back from the shard files: adds ``ids`` (packed) ."""
+def read_ids(places: DataFrame, folder: str, kind: str, packed: str | None = None) -> DataFrame:
+    """Read the ids of looked-up places back from the shard files: adds ``ids``, packed as type ``packed``
+    (default: as in the files). Rows go back whenever they hold ``READ`` bytes of ids."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, base = _open(folder)
         width, shard, f = np.dtype(kind).itemsize, None, None
         for b in batches:
-            ids = []
+            b = b.assign(doc_id=b["doc_id"].astype("Int64"))
+            ids, size, done = [], 0, 0
             for s, at, n in zip(b["shard"], b["at"], b["n_tokens"], strict=True):
                 if s != shard:
                     f, shard = fs.open_input_file(f"{base}/{s:06d}.ids"), s
                 f.seek(at * width)
-                ids.append(f.read(n * width))
-            yield b.assign(ids=ids, doc_id=b["doc_id"].astype("Int64"))
+                raw = f.read(n * width)
+                ids.append(np.frombuffer(raw, kind).astype(packed).tobytes() if packed else raw)
+                size += len(ids[-1])
+                if size >= READ:
+                    yield b[done:done + len(ids)].assign(ids=ids)
+                    done += len(ids)
+                    ids, size = [], 0
+            if ids:
+                yield b[done:].assign(ids=ids)
 
     return places.repartition("shard").sortWithinPartitions("shard", "at").mapInPandas(
         read, "doc_id long, nth int, shard int, at long, n_tokens long, ids binary")
@@ -201,9 +210,9 @@ class TokenFiles:
         self.parts = _parts(self.catalogue.count())
         self.index = build_index(self.catalogue, self.parts)
 
-    def get(self, keys: DataFrame) -> DataFrame:
-        """Ids of the keys (doc_id, nth) through index and files."""
-        return read_ids(lookup(keys, self.index, self.parts), self.folder, self.kind)
+    def get(self, keys: DataFrame, packed: str | None = None) -> DataFrame:
+        """Ids of the keys (doc_id, nth) through index and files, packed as in the files or as type ``packed``."""
+        return read_ids(lookup(keys, self.index, self.parts), self.folder, self.kind, packed)
 
     def shard_starts(self) -> DataFrame:
         """(shard, base): ids in all shards before; a row per shard."""
@@ -212,18 +221,11 @@ class TokenFiles:
         return sums.select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
 
 
-def _crc(kind: str):
-    @F.pandas_udf("long")
-    def crc(ids: pd.Series) -> pd.Series:
-        return ids.map(lambda x: zlib.crc32(np.frombuffer(x, kind).astype("<u4").tobytes())).astype("int64")
-    return crc
-
-
 def op4_token_files(spark, sf_dir) -> DataFrame:
     import public_tokenizers
 
     docs = documents(spark, sf_dir)
     files = TokenFiles(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     keys = docs.groupBy("doc_id").count().select("doc_id", F.explode(F.sequence(F.lit(0), (F.col("count") - 1).cast("int"))).alias("nth"))
-    got = files.get(keys).join(stored(files.shard_starts(), "shard-starts"), "shard")
-    return got.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", _crc(files.kind)("ids").alias("ids_crc32"))
+    got = files.get(keys, "<u4").join(stored(files.shard_starts(), "shard-starts"), "shard")
+    return got.select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", F.crc32("ids").alias("ids_crc32"))
