@@ -293,6 +293,24 @@ def test_distinct_chunks_are_looked_up_once():
         coder.young = dict(coder.young)
 
 
+def test_words_are_looked_up_without_the_marks_after_them():
+    from veilframe.llm import tokens as K
+
+    rnd = random.Random(9)
+    words = ["".join(rnd.choice("aeioulmnrst") for _ in range(8)) for _ in range(40)] + ["İ", "a\u0301", "12", "é"]
+    texts = [" ".join(w + "".join(rnd.choice(K.MARKS) for _ in range(rnd.randint(0, 2))) for w in rnd.choices(words, k=400)) for _ in range(5)]
+    texts += [",", ", a,", "a,\nb,\n", "x\n,", "z" + "-" * 300, "\0a, b,", " .", "a,  b."]
+    for name in ("word_bpe_49k.json", "byte_bpe_50k.json"):
+        t = load_tokenizer(P.path(name))
+        kind = K.id_type(t.get_vocab_size(with_added_tokens=True))
+        coder = type(K.id_coder(P.path(name))[0])(K._batch_code(t, kind), limit=30)
+        for _ in range(3):  # new, young and old entries
+            assert [np.frombuffer(x, kind).tolist() for x in K.joined_codes(coder, texts, kind)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+        coder.limit, coder.young, coder.old = 10**6, {}, {}
+        K.joined_codes(coder, [" ".join(w + m for w in words[:40] for m in K.MARKS)], kind)
+        assert len(coder.young) <= 80 + len(K.MARKS)  # each word with each mark before
+
+
 def test_toxicity_held_out(spark, empty):
     rnd = random.Random(2)
     words = ["".join(rnd.choice("aelmnrsu") for _ in range(6)) for _ in range(300)]

@@ -114,8 +114,8 @@ class MixturePlan:
 def queue_names(docs: DataFrame, max_queues: int = MAX_QUEUES) -> list[str]:
     """The sources with a queue of their own: those with more than 1 in
     ``max_queues`` of all bytes, so at most ``max_queues`` names reach the driver."""
-    sizes = docs.groupBy("queue").agg(F.sum(F.octet_length("text") + F.lit(1)).alias("n"))
-    total = docs.agg(F.sum(F.octet_length("text") + F.lit(1))).first()[0] or 0
+    sizes = stored(docs.groupBy("queue").agg(F.sum(F.octet_length("text") + F.lit(1)).alias("n")), "packing-queues")
+    total = sizes.agg(F.sum("n")).first()[0] or 0
     return sorted(r[0] for r in sizes.where(F.col("n") * max_queues > F.lit(total)).collect())
 
 
@@ -166,12 +166,17 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, weights: dict[str, float]
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for doc_id, queue, at, n, ids in zip(b["doc_id"], b["queue"], b["at"], b["n"], b["ids"], strict=True):
-                wide = np.frombuffer(ids, kind).astype("<u4").tobytes()
-                for start, size, seq, offset in plan.pieces(queue, at, n):
-                    rows.append((doc_id, start, size, zlib.crc32(memoryview(wide)[4 * start:4 * (start + size)]), n, seq, offset, queue))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "queue"]).astype({"doc_id": "Int64"})
+            places, crcs, counts = [], [], []
+            for queue, at, n, ids in zip(b["queue"], b["at"], b["n"], b["ids"], strict=True):
+                wide = memoryview(np.frombuffer(ids, kind).astype("<u4").tobytes())
+                own = list(plan.pieces(queue, at, n))
+                places += own
+                crcs += [zlib.crc32(wide[4 * start:4 * (start + size)]) for start, size, _, _ in own]
+                counts.append(len(own))
+            start, size, seq, offset = np.array(places, np.int64).reshape(-1, 4).T
+            each = {c: b[c].repeat(np.array(counts, np.int64)).array for c in ("doc_id", "n", "queue")}
+            yield pd.DataFrame({"doc_id": each["doc_id"], "start": start, "length": size, "ids_crc32": np.array(crcs, np.int64), "doc_tokens": each["n"],
+                                "sequence_id": seq, "offset": offset, "queue": each["queue"]}).astype({"doc_id": "Int64"})
 
     placed = blocks.join(base, ["queue", "block"]).select("doc_id", "queue", (F.col("before") + F.col("base")).alias("at"), "n", "ids")
     return placed.mapInPandas(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue string")

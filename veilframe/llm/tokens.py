@@ -71,10 +71,13 @@ class ChunkCoder:
     def learn(self, chunks: list[str]) -> None:
         self.young.update(zip(chunks, self.code([self.written(c) for c in chunks]), strict=True))
 
-    def coded(self, texts: list[str]) -> list[list]:
-        """The codes of each text's chunks, in order."""
+    def age(self) -> None:
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
+
+    def coded(self, texts: list[str]) -> list[list]:
+        """The codes of each text's chunks, in order."""
+        self.age()
         get, out, todo, missing = self.young.get, [], [], set()
         for i, text in enumerate(texts):
             parts = self.split(text)
@@ -111,33 +114,39 @@ class ChunkCoder:
 MARKS = "".join(chr(i) for i in range(33, 127) if not chr(i).isalnum())
 
 
+def _strings(a: pa.Array) -> list[str]:
+    return a.to_numpy(zero_copy_only=False).tolist()
+
+
 def joined_codes(coder: WordCoder, texts: list[str], kind: str) -> list[bytes]:
-    """The packed codes of each text, as ``coded`` gives them, joined. Arrow splits the texts and
-    numbers their distinct chunks, so each of these is looked up once and the ids are gathered by number."""
+    """The packed codes of each text, as ``coded`` gives them, joined. Arrow splits the texts, numbers their
+    distinct chunks and parts these from the marks after them, so each distinct word is looked up once; the codes
+    are put together by number."""
     parts = coder.split_all(pa.array(texts, pa.string()))
     numbered = parts.flatten().dictionary_encode()
-    chunks = numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
-    if len(coder.young) > coder.limit:
-        coder.old, coder.young = coder.young, {}
-    found = list(map(coder.young.get, chunks))
-    holes = [i for i, c in enumerate(found) if c is None]
-    missing = [chunks[i] for i in holes]
-    odd = {c for c in missing if c[:1] != coder.HEAD and coder.irregular(c)}
-    coder.fetch([c for c in missing if c not in odd] if odd else missing)
-    for i, c in zip(holes, missing, strict=True):
-        found[i] = coder.young.get(c, b"")
-    flat, width = np.frombuffer(b"".join(found), kind), np.dtype(kind).itemsize
-    sizes = np.fromiter(map(len, found), np.int64, len(found)) // width
-    number, bounds = numbered.indices.to_numpy(), parts.offsets.to_numpy()
-    n = sizes[number]
-    ends = np.concatenate((np.zeros(1, np.int64), np.cumsum(n)))
-    shift = (np.cumsum(sizes) - sizes)[number] - ends[:-1]
-    raw = flat[np.arange(ends[-1]) + np.repeat(shift, n)].tobytes()
-    cut = (ends[bounds] * width).tolist()
+    chunks = numbered.dictionary
+    stems = pc.utf8_rtrim(chunks, characters=MARKS)
+    last = pc.utf8_slice_codeunits(stems, -1).dictionary_encode()
+    letter = np.array([c != "" and _ends_in_letter(c) for c in _strings(last.dictionary)], bool)[last.indices.to_numpy()]
+    n_marks = (pc.binary_length(chunks).to_numpy() - pc.binary_length(stems).to_numpy()) * letter
+    divided = np.flatnonzero(n_marks)
+    words = pc.if_else(pa.array(letter), stems, chunks).dictionary_encode()
+    marks = pa.array([coder.HEAD + c[-n:] for c, n in zip(_strings(chunks.take(pa.array(divided))), n_marks[divided].tolist(), strict=True)],
+                     pa.string()).dictionary_encode()
+    known = _strings(words.dictionary)
+    n_words = len(known)
+    found, odd = coder.found(known + _strings(marks.dictionary))
+    after = np.full(len(chunks), len(found))  # chunks without marks go on with an empty code
+    after[divided] = n_words + marks.indices.to_numpy()
+    codes = pa.array([*found, b""], pa.binary())
+    whole = pc.binary_join_element_wise(codes.take(words.indices), codes.take(pa.array(after)), b"").take(numbered.indices)
+    ends, bounds = np.frombuffer(whole.buffers()[1], np.int32), parts.offsets.to_numpy()
+    raw = whole.buffers()[2].to_pybytes() if len(whole) and ends[len(whole)] else b""
+    cut = ends[bounds].tolist()
     out = [raw[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
     special = {i for i, t in enumerate(texts) if coder.HEAD and coder.HEAD in t}
     if odd:
-        at = np.flatnonzero(np.array([c in odd for c in chunks])[number])
+        at = np.flatnonzero(np.isin(words.indices.to_numpy(), odd)[numbered.indices.to_numpy()])
         special.update((np.searchsorted(bounds, at, "right") - 1).tolist())
     for i in special:
         out[i] = b"".join(coder.coded([texts[i]])[0])
@@ -174,6 +183,30 @@ class WordCoder(ChunkCoder):
     def written(self, chunk: str) -> str:
         return chunk if chunk[0] == "\n" else super().written(chunk)
 
+    def written_all(self, words: list[str]) -> list[str]:
+        return [" " + w if w[:1].isalnum() else self.written(w) for w in words]
+
+    def found(self, words: list[str]) -> tuple[list[bytes], list[int]]:
+        """The codes of distinct words and marks that need no division, and the places of irregular ones, whose codes are left empty."""
+        self.age()
+        out = list(map(self.young.get, words))
+        holes = [i for i, c in enumerate(out) if c is None]
+        missing = [words[i] for i in holes]
+        odd = [i for i, w in zip(holes, missing, strict=True) if not w[:1].isalnum() and w[:1] != self.HEAD and self.irregular(w)]
+        if odd:
+            for i in odd:
+                out[i] = b""
+            holes = [i for i in holes if out[i] is None]
+            missing = [words[i] for i in holes]
+        codes = list(map(self.old.get, missing))
+        new = [w for w, c in zip(missing, codes, strict=True) if c is None]
+        learnt = iter(self.code(self.written_all(new)) if new else ())
+        codes = [next(learnt) if c is None else c for c in codes]
+        self.young.update(zip(missing, codes, strict=True))
+        for i, c in zip(holes, codes, strict=True):
+            out[i] = c
+        return out, odd
+
     def learn(self, chunks: list[str]) -> None:
         divided, plain = {}, set()
         for c in chunks:
@@ -208,6 +241,9 @@ class SpacelessCoder(WordCoder):
     def written(self, chunk: str) -> str:
         return chunk
 
+    def written_all(self, words: list[str]) -> list[str]:
+        return words
+
 
 def load_tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -251,10 +287,12 @@ def _batch_code(t, kind: str) -> Callable[[list[str]], list[bytes]]:
             return each(strings)
         side, marks = told
         out: list = [None] * len(strings)
-        single, joined = [], []
-        for i, s in enumerate(strings):
-            word = s.isalpha() if side == "last" else s[:1] == " " and s[1:].isalpha()
-            (joined if word and len(s) < 200 else single).append(i)
+        if side == "last":
+            word = [s.isalpha() and len(s) < 200 for s in strings]
+        else:
+            word = [s[1:].isalpha() and s[0] == " " and len(s) < 200 for s in strings]
+        joined = [i for i, w in enumerate(word) if w]
+        single = [i for i, w in enumerate(word) if not w]
         for i, c in zip(single, each([strings[i] for i in single]), strict=True):
             out[i] = c
         groups = [joined[i:i + 500] for i in range(0, len(joined), 500)]
