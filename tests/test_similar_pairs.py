@@ -22,3 +22,28 @@ def test_pairs_of_rows_by_one_triangle_of_packed_tiles(spark):
     assert left.count() + right.count() == 60 * 7 and left.where("_i > _j").count() == right.where("_i > _j").count() == 0
     plan = C.similar_pairs(df, "id", "vec", ["label"], 0.8)._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "array" not in plan.lower()
+
+
+def test_vectors_of_a_large_block_stay_in_their_files(spark, monkeypatch):
+    """Only small blocks are shipped; chunks of a large one meet where they lie, also copies split over several
+    holders of their vector, ids that repeat, and vectors longer than the components that rule pairs out."""
+    rnd = np.random.default_rng(11)
+    base = np.where(rnd.random((25, 700)) < 0.2, rnd.random((25, 700)), 0.0)
+    vs = []
+    for i in range(160):
+        v = base[rnd.integers(25) if i % 4 else 3].copy()
+        if i % 3 == 0:
+            v[rnd.integers(700, size=rnd.integers(1, 30))] += 0.5
+        vs.append(v)
+    vs[7], vs[8] = np.zeros(700), vs[9][:650]
+    rows = [(i % 150, "x" if i < 140 else f"small{i % 2}", [float(c) for c in v]) for i, v in enumerate(vs)]
+    wide = lambda v: np.pad(v / (np.linalg.norm(v) or 1), (0, 700 - len(v)))
+    unit = [(i, lab, wide(v)) for (i, lab, _), v in zip(rows, vs, strict=True)]
+    want = sorted((min(i, j), max(i, j), round(float(u @ w), 6)) for k, (i, a, u) in enumerate(unit) for j, b, w in unit[:k] if a == b and i != j and u @ w >= 0.8)
+    shipped, tiles = [], C._tiles
+    monkeypatch.setattr(C, "MEMBERS", 4, raising=False)
+    monkeypatch.setattr(C, "_tiles", lambda *given: [shipped.append(side) or side for side in tiles(*given)])
+    df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    got = C.similar_pairs(df, "id", "vec", ["label"], 0.8, chunk=100).collect()
+    assert sorted((r["a_id"], r["b_id"], round(r["similarity"], 6)) for r in got) == want and want
+    assert [side.count() for side in shipped] == [20, 20] and all(side.where("label = 'x'").count() == 0 for side in shipped)
