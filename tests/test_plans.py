@@ -160,6 +160,34 @@ def test_leak_pairs_equal_brute_force(spark):
     assert set(rows) == {(i, n) for i, t in texts if t for n, v in needles if v and v.strip() and v in t}
 
 
+def _shuffled(node) -> int:
+    """Rows that the exchanges of a plan that ran have written."""
+    if "QueryStage" in node.nodeName():
+        return _shuffled(node.plan())
+    if node.nodeName() == "AdaptiveSparkPlan":
+        return _shuffled(node.executedPlan())
+    below = node.children()
+    own = node.metrics().apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" else 0
+    return own + sum(_shuffled(below.apply(i)) for i in range(below.size()))
+
+
+def test_leak_audit_shuffles_matches_only(spark):
+    """Of texts without a tripwire neither tokens nor runs nor the text itself are shuffled."""
+    import random
+
+    from veilframe.operators import leak as L
+
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(1, 14))) for _ in range(800)]
+    needles = [(0, "sk-" + "Qz7" * 9), (1, "two words-of-it"), (2, "a passage of several words that is held verbatim"), (3, "never-held"), (4, "bc@de")]
+    texts = [(i, " ".join(rnd.choice(words) for _ in range(60)) + (f" {needles[i % 5][1]}, and so on" if i % 40 < 3 else "")) for i in range(400)] + [(7, "two words-of-it"), (None, "x" + needles[0][1])]
+    hay = spark.createDataFrame(texts, "id long, text string").repartition(4)
+    got = L.leak_pairs(hay, "id", "text", spark.createDataFrame(needles, "nid long, value string"), "nid", "value")
+    rows = [tuple(r) for r in got.collect()]
+    assert sorted(rows, key=str) == sorted({(i, n) for i, t in texts for n, v in needles if v in t}, key=str) and len(rows) > 25
+    assert _shuffled(got._jdf.queryExecution().executedPlan()) < 4 * len(texts)
+
+
 def test_tripwire_audit_scrubs_once(spark):
     """Both audits read the texts several times, so they read them scrubbed already."""
     assert "[A-Za-z0-9._%+-]+@" not in _optimized(E.queries()["tripwire_leaks"](spark, SMALL))

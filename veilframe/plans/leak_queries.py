@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators import leak as L
 from veilframe.operators import pii
-from veilframe.plans.pii_queries import _secret_src, secret_texts
+from veilframe.plans.pii_queries import _secret_src, secret_texts, with_secrets
 from veilframe.plans.pii_sql import scrub_ctes
 from veilframe.plans.registry import register, sql_str
 from veilframe.session import written
@@ -52,13 +52,11 @@ def q_tripwire_leaks(spark, sf):
     """The must-be-clean invariant: tripwires present in the raw texts must be
     gone after scrubbing (values the recognizers do not cover would stay and
     be reported here)."""
-    # both audits read it several times: scrubbed once, not once a reading
-    s = written(pii.scrub(secret_texts(spark, sf), "text", "reversible").select("doc_id", "text", "scrubbed_text"), "scrubbed-texts")
+    # an audit reads its texts several times: scrubbed once, not once a reading
+    s = written(pii.scrub(secret_texts(spark, sf), "text", "reversible").select("doc_id", "scrubbed_text"), "scrubbed-texts")
+    raw = with_secrets(load(spark, sf, "documents").select("doc_id", "text"))
+    texts = [t.select(F.struct(F.lit(kind).alias("kind"), "doc_id").alias("id"), F.col(c).alias("text")) for kind, t, c in (("raw", raw, "text"), ("scrubbed", s, "scrubbed_text"))]
     trips = _tripwire_df(spark, sf)
-    raw = L.leak_pairs(s, "doc_id", "text", trips, "needle_id", "value")
-    scr = L.leak_pairs(s, "doc_id", "scrubbed_text", trips, "needle_id", "value")
-    rc = raw.groupBy("needle_id").agg(F.count(F.lit(1)).alias("raw_hits"))
-    sc = scr.groupBy("needle_id").agg(F.count(F.lit(1)).alias("scrubbed_hits"))
-    return (trips.join(rc, "needle_id", "left").join(sc, "needle_id", "left")
-                 .select("label", F.coalesce("raw_hits", F.lit(0)).cast("long").alias("raw_hits"),
-                         F.coalesce("scrubbed_hits", F.lit(0)).cast("long").alias("scrubbed_hits")))
+    pairs = L.leak_pairs(texts[0].unionByName(texts[1]), "id", "text", trips, "needle_id", "value")
+    hits = pairs.groupBy("needle_id").agg(*[F.count_if(F.col("hay_id.kind") == kind).alias(f"{kind}_hits") for kind in ("raw", "scrubbed")])
+    return trips.join(hits, "needle_id", "left").select("label", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("raw_hits", "scrubbed_hits")])
